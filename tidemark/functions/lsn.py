@@ -21,8 +21,10 @@ def _hex_half(text: Column, part: int) -> Column:
 
 
 def lsn_to_long(lsn: Column | str) -> Column:
+    """The position as a number; null for text that is not ``HI/LO`` in hex."""
     text = _column(lsn)
-    return F.shiftleft(_hex_half(text, 1), 32).bitwiseOR(_hex_half(text, 2))
+    number = F.shiftleft(_hex_half(text, 1), 32).bitwiseOR(_hex_half(text, 2))
+    return F.when(text.rlike("^[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}$"), number)
 
 
 def long_to_lsn(position: Column | str) -> Column:

@@ -239,17 +239,3 @@ def apply_projection(log: DataFrame, key: str = "key", fields: Sequence[str] = (
         long_to_lsn("lsn").alias("_lsn"),
         gone.alias("_deleted"),
     )
-
-
-def key_change_deletes(log: DataFrame, key: str = "key", old_key: str = "old_key") -> DataFrame:
-    """Optional: a delete of the old key for each update that changed its key.
-
-    By default the document of the old key stays, as the old key is not part of an update.
-    """
-    moved = log.filter(
-        (F.col("op") == "u") & F.col(old_key).isNotNull() & (F.col(old_key) != F.col(key))
-    )
-    removed = moved.withColumns({key: F.col(old_key), "op": F.lit("d")})
-    return log.unionByName(removed)
-
-
