@@ -401,20 +401,21 @@ _MASK = "replace(replace(line, 'redis-pass-2024', '[REDACTED]'), 'ops-token-1f9a
 _REBUILT = """
 cut AS (SELECT max(o_orderkey) * 4 + 4294967296 AS lsn FROM orders),
 changes AS (
-  SELECT o_orderkey AS key, 'c' AS op, (SELECT lsn FROM cut) AS lsn, TRUE AS has_status,
+  SELECT o_orderkey AS key, 'c' AS op, (SELECT lsn FROM cut) AS lsn, 0 AS seq, TRUE AS has_status,
          o_orderstatus AS status, TRUE AS has_price, o_totalprice AS price FROM orders
   UNION ALL
-  SELECT l_orderkey, CASE WHEN gone THEN 'd' ELSE 'u' END, lsn, NOT gone, l_linestatus,
-         NOT gone AND l_linestatus = 'F', l_extendedprice
+  SELECT l_orderkey, CASE WHEN gone THEN 'd' ELSE 'u' END, lsn, l_partkey * 100000 + l_suppkey, NOT gone,
+         l_linestatus, NOT gone AND l_linestatus = 'F', l_extendedprice
   FROM (SELECT *, l_returnflag = 'R' AND l_linenumber >= 4 AS gone,
                4294967296 + l_orderkey * 8 + l_linenumber AS lsn FROM lineitem)
   WHERE lsn > (SELECT lsn FROM cut)
 ),
-resets AS (SELECT *, max(lsn) FILTER (op IN ('c', 'd')) OVER (PARTITION BY key) AS reset FROM changes),
+versions AS (SELECT *, CAST(lsn AS HUGEINT) * 1000000000000 + seq AS v FROM changes),
+resets AS (SELECT *, max(v) FILTER (op IN ('c', 'd')) OVER (PARTITION BY key) AS reset FROM versions),
 rebuilt AS (
-  SELECT key, arg_max(status, lsn) FILTER (has_status AND lsn >= coalesce(reset, -1)) AS status,
-         arg_max(price, lsn) FILTER (has_price AND lsn >= coalesce(reset, -1)) AS price,
-         max(lsn) AS lsn, arg_max(op, lsn) = 'd' AS deleted
+  SELECT key, arg_max(status, v) FILTER (has_status AND v >= coalesce(reset, -1)) AS status,
+         arg_max(price, v) FILTER (has_price AND v >= coalesce(reset, -1)) AS price,
+         max(lsn) AS lsn, arg_max(op, v) = 'd' AS deleted
   FROM resets GROUP BY key
 ),
 differences AS (
