@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.identity import event_id
 from tidemark.functions.lsn import long_to_lsn, pg_micros_to_unix
 from tidemark.functions.values import KNOWN_KINDS, bad_integer, decode_row, key_map
-from tidemark.operators.prefix import ROWS_PER_CHUNK, running
+from tidemark.operators.prefix import running
+from tidemark.operators.sizing import DEFAULT, Sizing
 
 # Message tags.
 BEGIN, COMMIT, RELATION = "B", "C", "R"
@@ -35,7 +36,7 @@ def _is_row() -> Column:
     return F.col("tag").isin(*ROW_TAGS)
 
 
-def number_transactions(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def number_transactions(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """Add ``txn`` (running count of begins per slot) and ``row_no`` (running count of row messages)."""
     return running(
         messages,
@@ -45,7 +46,7 @@ def number_transactions(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_C
             "txn": ("sum", (F.col("tag") == BEGIN).cast("bigint")),
             "row_no": ("sum", _is_row().cast("bigint")),
         },
-        rows_per_chunk=rows_per_chunk,
+        size=size,
     )
 
 
@@ -68,7 +69,7 @@ def transaction_table(numbered: DataFrame) -> DataFrame:
     )
 
 
-def resolve_relation(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def resolve_relation(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """Row messages with ``rel``: the latest definition of their relation announced before them.
 
     The definition travels with the running maximum of the announcing ``msg_seq``, which
@@ -81,7 +82,7 @@ def resolve_relation(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUN
         ["slot", "relation_id"],
         "msg_seq",
         {"rel": ("max", F.when(F.col("tag") == RELATION, definition))},
-        rows_per_chunk=rows_per_chunk,
+        size=size,
     )
     return latest.filter(_is_row())
 
@@ -114,7 +115,7 @@ def decode_tuples(resolved: DataFrame) -> DataFrame:
     return checked.withColumn("row", F.when(F.col("error").isNull(), decoded))
 
 
-def message_errors(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """Messages that cannot be decoded: (slot, msg_seq, tag, error)."""
     tag = F.col("tag")
     framing = F.when(tag.isNull() | (tag == ""), "empty message").when(
@@ -122,17 +123,18 @@ def message_errors(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK)
     )
     lost = F.when(_is_row() & F.col("relation_id").isNull(), "unknown relation id")
     outer = messages.withColumn("error", F.coalesce(framing, lost)).filter(F.col("error").isNotNull())
+    size = size.bounded(messages, "msg_seq")
     columns = ["slot", "msg_seq", "tag", "error"]
-    rows = decode_tuples(resolve_relation(messages, rows_per_chunk=rows_per_chunk))
+    rows = decode_tuples(resolve_relation(messages, size=size))
     bad_rows = rows.filter(F.col("error").isNotNull())
     numbered = number_transactions(
-        messages.select("slot", "msg_seq", "tag"), rows_per_chunk=rows_per_chunk
+        messages.select("slot", "msg_seq", "tag"), size=size
     )
     # A row before any begin, or after the commit of the latest one, belongs to nothing.
     closed = running(
         numbered, ["slot"], "msg_seq",
         {"commits": ("max", F.when(F.col("tag") == COMMIT, F.col("txn")))},
-        rows_per_chunk=rows_per_chunk,
+        size=size,
     )
     strays = closed.filter(
         _is_row() & ((F.col("txn") == 0) | F.coalesce(F.col("commits") == F.col("txn"), F.lit(False)))
@@ -143,7 +145,7 @@ def message_errors(messages: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK)
 
 
 def assemble_transactions(
-    messages: DataFrame, db: str, *, rows_per_chunk: int = ROWS_PER_CHUNK
+    messages: DataFrame, db: str, *, size: Sizing = DEFAULT
 ) -> DataFrame:
     """Committed change events in envelope form.
 
@@ -151,9 +153,10 @@ def assemble_transactions(
     transaction. ``seq`` is the row's 0-based place in its transaction, undecodable rows
     included, so identities stay the same once such a row is repaired.
     """
-    numbered = number_transactions(messages, rows_per_chunk=rows_per_chunk)
+    size = size.bounded(messages, "msg_seq")
+    numbered = number_transactions(messages, size=size)
     txns = transaction_table(numbered).filter(F.col("commit_seq").isNotNull())
-    rows = decode_tuples(resolve_relation(numbered, rows_per_chunk=rows_per_chunk))
+    rows = decode_tuples(resolve_relation(numbered, size=size))
     good = rows.filter(F.col("error").isNull()).drop("commit_lsn", "commit_ts_us", "xid")
     placed = good.join(txns, ["slot", "txn"]).filter(F.col("msg_seq") < F.col("commit_seq"))
     seq = (F.col("row_no") - F.col("rows_before") - 1).cast("int")
@@ -186,14 +189,14 @@ def signed_xid(xid: Column) -> Column:
     return F.when(xid >= 2**31, xid - 2**32).otherwise(xid)
 
 
-def take_until(events: DataFrame, n: int, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def take_until(events: DataFrame, n: int, *, size: Sizing = DEFAULT) -> DataFrame:
     """Whole commits until at least ``n`` events are taken, in commit order.
 
     Counts per commit are combined map-side; the cut-off position comes back as a scalar
     and filters the events without a join.
     """
     per_commit = events.groupBy("lsn").agg(F.count("*").alias("__n"))
-    upto = running(per_commit, [], "lsn", {"__before": ("sum", F.col("__n"))}, inclusive=False, rows_per_chunk=rows_per_chunk)
+    upto = running(per_commit, [], "lsn", {"__before": ("sum", F.col("__n"))}, inclusive=False, size=size)
     taken = F.coalesce(F.col("__before"), F.lit(0)) < n
     last = upto.agg(F.max(F.when(taken, F.col("lsn")))).scalar()
     return events.filter(F.col("lsn") <= last)

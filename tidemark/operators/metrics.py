@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.latency import to_ms
 from tidemark.functions.lsn import lsn_to_long
-from tidemark.operators.ranks import ROWS_IN_MEMORY, aggregate_with_ranks, nearest_ranks
+from tidemark.operators.ranks import aggregate_with_ranks, nearest_ranks
 from tidemark.operators.retention import last_n
+from tidemark.operators.sizing import DEFAULT, Sizing
 from tidemark.operators.visibility import state_at
 
 SAMPLE_WINDOW = 10_000
@@ -18,7 +20,7 @@ STALENESS_RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def staleness_summary(
-    samples: DataFrame, by: Sequence[str] = (), *, last: int | None = None, rows_in_memory: int = ROWS_IN_MEMORY
+    samples: DataFrame, by: Sequence[str] = (), *, last: int | None = None, size: Sizing = DEFAULT
 ) -> DataFrame:
     """count, p50, p95, p99 and max of ``staleness_us`` in milliseconds.
 
@@ -27,12 +29,13 @@ def staleness_summary(
     kept = samples.filter(F.col("staleness_us").isNotNull())
     if last is not None:
         kept = last_n(kept, last, ["visible_ts_us", "lsn", "seq"])
+        size = replace(size, at_most=last)
     ranked = aggregate_with_ranks(
         kept,
         by,
         [F.count("*").alias("sample_count"), F.max("staleness_us").alias("max")],
         {n: ("staleness_us", q) for n, q in STALENESS_RANKS.items()},
-        rows_in_memory=rows_in_memory,
+        size=size,
     )
     return ranked.select(
         *by,
@@ -52,9 +55,9 @@ def in_flight_summary(obs: DataFrame, now_us: Column | int, by: Sequence[str] =
 
 
 def violation_summary(
-    obs: DataFrame, now_us: Column | int, by: Sequence[str] = (), *, rows_in_memory: int = ROWS_IN_MEMORY
+    obs: DataFrame, now_us: Column | int, by: Sequence[str] = (), *, size: Sizing = DEFAULT
 ) -> DataFrame:
-    full = metrics_snapshot(obs, now_us, by, rows_in_memory=rows_in_memory)
+    full = metrics_snapshot(obs, now_us, by, size=size)
     return full.select(
         *by,
         "violation_count",
@@ -71,7 +74,7 @@ def metrics_snapshot(
     *,
     sample_window: int | None = None,
     ready: Mapping[str, bool] | None = None,
-    rows_in_memory: int = ROWS_IN_MEMORY,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Freshness metrics as known at ``now_us``: one row, or one per group over the history.
 
@@ -121,7 +124,7 @@ def metrics_snapshot(
             F.max("__active").alias("__longest"),
         ],
         {**{f"__{n}": ("__s", q) for n, q in STALENESS_RANKS.items()}, "__delay": ("__d", 0.99)},
-        rows_in_memory=rows_in_memory,
+        size=size,
     )
     out = counted.select(
         *by,
@@ -317,13 +320,13 @@ HOP_BUDGETS_MS = {
 
 
 def hop_latency_summary(
-    events: DataFrame, hops: Mapping[str, str], *, rows_in_memory: int = ROWS_IN_MEMORY
+    events: DataFrame, hops: Mapping[str, str], *, size: Sizing = DEFAULT
 ) -> DataFrame:
     """p50/p99 per hop against its budget. ``hops`` maps a hop name to a latency column in µs."""
     long = events.select(*[F.col(c).alias(h) for h, c in hops.items()]).unpivot(
         [], list(hops), "hop", "latency_us"
     )
-    ranked = nearest_ranks(long, ["hop"], "latency_us", {"p50": 0.5, "p99": 0.99}, rows_in_memory=rows_in_memory)
+    ranked = nearest_ranks(long, ["hop"], "latency_us", {"p50": 0.5, "p99": 0.99}, size=size)
     budget = F.lit(None).cast("double")
     for hop, limit in HOP_BUDGETS_MS.items():
         budget = F.when(F.col("hop") == hop, F.lit(limit)).otherwise(budget)

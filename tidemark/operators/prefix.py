@@ -1,12 +1,12 @@
 """Running aggregates over a log that may have very hot keys, or no key at all.
 
 A window partitioned by key puts a whole key into one task. ``running`` uses that plain
-window only when the input is known to be small. Beyond ``rows_per_chunk`` rows it cuts
-the order column at equal-depth boundaries, so that no (key, chunk) group can exceed
+window only when the input is known to be small. Beyond one chunk of rows it cuts the
+order column at equal-depth boundaries, so that no (key, chunk) group can exceed
 about one chunk of rows however the keys are distributed:
 
 1. per (key, chunk) totals, combined map-side;
-2. a running carry over those totals (at most ``MAX_CHUNKS`` rows per key);
+2. a running carry over those totals (at most ``max_chunks`` rows per key);
 3. the in-chunk running value, combined with the carry joined on (key, chunk).
 
 The join and the in-chunk window share one hash partitioning, so the rows cross the
@@ -23,8 +23,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 4_000_000
-MAX_CHUNKS = 4096
+from tidemark.operators.sizing import DEFAULT, Sizing
+
 CHUNK = "__chunk"
 
 _AGGREGATE: dict[str, Callable[[Column], Column]] = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -38,24 +38,6 @@ def _combine(op: str, carry: Column, here: Column) -> Column:
     return F.when(carry.isNull(), here).otherwise(carry + F.coalesce(here, F.lit(0)))
 
 
-def chunk_bounds(
-    df: DataFrame,
-    order: str,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    max_chunks: int = MAX_CHUNKS,
-) -> list[float]:
-    """Inner equal-depth boundaries of ``order``; empty when one chunk is enough.
-
-    Costs a row count, and beyond ``rows_per_chunk`` rows one sketch over one column.
-    """
-    rows = df.count()
-    if rows <= rows_per_chunk:
-        return []
-    chunks = min(max_chunks, math.ceil(rows / rows_per_chunk))
-    cuts = [i / chunks for i in range(1, chunks)]
-    return sorted(set(df.approxQuantile(order, cuts, 0.2 / chunks)))
-
-
 def with_chunk(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
     """Add the chunk number: a pure, monotone function of ``order``, stable under retries."""
     if not bounds:
@@ -72,8 +54,7 @@ def running(
     outputs: Mapping[str, tuple[str, Column]],
     *,
     inclusive: bool = True,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    bounds: Sequence[float] | None = None,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Add running ``max``/``min``/``sum`` columns along ``order`` within ``keys``.
 
@@ -81,8 +62,7 @@ def running(
     the current row counts. ``order`` must be numeric and unique within the keys. ``keys``
     may be empty, and must hold no nulls.
     """
-    if bounds is None:
-        bounds = chunk_bounds(df, order, rows_per_chunk)
+    bounds = size.bounded(df, order).bounds
     keys = list(keys)
     last = Window.currentRow if inclusive else -1
     if keys and not bounds:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lsn import lsn_to_long
-from tidemark.operators.prefix import ROWS_PER_CHUNK, running
+from tidemark.operators.prefix import running
+from tidemark.operators.sizing import DEFAULT, Sizing
 
 MAX_ATTEMPTS = 5
 DEAD_LETTER_COLUMNS = ["source_stream", "source_message_id", "event", "error", "attempts", "failed_ts_us"]
@@ -37,18 +38,19 @@ def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
-def delivery_attempts(deliveries: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def delivery_attempts(deliveries: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """Add ``attempt``: failures of the message since its last success, this one included.
 
     ``deliveries`` has (message_id, attempt_ts_us, ok). A success clears the counter.
     """
+    size = size.bounded(deliveries, "attempt_ts_us")
     runs = running(
         deliveries, ["message_id"], "attempt_ts_us",
-        {"__run": ("sum", F.col("ok").cast("bigint"))}, inclusive=False, rows_per_chunk=rows_per_chunk,
+        {"__run": ("sum", F.col("ok").cast("bigint"))}, inclusive=False, size=size,
     ).withColumn("__run", F.coalesce("__run", F.lit(0)))
     counted = running(
         runs, ["message_id", "__run"], "attempt_ts_us",
-        {"attempt": ("sum", (~F.col("ok")).cast("bigint"))}, rows_per_chunk=rows_per_chunk,
+        {"attempt": ("sum", (~F.col("ok")).cast("bigint"))}, size=size,
     )
     return counted.drop("__run")
 

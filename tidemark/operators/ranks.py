@@ -2,20 +2,22 @@
 
 The value at rank ``ceil(q * n)`` of the sorted group, never an interpolation. The built-in
 ``percentile_disc`` follows the same rule but keeps a count per distinct value in one
-buffer per group, so it is used only below ``ROWS_IN_MEMORY`` rows; beyond that the ranks
-are found with running counts over equal-depth chunks of the value range.
+buffer per group, so it is used only up to ``Sizing.rows_in_memory`` rows; beyond that the
+ranks are found with running counts over equal-depth chunks of the value range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import ROWS_PER_CHUNK, running
+from tidemark.operators.prefix import running
+from tidemark.operators.sizing import DEFAULT, Sizing
+from tidemark.session import materialized
 
-ROWS_IN_MEMORY = 2_000_000
 _ALL = "__all"
 
 
@@ -30,15 +32,14 @@ def nearest_ranks(
     value: str,
     quantiles: Mapping[str, float],
     *,
-    rows_in_memory: int = ROWS_IN_MEMORY,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """One row per group with a column per entry of ``quantiles``."""
     by = list(by)
     known = df.filter(F.col(value).isNotNull()).select(*by, value)
-    if known.count() <= rows_in_memory:
+    if size.fits_in_memory(known):
         return known.groupBy(*by).agg(*[nearest_rank(value, q).alias(n) for n, q in quantiles.items()])
-    return ranks_by_running_count(known, by, value, quantiles, rows_per_chunk=rows_per_chunk)
+    return ranks_by_running_count(known, by, value, quantiles, size=size)
 
 
 def ranks_by_running_count(
@@ -47,12 +48,13 @@ def ranks_by_running_count(
     value: str,
     quantiles: Mapping[str, float],
     *,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """The distributed form: no task ever holds a group's values."""
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = running(counts, by, value, {"__upto": ("sum", F.col("__n"))}, rows_per_chunk=rows_per_chunk)
+    # Written once: boundaries, carries, totals and picks all read these counts.
+    counts = materialized(df.groupBy(*by, value).agg(F.count("*").alias("__n")), "counts")
+    upto = running(counts, by, value, {"__upto": ("sum", F.col("__n"))}, size=replace(size, at_most=None))
     if by:
         totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
         placed = upto.join(totals, by)
@@ -66,10 +68,10 @@ def ranks_by_running_count(
     return placed.groupBy(*by).agg(*picks)
 
 
-def value_at_rank(df: DataFrame, value: str, rank: int, *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def value_at_rank(df: DataFrame, value: str, rank: int, *, size: Sizing = DEFAULT) -> DataFrame:
     """The ``rank``-th smallest value (1-based) as a one-row frame; null beyond the end."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    upto = running(counts, [], value, {"__upto": ("sum", F.col("__n"))}, rows_per_chunk=rows_per_chunk)
+    counts = materialized(df.groupBy(value).agg(F.count("*").alias("__n")), "counts")
+    upto = running(counts, [], value, {"__upto": ("sum", F.col("__n"))}, size=replace(size, at_most=None))
     here = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
     return upto.agg(F.max(F.when(here, F.col(value))).alias(value))
 
@@ -80,12 +82,11 @@ def aggregate_with_ranks(
     aggregates: Sequence[Column],
     ranks: Mapping[str, tuple[str, float]],
     *,
-    rows_in_memory: int = ROWS_IN_MEMORY,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Ordinary aggregates plus nearest-rank columns (name -> (value column, quantile))."""
     by = list(by)
-    if df.count() <= rows_in_memory:
+    if size.fits_in_memory(df):
         ranked = [nearest_rank(v, q).alias(n) for n, (v, q) in ranks.items()]
         return df.groupBy(*by).agg(*aggregates, *ranked)
     keyed = df if by else df.withColumn(_ALL, F.lit(0))
@@ -95,6 +96,6 @@ def aggregate_with_ranks(
     for column in dict.fromkeys(v for v, _ in ranks.values()):
         wanted = {n: q for n, (v, q) in ranks.items() if v == column}
         known = keyed.filter(F.col(column).isNotNull()).select(*on, column)
-        found = ranks_by_running_count(known, on, column, wanted, rows_per_chunk=rows_per_chunk)
+        found = ranks_by_running_count(known, on, column, wanted, size=size)
         out = out.join(found, on, "left")
     return out.drop(_ALL)

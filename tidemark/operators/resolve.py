@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lsn import long_to_lsn
-from tidemark.operators.prefix import ROWS_PER_CHUNK, running
+from tidemark.operators.prefix import running
+from tidemark.operators.sizing import DEFAULT, Sizing
 
 APPLIED, SUPERSEDED = "applied", "superseded"
 TIES = ("first", "last")
@@ -28,8 +29,7 @@ def classify_events(
     seed: DataFrame | None = None,
     tie: str = "first",
     order: str = "arrival",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    bounds: Sequence[float] | None = None,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Add ``result``: superseded iff the change is not newer than all earlier arrivals.
 
@@ -46,8 +46,7 @@ def classify_events(
         order,
         {"__seen": ("max", version)},
         inclusive=False,
-        rows_per_chunk=rows_per_chunk,
-        bounds=bounds,
+        size=size,
     )
     if seed is not None:
         stored = F.col("_lsn") if tie == "first" else F.struct(F.col("_lsn").alias("lsn"), F.col("_seq").alias("seq"))
@@ -165,7 +164,7 @@ def materialize(
     order: str = "arrival",
     tie: str = "first",
     insert_mode: str = "replace",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Documents from a whole log.
 
@@ -177,7 +176,7 @@ def materialize(
         return fold_documents(log, keys, fields, insert_mode=insert_mode)
     if order != "arrival":
         raise ValueError("order must be 'arrival' or 'commit'")
-    judged = classify_events(log, keys, tie=tie, rows_per_chunk=rows_per_chunk)
+    judged = classify_events(log, keys, tie=tie, size=size)
     applied = judged.filter(F.col("result") == APPLIED)
     return fold_documents(applied, keys, fields, insert_mode=insert_mode)
 
@@ -201,8 +200,7 @@ def incremental_apply(
     *,
     tie: str = "first",
     insert_mode: str = "replace",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    bounds: Sequence[float] | None = None,
+    size: Sizing = DEFAULT,
 ) -> tuple[DataFrame, DataFrame]:
     """One batch on top of stored documents: (changed documents, classified batch).
 
@@ -212,7 +210,7 @@ def incremental_apply(
     touched = batch.select(*keys).distinct()
     stored = snapshot.join(touched, list(keys), "left_semi")
     judged = classify_events(
-        batch, keys, seed=stored, tie=tie, rows_per_chunk=rows_per_chunk, bounds=bounds
+        batch, keys, seed=stored, tie=tie, size=size
     )
     applied = judged.filter(F.col("result") == APPLIED)
     columns = [*keys, "op", "lsn", "seq", *fields]

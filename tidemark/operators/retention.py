@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import ROWS_PER_CHUNK
 from tidemark.operators.ranks import value_at_rank
+from tidemark.operators.sizing import DEFAULT, Sizing
 
 
 def last_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def trim_log(
     order: str = "arrival",
     *,
     keep_from: int | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """The newest ``maxlen`` entries, by a cut-off found with distributed running counts.
 
@@ -31,7 +31,7 @@ def trim_log(
     surplus = log.count() - maxlen
     if surplus <= 0:
         return log
-    cut = value_at_rank(log, order, surplus, rows_per_chunk=rows_per_chunk).scalar()
+    cut = value_at_rank(log, order, surplus, size=size).scalar()
     kept = F.col(order) > cut
     return log.filter(kept if keep_from is None else kept | (F.col(order) >= keep_from))
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import ROWS_PER_CHUNK, running
+from tidemark.operators.prefix import running
+from tidemark.operators.sizing import DEFAULT, Sizing
 
 # Fixed values of the commit-time guard.
 MAX_AHEAD_US = 60_000_000
@@ -52,44 +53,50 @@ def marker_status(commits: DataFrame, markers: DataFrame) -> DataFrame:
     return joined.withColumn("marker_status", status)
 
 
+@dataclass(frozen=True)
+class ProbeTimes:
+    """Irregular probes as half-open intervals ``(previous, probe]`` laid over time buckets."""
+
+    intervals: DataFrame
+    earliest: DataFrame
+    bucket_us: int
+
+
+def probe_times(probes: DataFrame, *, bucket_us: int = 10_000_000, size: Sizing = DEFAULT) -> ProbeTimes:
+    """Prepare irregular probes (a frame with ``probe_ts_us``) for ``first_probe``."""
+    instants = probes.select(F.col("probe_ts_us").cast("bigint").alias("__probe")).distinct()
+    spans = running(
+        instants, [], "__probe", {"__after": ("max", F.col("__probe"))}, inclusive=False, size=size
+    )
+    first = F.coalesce(F.col("__after") + 1, F.col("__probe"))
+    covered = F.sequence(_bucket(first, bucket_us), _bucket(F.col("__probe"), bucket_us))
+    laid = spans.withColumn("__bucket", F.explode(covered))
+    return ProbeTimes(laid, instants.agg(F.min("__probe").alias("__first")), bucket_us)
+
+
+def _bucket(at: Column, bucket_us: int) -> Column:
+    return F.floor(at / F.lit(bucket_us)).cast("bigint")
+
+
 def first_probe(
-    events: DataFrame,
-    at: str,
-    probes: ProbeGrid | DataFrame,
-    out: str,
-    *,
-    spread: str = "event_id",
-    bucket_us: int = 10_000_000,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    events: DataFrame, at: str, probes: ProbeGrid | ProbeTimes, out: str, *, spread: str = "event_id"
 ) -> DataFrame:
     """Add ``out``: the first probe at or after ``at``; null when there is none.
 
-    Irregular probes (a frame with ``probe_ts_us``) become half-open intervals
-    ``(previous probe, probe]`` laid over fixed time buckets, so each event meets the
-    intervals of its own bucket only, by equality on the bucket, and matches exactly one.
-    A bucket crowded with events is split by adaptive skew joins, since the interval side
-    of any bucket is small. Events without a time are spread by ``spread`` instead of
-    meeting in one null bucket.
+    With irregular probes each event meets the intervals of its own bucket only, by
+    equality on the bucket, and matches exactly one. A bucket crowded with events is split
+    by adaptive skew joins, since the interval side of any bucket is small. Events without
+    a time are spread by ``spread`` instead of meeting in one null bucket.
     """
     if isinstance(probes, ProbeGrid):
         return events.withColumn(out, probes.first_at_or_after(F.col(at)))
-
-    instants = probes.select(F.col("probe_ts_us").cast("bigint").alias("__probe")).distinct()
-    spans = running(
-        instants, [], "__probe", {"__after": ("max", F.col("__probe"))},
-        inclusive=False, rows_per_chunk=rows_per_chunk,
-    )
-    def bucket(t: Column) -> Column:
-        return F.floor(t / F.lit(bucket_us)).cast("bigint")
-
-    first = F.coalesce(F.col("__after") + 1, F.col("__probe"))
-    laid = spans.withColumn("__bucket", F.explode(F.sequence(bucket(first), bucket(F.col("__probe")))))
-    earliest = instants.agg(F.min("__probe").alias("__first"))
     # Events before the first probe belong to the first probe's bucket.
-    mine = F.greatest(bucket(F.col(at)), bucket(earliest.scalar()))
+    mine = F.greatest(
+        _bucket(F.col(at), probes.bucket_us), _bucket(probes.earliest.scalar(), probes.bucket_us)
+    )
     nowhere = F.lit(-1) - F.pmod(F.xxhash64(spread), F.lit(4096))
     keyed = events.withColumn("__bucket", F.when(F.col(at).isNull(), nowhere).otherwise(mine))
-    e, s = keyed.alias("e"), laid.alias("s")
+    e, s = keyed.alias("e"), probes.intervals.alias("s")
     match = (
         (F.col("e.__bucket") == F.col("s.__bucket"))
         & (F.col(f"e.{at}") <= F.col("s.__probe"))
@@ -103,7 +110,7 @@ def first_probe(
 def observations(
     commits: DataFrame,
     markers: DataFrame,
-    probes: ProbeGrid | DataFrame,
+    probes: ProbeGrid | ProbeTimes,
     *,
     slo_us: int = 1_000_000,
     guard: bool = True,

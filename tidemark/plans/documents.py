@@ -24,16 +24,16 @@ def flat(documents: DataFrame) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.classify_events(inputs.change_log(spark, sf_dir))
+    return resolve.classify_events(inputs.change_log(spark, sf_dir), size=inputs.size(spark, sf_dir))
 
 
 def live_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.change_log(spark, sf_dir)
-    return flat(resolve.live_documents(resolve.materialize(log, fields=FIELDS)))
+    return flat(resolve.live_documents(resolve.materialize(log, fields=FIELDS, size=inputs.size(spark, sf_dir))))
 
 
 def documents_arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(resolve.materialize(inputs.change_log(spark, sf_dir), fields=FIELDS))
+    return flat(resolve.materialize(inputs.change_log(spark, sf_dir), fields=FIELDS, size=inputs.size(spark, sf_dir)))
 
 
 def documents_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +43,12 @@ def documents_commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_insert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.change_log(spark, sf_dir)
-    return flat(resolve.materialize(log, fields=FIELDS, insert_mode="merge"))
+    return flat(resolve.materialize(log, fields=FIELDS, insert_mode="merge", size=inputs.size(spark, sf_dir)))
 
 
 def documents_tie_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.change_log(spark, sf_dir)
-    return flat(resolve.materialize(log, fields=FIELDS, tie="last"))
+    return flat(resolve.materialize(log, fields=FIELDS, tie="last", size=inputs.size(spark, sf_dir)))
 
 
 def documents_map_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def documents_map_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda e: e.getField("sent"),
     )
     after = F.map_from_entries(F.transform(entries, lambda e: F.struct(e.getField("n"), e.getField("v"))))
-    judged = resolve.classify_events(log.withColumn("after", after))
+    judged = resolve.classify_events(log.withColumn("after", after), size=inputs.size(spark, sf_dir))
     docs = resolve.fold_documents_map(judged.filter(F.col("result") == resolve.APPLIED))
     return docs.select(
         "key",
@@ -101,8 +101,9 @@ def incremental_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.change_log(spark, sf_dir)
     middle = log.agg(F.floor((F.min("arrival") + F.max("arrival")) / 2).alias("m")).scalar()
     first, second = log.filter(F.col("arrival") <= middle), log.filter(F.col("arrival") > middle)
-    stored = resolve.materialize(first, fields=FIELDS)
-    changed, _ = resolve.incremental_apply(stored, second, fields=FIELDS)
+    size = inputs.size(spark, sf_dir)
+    stored = resolve.materialize(first, fields=FIELDS, size=size)
+    changed, _ = resolve.incremental_apply(stored, second, fields=FIELDS, size=size)
     return flat(resolve.merge_documents(stored, changed))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.latency import age_ms, commit_to_publish_ms, micros_to_iso, queue_latency_ms, to_ms
 from tidemark.functions.lsn import long_to_lsn
 from tidemark.operators import gates, markers, metrics, ranks, retention, visibility
+from tidemark.operators.sizing import Sizing
 from tidemark.plans import documents, inputs
 from tidemark.plans.base_sql import COMMITS, LOG, MARKED, OBSERVED, with_
 
@@ -48,19 +49,24 @@ def staleness_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "visible_ts_us", to_ms(F.col("staleness_us")).alias("staleness_ms"))
 
 
-def first_probe_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+def looks(spark: SparkSession, sf_dir: str) -> visibility.ProbeTimes:
     """Reads happen when somebody looks: each ``view`` in the table is a probe instant."""
+    views = inputs.table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    return visibility.probe_times(
+        views.select(inputs.wall_micros("ts").alias("probe_ts_us")), size=inputs.size(spark, sf_dir, 1)
+    )
+
+
+def first_probe_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.marker_times(events(spark, sf_dir)).select("event_id", "marker_ts_us")
-    looks = inputs.table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
-    probes = looks.select(inputs.wall_micros("ts").alias("probe_ts_us"))
+    probes = looks(spark, sf_dir)
     return visibility.first_probe(rows, "marker_ts_us", probes, "visible_ts_us")
 
 
 def guarded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular probes with the commit-time guard, summed up per outcome."""
     rows = events(spark, sf_dir)
-    looks = inputs.table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
-    probes = looks.select(inputs.wall_micros("ts").alias("probe_ts_us"))
+    probes = looks(spark, sf_dir)
     obs = visibility.observations(rows, inputs.marker_table(rows), probes, slo_us=inputs.SLO_US)
     outcome = (
         F.when(F.col("visible_ts_us").isNotNull(), "visible")
@@ -76,18 +82,20 @@ def guarded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staleness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.staleness_summary(visibility.samples(observed(spark, sf_dir)))
+    return metrics.staleness_summary(visibility.samples(observed(spark, sf_dir)), size=inputs.size(spark, sf_dir, 1))
 
 
 def staleness_by_op(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.staleness_summary(visibility.samples(observed(spark, sf_dir)), ["op"])
+    return metrics.staleness_summary(
+        visibility.samples(observed(spark, sf_dir)), ["op"], size=inputs.size(spark, sf_dir, 1)
+    )
 
 
 def staleness_by_op_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentile form for groups of any size, forced."""
     found = visibility.samples(observed(spark, sf_dir)).select("op", "staleness_us")
     picked = ranks.ranks_by_running_count(
-        found, ["op"], "staleness_us", metrics.STALENESS_RANKS, rows_per_chunk=2_000
+        found, ["op"], "staleness_us", metrics.STALENESS_RANKS, size=Sizing(rows_per_chunk=2_000)
     )
     return picked.select("op", *[to_ms(F.col(n)).alias(f"{n}_ms") for n in metrics.STALENESS_RANKS])
 
@@ -112,7 +120,7 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detection_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = visibility.violations(observed(spark, sf_dir))
-    ranked = ranks.nearest_ranks(found, ["op"], "detection_delay_us", {"p99": 0.99})
+    ranked = ranks.nearest_ranks(found, ["op"], "detection_delay_us", {"p99": 0.99}, size=inputs.size(spark, sf_dir, 1))
     return ranked.select("op", to_ms(F.col("p99")).alias("p99_detection_delay_ms"))
 
 
@@ -125,7 +133,8 @@ def active_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observed(spark, sf_dir)
     return metrics.metrics_snapshot(
-        obs, now_of(events(spark, sf_dir)), ready={"replication": True, "probe": True}
+        obs, now_of(events(spark, sf_dir)), ready={"replication": True, "probe": True},
+        size=inputs.size(spark, sf_dir, 1),
     )
 
 
@@ -133,13 +142,14 @@ def metrics_snapshot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As an online monitor would show it: the age guard on, only the newest 10 000 samples."""
     obs = observed(spark, sf_dir, guard=True)
     return metrics.metrics_snapshot(
-        obs, now_of(events(spark, sf_dir)), sample_window=metrics.SAMPLE_WINDOW
+        obs, now_of(events(spark, sf_dir)), sample_window=metrics.SAMPLE_WINDOW,
+        size=inputs.size(spark, sf_dir, 1),
     )
 
 
 def metrics_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _with_day(observed(spark, sf_dir))
-    return metrics.metrics_snapshot(obs, now_of(events(spark, sf_dir)), ["day", "op"])
+    return metrics.metrics_snapshot(obs, now_of(events(spark, sf_dir)), ["day", "op"], size=inputs.size(spark, sf_dir, 1))
 
 
 def _with_day(df: DataFrame) -> DataFrame:
@@ -149,7 +159,7 @@ def _with_day(df: DataFrame) -> DataFrame:
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metrics history: one row per day, with readiness, backlog and lag columns."""
     obs = _with_day(observed(spark, sf_dir))
-    daily = metrics.metrics_snapshot(obs, now_of(events(spark, sf_dir)), ["day"])
+    daily = metrics.metrics_snapshot(obs, now_of(events(spark, sf_dir)), ["day"], size=inputs.size(spark, sf_dir, 1))
     return daily.withColumns(
         {
             "replication_ready": F.pmod("day", F.lit(7)) != 3,
@@ -190,7 +200,7 @@ def violation_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observed(spark, sf_dir)
-    by_op = metrics.metrics_snapshot(obs, now_of(events(spark, sf_dir)), ["op"])
+    by_op = metrics.metrics_snapshot(obs, now_of(events(spark, sf_dir)), ["op"], size=inputs.size(spark, sf_dir, 1))
     return metrics.metrics_long(by_op, ["op"])
 
 
@@ -219,7 +229,7 @@ def hop_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     stages = {"publish": "publish_us", "wake_up": "wake_us", "index": "index_us", "probe": "probe_us"}
-    return metrics.hop_latency_summary(rows, stages)
+    return metrics.hop_latency_summary(rows, stages, size=inputs.size(spark, sf_dir, 4))
 
 
 def event_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,7 +382,7 @@ def capacity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     replicas = F.pow(F.lit(2), F.pmod("key", F.lit(4))).cast("int")
     obs = observed(spark, sf_dir).withColumn("label", F.concat(F.lit("capacity-"), replicas, F.lit("replicas")))
     now = now_of(events(spark, sf_dir))
-    measured = metrics.metrics_snapshot(obs, now, ["label"])
+    measured = metrics.metrics_snapshot(obs, now, ["label"], size=inputs.size(spark, sf_dir, 1))
     sizes = obs.groupBy("label").agg(
         F.count_distinct("key").alias("documents"), F.count("*").alias("source_rows")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.identity import event_id
 from tidemark.functions.lsn import long_to_lsn
 from tidemark.functions.presence import sparse
+from tidemark.operators.sizing import Sizing
 
 DB, SCHEMA, TABLE = "catalog", "public", "accounts"
 FIELDS = ["value", "props", "event_type"]
@@ -24,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def size(spark: SparkSession, sf_dir: str, per_event: int = 2) -> Sizing:
+    """An upper bound on derived rows from the row counts in the Parquet footers.
+
+    An event gives at most two deliveries; other derivations state their own factor.
+    """
+    return Sizing(at_most=per_event * table(spark, sf_dir, "events").count())
+
+
 def wall_micros(ts: str) -> Column:
     """Microseconds of a zone-less timestamp, whatever the session time zone."""
     return F.expr(f"unix_micros(from_utc_timestamp(cast({ts} as timestamp), current_timezone()))")

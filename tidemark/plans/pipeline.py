@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.latency import micros_to_iso
 from tidemark.functions.lsn import lsn_diff, long_to_lsn
 from tidemark.operators import assemble, audit, gates, metrics, quarantine, rebuild, resolve, visibility
+from tidemark.operators.sizing import Sizing
 from tidemark.plans import documents as docs
 from tidemark.plans import freshness, inputs
 from tidemark.plans.base_sql import CLASSIFIED, COMMITS, DOC_COLUMNS, LOG, OBSERVED, fold, with_
@@ -31,11 +32,11 @@ SETTINGS = {
 
 def txn_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = inputs.messages(spark, sf_dir).select("slot", "msg_seq", "tag")
-    return assemble.number_transactions(slim, rows_per_chunk=4_000)
+    return assemble.number_transactions(slim, size=Sizing(rows_per_chunk=4_000))
 
 
 def relation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = assemble.resolve_relation(inputs.messages(spark, sf_dir))
+    resolved = assemble.resolve_relation(inputs.messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
     return resolved.select(
         "msg_seq", "relation_id", F.col("rel.msg_seq").alias("announced_seq"),
         F.size("rel.rel_columns").cast("bigint").alias("columns"),
@@ -43,7 +44,9 @@ def relation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = assemble.assemble_transactions(inputs.messages(spark, sf_dir), inputs.DB)
+    events = assemble.assemble_transactions(
+        inputs.messages(spark, sf_dir), inputs.DB, size=inputs.size(spark, sf_dir, 6)
+    )
     row = F.coalesce("after", "before")
 
     def has(name: str):
@@ -60,26 +63,28 @@ def txn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.message_errors(inputs.messages(spark, sf_dir))
+    return assemble.message_errors(inputs.messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
 
 
 def take_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole transactions until at least 5 000 events are taken."""
     rows = inputs.commits(spark, sf_dir).select("event_no", "lsn", "seq")
-    return assemble.take_until(rows, 5_000)
+    return assemble.take_until(rows, 5_000, size=inputs.size(spark, sf_dir, 1))
 
 
 # ---- delivery failures ----------------------------------------------------------------
 
 
 def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quarantine.delivery_attempts(inputs.deliveries(spark, sf_dir)).select(
-        "message_id", "attempt_ts_us", "ok", "attempt"
-    )
+    return _attempts(spark, sf_dir).select("message_id", "attempt_ts_us", "ok", "attempt")
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine.delivery_attempts(inputs.deliveries(spark, sf_dir), size=inputs.size(spark, sf_dir, 7))
 
 
 def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quarantine.dead_letters(quarantine.delivery_attempts(inputs.deliveries(spark, sf_dir)), "cdc_events")
+    return quarantine.dead_letters(_attempts(spark, sf_dir), "cdc_events")
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,7 @@ def replayed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = _dead(spark, sf_dir).select(F.col("source_message_id").cast("bigint").alias("event_no"))
     dead = log.join(failed, "event_no", "left_semi")
     alive = log.join(failed, "event_no", "left_anti").select(*dead.columns)
-    return docs.flat(resolve.materialize(quarantine.replay(alive, dead), fields=FIELDS))
+    return docs.flat(resolve.materialize(quarantine.replay(alive, dead), fields=FIELDS, size=inputs.size(spark, sf_dir)))
 
 
 def _delivered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +147,8 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log through JSON and back: valid deliveries folded into documents."""
     parsed = changelog.parse_events(_delivered_log(spark, sf_dir))
     good, _ = quarantine.split_valid(parsed)
-    return docs.flat(resolve.materialize(changelog.flatten_events(good, FIELD_TYPES), fields=FIELDS))
+    changes = changelog.flatten_events(good, FIELD_TYPES)
+    return docs.flat(resolve.materialize(changes, fields=FIELDS, size=inputs.size(spark, sf_dir)))
 
 
 # ---- logs ------------------------------------------------------------------------------
@@ -180,7 +186,7 @@ def reserved_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     leak = (F.col("event_no") % 50 == 1) & (F.col("op") == "c")
     after = F.when(leak, F.create_map(F.lit("_Document__doc"), F.lit("x"), F.lit("note"), F.lit("y")))
     changes = log.withColumn("after", F.coalesce(after, F.create_map(F.lit("note"), F.col("op"))))
-    judged = resolve.classify_events(changes).filter(F.col("result") == resolve.APPLIED)
+    judged = resolve.classify_events(changes, size=inputs.size(spark, sf_dir)).filter(F.col("result") == resolve.APPLIED)
     audited = audit.reserved_key_audit(resolve.fold_documents_map(judged, insert_mode="merge"))
     return audited.select("key", F.concat_ws(",", "reserved_keys").alias("reserved_keys"), "clean")
 
@@ -229,7 +235,7 @@ def validate_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordering_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = freshness.events(spark, sf_dir)
     stored = docs.stored_markers(spark, sf_dir)
-    current = resolve.materialize(inputs.change_log(spark, sf_dir), fields=FIELDS)
+    current = resolve.materialize(inputs.change_log(spark, sf_dir), fields=FIELDS, size=inputs.size(spark, sf_dir))
     return audit.ordering_audit(events, stored, current, FIELDS)
 
 
@@ -259,7 +265,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested record per operation, written as JSON and read back for comparison."""
     obs = freshness.observed(spark, sf_dir)
     now = freshness.now_of(freshness.events(spark, sf_dir))
-    measured = metrics.metrics_snapshot(obs, now, ["op"])
+    measured = metrics.metrics_snapshot(obs, now, ["op"], size=inputs.size(spark, sf_dir, 1))
     record = gates.run_record(
         measured, {"counts": F.struct(F.col("in_flight_count").alias("pending"))},
         F.concat(F.lit("run-"), F.col("op")), micros_to_iso(now),

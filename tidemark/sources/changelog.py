@@ -19,22 +19,24 @@ ENVELOPE = (
 LOG_SCHEMA = "message_id string, arrival bigint, event string"
 
 
-def one_json_object(text: Column, data_type: str) -> Column:
-    """``text`` parsed strictly: null unless it is exactly one well-formed JSON object.
+def with_json_object(df: DataFrame, text: Column, data_type: str, out: str) -> DataFrame:
+    """Add ``out``: ``text`` parsed strictly, null unless it is exactly one JSON object.
 
     The bracketed form makes anything after the object an error, which a plain
-    ``from_json`` would overlook.
+    ``from_json`` would overlook. Parsing sits in a generator of one row, which the
+    optimizer does not copy into every filter and column that looks at the result.
     """
     listed = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")), f"array<{data_type}>", {"allowSingleQuotes": "false"}
     )
-    alone = (F.size(listed) == 1) & F.rtrim(text).endswith("}")
-    return F.when(alone, listed[0])
+    parsed = df.withColumn("__listed", F.explode(F.array(listed)))
+    alone = (F.size("__listed") == 1) & F.rtrim(text).endswith("}")
+    return parsed.withColumn(out, F.when(alone, F.col("__listed")[0])).drop("__listed")
 
 
 def parse_events(log: DataFrame) -> DataFrame:
     """Add ``e``, the envelope; null where the delivery is not readable."""
-    return log.withColumn("e", one_json_object(F.col("event"), ENVELOPE))
+    return with_json_object(log, F.col("event"), ENVELOPE, "e")
 
 
 def read_change_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.changelog import one_json_object
+from tidemark.sources.changelog import with_json_object
 
 # Words that make a setting's name sensitive, and the shortest masked value.
 SENSITIVE_WORDS = ("PASSWORD", "MASTER_KEY", "SECRET", "TOKEN", "API_KEY")
@@ -24,7 +24,7 @@ def parse_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``record`` (a map) from the first ``{`` on; lines without readable JSON are left out."""
     at = F.instr(F.col(line), F.lit("{"))
     text = F.when(at > 0, F.col(line).substr(at, F.length(line)))
-    parsed = lines.withColumn("record", one_json_object(text, "map<string,string>"))
+    parsed = with_json_object(lines, text, "map<string,string>", "record")
     return parsed.filter(F.col("record").isNotNull())
 
 
