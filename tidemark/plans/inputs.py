@@ -228,7 +228,7 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("key"),
         F.when(gone, "d").otherwise("u").alias("op"),
         (F.lit(LSN_BASE) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("lsn"),
-        (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("seq"),
+        ((F.col("l_partkey") * 100_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("bigint")).alias("seq"),
         sparse(F.col("l_linestatus"), ~gone).alias("status"),
         sparse(F.col("l_extendedprice"), ~gone & (F.col("l_linestatus") == "F")).alias("price"),
     )

@@ -410,13 +410,13 @@ changes AS (
   SELECT o_orderkey AS key, 'c' AS op, (SELECT lsn FROM cut) AS lsn, 0 AS seq, TRUE AS has_status,
          o_orderstatus AS status, TRUE AS has_price, o_totalprice AS price FROM orders
   UNION ALL
-  SELECT l_orderkey, CASE WHEN gone THEN 'd' ELSE 'u' END, lsn, l_partkey * 100000 + l_suppkey, NOT gone,
+  SELECT l_orderkey, CASE WHEN gone THEN 'd' ELSE 'u' END, lsn, (l_partkey * 100000 + l_suppkey) * 100 + l_quantity::BIGINT, NOT gone,
          l_linestatus, NOT gone AND l_linestatus = 'F', l_extendedprice
   FROM (SELECT *, l_returnflag = 'R' AND l_linenumber >= 4 AS gone,
                4294967296 + l_orderkey * 8 + l_linenumber AS lsn FROM lineitem)
   WHERE lsn > (SELECT lsn FROM cut)
 ),
-versions AS (SELECT *, CAST(lsn AS HUGEINT) * 1000000000000 + seq AS v FROM changes),
+versions AS (SELECT *, CAST(lsn AS HUGEINT) * 100000000000000 + seq AS v FROM changes),
 resets AS (SELECT *, max(v) FILTER (op IN ('c', 'd')) OVER (PARTITION BY key) AS reset FROM versions),
 rebuilt AS (
   SELECT key, arg_max(status, v) FILTER (has_status AND v >= coalesce(reset, -1)) AS status,
