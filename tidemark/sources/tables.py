@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 class VersionedTable:
@@ -24,7 +24,8 @@ class VersionedTable:
         return f"{self.path}/kind={kind}/version={version}"
 
     def _versions(self) -> DataFrame | None:
-        full = StructType(self.schema.fields).add("kind", StringType()).add("version", LongType())
+        folders = [StructField("kind", StringType()), StructField("version", LongType())]
+        full = StructType([*self.schema.fields, *folders])
         try:
             return self.spark.read.schema(full).parquet(self.path)
         except AnalysisException as exc:
