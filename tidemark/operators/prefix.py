@@ -1,22 +1,25 @@
 """Running aggregates over a log that may have very hot keys, or no key at all.
 
-A window partitioned by key puts a whole key into one task. ``running`` uses that plain
-window only when the input is known to be small. Beyond one chunk of rows it cuts the
-order column at equal-depth boundaries, so that no (key, chunk) group can exceed
-about one chunk of rows however the keys are distributed:
-
-1. per (key, chunk) totals, combined map-side;
-2. a running carry over those totals (at most ``max_chunks`` rows per key);
+A window partitioned by key puts a whole key into one task. That is fine for every key of
+at most a chunk of rows, so ``running`` first finds the keys beyond that (counted map-side;
+there can be no more of them than rows / chunk). Without any, the plain window is used.
+The others are cut along the order column at equal-depth boundaries, so that no group
+exceeds about one chunk of rows however the keys are distributed:
+
+1. totals per (hot key, chunk), combined map-side;
+2. a running carry over those totals, at most ``max_chunks`` rows per hot key;
 3. the in-chunk running value, combined with the carry joined on (key, chunk).
 
-The join and the in-chunk window share one hash partitioning, so the rows cross the
-network once, as they would with the plain window.
+The join and the window share one hash partitioning, so the rows cross the network once,
+as with the plain window. The carry has at most ``max_chunks / rows_per_chunk`` (0.1 %) of
+the log's rows, which is why it can be the build side of a hash join in every partition.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -24,8 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.sizing import DEFAULT, Sizing
+from tidemark.session import materialized
 
 CHUNK = "__chunk"
+# Hot keys are broadcast only where their number is known to stay below this.
+BROADCAST_KEYS = 100_000
 
 _AGGREGATE: dict[str, Callable[[Column], Column]] = {"max": F.max, "min": F.min, "sum": F.sum}
 
@@ -38,6 +44,15 @@ def _combine(op: str, carry: Column, here: Column) -> Column:
     return F.when(carry.isNull(), here).otherwise(carry + F.coalesce(here, F.lit(0)))
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], size: Sizing) -> DataFrame | None:
+    """Keys with more rows than a chunk, written out; None when there are none."""
+    if size.rows(df) <= size.rows_per_chunk:
+        return None
+    counted = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    found = materialized(counted.filter(F.col("__n") > size.rows_per_chunk).select(*keys), "hot-keys")
+    return None if found.isEmpty() else found
+
+
 def with_chunk(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
     """Add the chunk number: a pure, monotone function of ``order``, stable under retries."""
     if not bounds:
@@ -60,32 +75,44 @@ def running(
 
     ``outputs`` maps a new column to (aggregate, expression). ``inclusive`` decides whether
     the current row counts. ``order`` must be numeric and unique within the keys. ``keys``
-    may be empty, and must hold no nulls.
+    may be empty.
     """
-    bounds = size.bounded(df, order).bounds
     keys = list(keys)
     last = Window.currentRow if inclusive else -1
-    if keys and not bounds:
-        along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-        return df.withColumns({n: _AGGREGATE[op](e).over(along) for n, (op, e) in outputs.items()})
+    size = replace(size, at_most=size.rows(df))
 
+    def along(*group: str) -> dict[str, Column]:
+        frame = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+        return {n: _AGGREGATE[op](e).over(frame) for n, (op, e) in outputs.items()}
+
+    hot = hot_keys(df, keys, size) if keys else None
+    if keys and hot is None:
+        return df.withColumns(along(*keys))
+
+    bounds = size.bounded(df, order).bounds
     group = [*keys, CHUNK]
-    tagged = with_chunk(df, order, bounds)
-    inside = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    tagged = cut = with_chunk(df, order, bounds)
     if not bounds:
-        here = {n: _AGGREGATE[op](e).over(inside) for n, (op, e) in outputs.items()}
-        return tagged.withColumns(here).drop(CHUNK)
-
-    totals = tagged.groupBy(*group).agg(*[_AGGREGATE[op](e).alias(n) for n, (op, e) in outputs.items()])
+        return tagged.withColumns(along(*group)).drop(CHUNK)
+    if hot is not None:
+        few = size.at_most // size.rows_per_chunk <= BROADCAST_KEYS
+        marked = hot.withColumn("__hot", F.lit(True))
+        marked = F.broadcast(marked) if few else marked
+        cut = cut.join(marked, keys, "left_semi")
+        # A key that is not hot stays in one piece.
+        tagged = tagged.join(marked, keys, "left")
+        tagged = tagged.withColumn(CHUNK, F.when(F.col("__hot"), F.col(CHUNK)).otherwise(-1)).drop("__hot")
+
+    totals = cut.groupBy(*group).agg(*[_AGGREGATE[op](e).alias(n) for n, (op, e) in outputs.items()])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = {f"__carry_{n}": _AGGREGATE[op](F.col(n)).over(before) for n, (op, _) in outputs.items()}
     carry = totals.select(*group, *[c.alias(n) for n, c in carried.items()])
     some = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in carried])
+    carry = carry.filter(some)
 
-    joined = tagged.join(carry.filter(some), group, "left")
-    here = {n: _AGGREGATE[op](e).over(inside) for n, (op, e) in outputs.items()}
-    joined = joined.withColumns(here)
+    carry = carry.hint("shuffle_hash") if keys else F.broadcast(carry)
+    joined = tagged.join(carry, group, "left").withColumns(along(*group))
     joined = joined.withColumns(
         {n: _combine(op, F.col(f"__carry_{n}"), F.col(n)) for n, (op, _) in outputs.items()}
     )
-    return joined.drop(CHUNK, *carried)
+    return joined.select(*df.columns, *outputs)
