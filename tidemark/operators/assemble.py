@@ -3,7 +3,9 @@
 A message row has ``slot, msg_seq, tag, xid, relation_id, commit_lsn, commit_ts_us, schema,
 table, rel_columns, new_tuple, old_tuple, captured_ts_us``. Everything positional is a
 running aggregate along ``msg_seq`` in chunked form (``prefix.running``), so neither one
-huge slot nor one huge transaction ends up in a single task.
+huge slot nor one huge transaction ends up in a single task. Positions are worked out on
+narrow rows; the tuples join at the end, on the unique (slot, msg_seq), and so cross the
+network once.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.identity import event_id
 from tidemark.functions.lsn import long_to_lsn, pg_micros_to_unix
 from tidemark.functions.values import KNOWN_KINDS, bad_integer, decode_row, key_map
+from tidemark.operators.once import with_once
 from tidemark.operators.prefix import running
 from tidemark.operators.sizing import DEFAULT, Sizing
 
@@ -69,24 +72,39 @@ def transaction_table(numbered: DataFrame) -> DataFrame:
     )
 
 
-def resolve_relation(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
-    """Row messages with ``rel``: the latest definition of their relation announced before them.
-
-    The definition travels with the running maximum of the announcing ``msg_seq``, which
-    makes the as-of lookup one shuffle and no join. Null where the relation is unknown.
-    """
+def announcements(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
+    """Row messages with ``announced``: the newest relation message of their id before them."""
     related = messages.filter(F.col("tag").isin(RELATION, *ROW_TAGS) & F.col("relation_id").isNotNull())
-    definition = F.struct("msg_seq", "schema", "table", "rel_columns")
     latest = running(
         related,
         ["slot", "relation_id"],
         "msg_seq",
-        {"rel": ("max", F.when(F.col("tag") == RELATION, definition))},
+        {"announced": ("max", F.when(F.col("tag") == RELATION, F.col("msg_seq")))},
         size=size,
     )
     return latest.filter(_is_row())
 
 
+def with_payload(placed: DataFrame, messages: DataFrame) -> DataFrame:
+    """Placed rows with their tuples and ``rel``, their relation's definition (null if unknown).
+
+    Definitions are few as a rule; whether they are broadcast is left to their size at run time.
+    """
+    payload = messages.filter(_is_row()).select("slot", "msg_seq", "new_tuple", "old_tuple", "captured_ts_us")
+    definitions = messages.filter(F.col("tag") == RELATION).select(
+        "slot",
+        F.col("msg_seq").alias("announced"),
+        F.struct("msg_seq", "schema", "table", "rel_columns").alias("rel"),
+    )
+    return placed.join(payload, ["slot", "msg_seq"]).join(definitions, ["slot", "announced"], "left")
+
+
+def resolve_relation(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
+    """Row messages, tuples included, with the definition of their relation that held then."""
+    slim = messages.select("slot", "msg_seq", "tag", "relation_id")
+    return with_payload(announcements(slim, size=size), messages)
+
+
 def _tuple() -> Column:
     return F.when(F.col("tag") == "D", F.col("old_tuple")).otherwise(F.col("new_tuple"))
 
@@ -110,9 +128,9 @@ def _row_error() -> Column:
 
 def decode_tuples(resolved: DataFrame) -> DataFrame:
     """Add ``error`` (null when fine) and ``row``, the decoded fields by name."""
-    checked = resolved.withColumn("error", _row_error())
+    checked = with_once(resolved, "error", _row_error())
     decoded = decode_row(F.col("rel.rel_columns"), _tuple())
-    return checked.withColumn("row", F.when(F.col("error").isNull(), decoded))
+    return with_once(checked, "row", F.when(F.col("error").isNull(), decoded))
 
 
 def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
@@ -153,12 +171,13 @@ def assemble_transactions(
     transaction. ``seq`` is the row's 0-based place in its transaction, undecodable rows
     included, so identities stay the same once such a row is repaired.
     """
-    size = size.bounded(messages, "msg_seq")
-    numbered = number_transactions(messages, size=size)
+    slim = messages.select("slot", "msg_seq", "tag", "relation_id", "xid", "commit_lsn", "commit_ts_us")
+    size = size.bounded(slim, "msg_seq")
+    numbered = number_transactions(slim, size=size)
     txns = transaction_table(numbered).filter(F.col("commit_seq").isNotNull())
-    rows = decode_tuples(resolve_relation(numbered, size=size))
-    good = rows.filter(F.col("error").isNull()).drop("commit_lsn", "commit_ts_us", "xid")
-    placed = good.join(txns, ["slot", "txn"]).filter(F.col("msg_seq") < F.col("commit_seq"))
+    rows = announcements(numbered.select("slot", "msg_seq", "tag", "relation_id", "txn", "row_no"), size=size)
+    committed = rows.join(txns, ["slot", "txn"]).filter(F.col("msg_seq") < F.col("commit_seq"))
+    placed = decode_tuples(with_payload(committed, messages)).filter(F.col("error").isNull())
     seq = (F.col("row_no") - F.col("rows_before") - 1).cast("int")
     op = F.when(F.col("tag") == "I", "c").when(F.col("tag") == "U", "u").otherwise("d")
     lsn_text = long_to_lsn("lsn")

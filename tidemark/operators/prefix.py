@@ -11,7 +11,7 @@ exceeds about one chunk of rows however the keys are distributed:
 3. the in-chunk running value, combined with the carry joined on (key, chunk).
 
 The join and the window share one hash partitioning, so the rows cross the network once,
-as with the plain window. The carry has at most ``max_chunks / rows_per_chunk`` (0.1 %) of
+as with the plain window. The carry has at most ``max_chunks / rows_per_chunk`` (0.4 %) of
 the log's rows, which is why it can be the build side of a hash join in every partition.
 """
 

@@ -69,13 +69,15 @@ def fold_documents(
     fields: Sequence[str] = (),
     *,
     insert_mode: str = "replace",
+    touched: Column | None = None,
 ) -> DataFrame:
     """One document per key from changes that are to take effect, in version order.
 
     A single aggregation combined map-side: for each field the newest change that sent it,
     for each key the newest reset (a delete, and an insert under ``insert_mode='replace'``).
     A field survives iff it was sent at or after that reset. No window and no join, so a
-    key holding a third of the log costs no more than any other.
+    key holding a third of the log costs no more than any other. With ``touched`` only keys
+    with a change for which it holds come back.
     """
     version = F.struct("lsn", "seq")
     newest = F.max_by(F.struct("op", "lsn", "seq"), version).alias("__newest")
@@ -84,7 +86,11 @@ def fold_documents(
         F.max_by(F.struct(version.alias("at"), F.col(f).alias("f")), F.when(F.col(f).isNotNull(), version)).alias(f)
         for f in fields
     ]
-    folded = changes.groupBy(*keys).agg(newest, reset, *sent)
+    if touched is None:
+        folded = changes.groupBy(*keys).agg(newest, reset, *sent)
+    else:
+        marked = F.bool_or(touched).alias("__touched")
+        folded = changes.groupBy(*keys).agg(newest, reset, *sent, marked).filter("__touched")
     survives = [
         F.when(
             F.col("__reset").isNull() | (F.col(f"{f}.at") >= F.col("__reset")), F.col(f"{f}.f")
@@ -214,11 +220,11 @@ def incremental_apply(
     )
     applied = judged.filter(F.col("result") == APPLIED)
     columns = [*keys, "op", "lsn", "seq", *fields]
-    base = documents_as_changes(stored).select(*columns)
-    folded = fold_documents(
-        base.unionByName(applied.select(*columns)), keys, fields, insert_mode=insert_mode
+    base = documents_as_changes(stored).select(*columns, F.lit(False).alias("__new"))
+    fresh = applied.select(*columns, F.lit(True).alias("__new"))
+    changed = fold_documents(
+        base.unionByName(fresh), keys, fields, insert_mode=insert_mode, touched=F.col("__new")
     )
-    changed = folded.join(applied.select(*keys).distinct(), list(keys), "left_semi")
     return changed, judged
 
 

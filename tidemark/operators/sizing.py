@@ -19,7 +19,7 @@ class Sizing:
     """
 
     at_most: int | None = None
-    rows_per_chunk: int = 4_000_000
+    rows_per_chunk: int = 1_000_000
     rows_in_memory: int = 2_000_000
     max_chunks: int = 4096
     bounds: tuple[float, ...] | None = None

@@ -130,6 +130,23 @@ def active_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active.select("event_id", "violation_ts_us", "active_us")
 
 
+def in_flight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.in_flight_summary(observed(spark, sf_dir), now_of(events(spark, sf_dir)), ["op"])
+
+
+def violation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.violation_summary(
+        observed(spark, sf_dir), now_of(events(spark, sf_dir)), ["op"], size=inputs.size(spark, sf_dir, 1)
+    )
+
+
+def tracked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits spread over three tables of which two are tracked."""
+    names = F.array(F.lit("accounts"), F.lit("orders"), F.lit("audit"))
+    rows = inputs.commits(spark, sf_dir).select("event_no", "key", names[F.pmod("key", F.lit(3))].alias("table"))
+    return visibility.tracked_events(rows, ["accounts", "orders"])
+
+
 def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observed(spark, sf_dir)
     return metrics.metrics_snapshot(
@@ -398,7 +415,7 @@ QUERIES = {
     for f in (
         marker_statuses, staleness_samples, first_probe_irregular, guarded_observations, staleness_summary,
         staleness_by_op, staleness_by_op_running_counts, staleness_last_window, last_n_samples, violations,
-        detection_delay, active_violations, metrics_snapshot, metrics_snapshot_window, metrics_by_day,
+        detection_delay, active_violations, in_flight_summary, violation_summary, tracked_events, metrics_snapshot, metrics_snapshot_window, metrics_by_day,
         health_status, alerts, slo_gate, violation_artifact, metrics_long, ack_frontier, hop_latency,
         event_latencies, expired_markers, purge_markers, trim_log, commit_order, read_range, events_of_key,
         commit_window, time_guard, batch_metrics, batch_totals, lag_by_consumer, compare_runs,
@@ -509,6 +526,14 @@ ORACLE = {
     "active_violations": with_(_AT_NOW) + """
       SELECT event_id, violation_ts_us, now - violation_ts_us AS active_us FROM at_now
       WHERE is_violation AND NOT is_sample""",
+    "in_flight_summary": with_(_AT_NOW) + """
+      SELECT op, count(*) FILTER (NOT is_sample) AS in_flight_count,
+             max(age_us) FILTER (NOT is_sample) / 1000.0::DOUBLE AS oldest_in_flight_age_ms FROM at_now GROUP BY op""",
+    "violation_summary": with_(_AT_NOW, f"by_op AS (SELECT op, {_SNAPSHOT} FROM at_now GROUP BY op)") + """
+      SELECT op, violation_count, active_violation_count, p99_detection_delay_ms, violation_duration_seconds
+      FROM by_op""",
+    "tracked_events": with_(COMMITS) + """
+      SELECT event_no, key, ['accounts', 'orders', 'audit'][key % 3 + 1] AS "table" FROM commits WHERE key % 3 <> 2""",
     "metrics_snapshot": with_(_AT_NOW)
     + f" SELECT {_SNAPSHOT}, TRUE AS replication_ready, TRUE AS probe_ready FROM at_now",
     "metrics_snapshot_window": with_(_AT_NOW, """

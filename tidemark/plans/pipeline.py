@@ -13,7 +13,7 @@ from tidemark.plans import documents as docs
 from tidemark.plans import freshness, inputs
 from tidemark.plans.base_sql import CLASSIFIED, COMMITS, DOC_COLUMNS, LOG, OBSERVED, fold, with_
 from tidemark.plans.inputs import FIELDS
-from tidemark.session import scratch_path
+from tidemark.session import materialized, scratch_path
 from tidemark.sources import changelog, logs
 from tidemark.streaming import materialize as streams
 
@@ -30,13 +30,20 @@ SETTINGS = {
 # ---- assembly ------------------------------------------------------------------------
 
 
+def landed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenised messages as a landing table, the form in which they reach the engine."""
+    path = scratch_path(spark, "messages")
+    inputs.messages(spark, sf_dir).write.parquet(path)
+    return changelog.read_replication_messages(spark, path)
+
+
 def txn_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = inputs.messages(spark, sf_dir).select("slot", "msg_seq", "tag")
     return assemble.number_transactions(slim, size=Sizing(rows_per_chunk=4_000))
 
 
 def relation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = assemble.resolve_relation(inputs.messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
+    resolved = assemble.resolve_relation(landed_messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
     return resolved.select(
         "msg_seq", "relation_id", F.col("rel.msg_seq").alias("announced_seq"),
         F.size("rel.rel_columns").cast("bigint").alias("columns"),
@@ -45,7 +52,7 @@ def relation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = assemble.assemble_transactions(
-        inputs.messages(spark, sf_dir), inputs.DB, size=inputs.size(spark, sf_dir, 6)
+        landed_messages(spark, sf_dir), inputs.DB, size=inputs.size(spark, sf_dir, 6)
     )
     row = F.coalesce("after", "before")
 
@@ -63,7 +70,7 @@ def txn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.message_errors(inputs.messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
+    return assemble.message_errors(landed_messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
 
 
 def take_until(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +291,8 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_slices(spark: SparkSession, sf_dir: str, path: str, slices: int = 3) -> None:
     """The delivered log as files in delivery order, for a file stream to pick up."""
-    for part in inputs.log_slices(_delivered_log(spark, sf_dir), slices):
+    log = _delivered_log(spark, sf_dir).select("message_id", "arrival", "event")
+    for part in inputs.log_slices(materialized(log, "delivered"), slices):
         changelog.write_change_log(part, path)
 
 
@@ -340,6 +348,22 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redeliveries suppressed while streaming, within a horizon of sixty days of commit time."""
+    root = scratch_path(spark, "dedupe")
+    log = inputs.change_log(spark, sf_dir)
+    log.select("event_id", "op", F.timestamp_micros("commit_ts_us").alias("commit_time")).write.parquet(f"{root}/log")
+    stream = spark.readStream.schema("event_id string, op string, commit_time timestamp").parquet(f"{root}/log")
+    once = streams.first_deliveries(stream, "commit_time", "60 days")
+    query = (
+        once.writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    found = spark.read.schema("event_id string, op string").parquet(f"{root}/out")
+    return found.select("event_id", "op")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -348,6 +372,7 @@ QUERIES = {
         parsed_documents, log_records, log_excerpt, masked_logs, leaked_secrets, reserved_key_audit,
         rebuild_documents, convergence_differences, convergence_report, validate_source, ordering_audit,
         trace_events, lsn_distance, run_history, stream_documents, stream_markers, stream_violations,
+        stream_first_deliveries,
     )
 }
 
@@ -581,6 +606,7 @@ ORACLE = {
       SELECT op, result, count(*) AS markers FROM (
         SELECT event_id, any_value(op) AS op, arg_max(result, arrival) AS result FROM judged GROUP BY event_id)
       GROUP BY op, result""",
+    "stream_first_deliveries": with_(COMMITS) + " SELECT event_id, op FROM commits",
     "stream_violations": with_(OBSERVED) + """
       SELECT event_id, lsn, commit_ts_us FROM observed
       WHERE marker_ts_us IS NULL OR marker_ts_us - commit_ts_us > 1000000""",

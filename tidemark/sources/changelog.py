@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.lsn import long_to_lsn, lsn_to_long
 from tidemark.functions.presence import sparse_from_map
 from tidemark.operators.assemble import MESSAGE_SCHEMA
+from tidemark.operators.once import with_once
 
 ENVELOPE = (
     "struct<event_id:string,op:string,source:struct<db:string,schema:string,table:string>,"
@@ -23,13 +24,12 @@ def with_json_object(df: DataFrame, text: Column, data_type: str, out: str) -> D
     """Add ``out``: ``text`` parsed strictly, null unless it is exactly one JSON object.
 
     The bracketed form makes anything after the object an error, which a plain
-    ``from_json`` would overlook. Parsing sits in a generator of one row, which the
-    optimizer does not copy into every filter and column that looks at the result.
+    ``from_json`` would overlook.
     """
     listed = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")), f"array<{data_type}>", {"allowSingleQuotes": "false"}
     )
-    parsed = df.withColumn("__listed", F.explode(F.array(listed)))
+    parsed = with_once(df, "__listed", listed)
     alone = (F.size("__listed") == 1) & F.rtrim(text).endswith("}")
     return parsed.withColumn(out, F.when(alone, F.col("__listed")[0])).drop("__listed")
 

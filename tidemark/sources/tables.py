@@ -34,11 +34,15 @@ class VersionedTable:
             raise
 
     def append(self, rows: DataFrame, version: int) -> None:
-        """Write the rows changed by one batch."""
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._folder("delta", version))
+        """Write the rows changed by one batch, sorted so that key lookups can skip row groups."""
+        out = rows.select(*self.schema.names).sortWithinPartitions(*self.keys)
+        out.write.mode("overwrite").parquet(self._folder("delta", version))
 
-    def as_of(self, version: int | None = None) -> DataFrame:
-        """The newest row of each key among versions up to ``version``."""
+    def as_of(self, version: int | None = None, *, only: DataFrame | None = None) -> DataFrame:
+        """The newest row of each key among versions up to ``version``.
+
+        ``only`` (a frame of keys) keeps the rest of the table out of the aggregation.
+        """
         rows = self._versions()
         if rows is None:
             return self.spark.createDataFrame([], self.schema)
@@ -51,6 +55,8 @@ class VersionedTable:
             rows = rows.filter(((F.col("kind") == "base") & (F.col("version") == base)) | newer)
         else:
             rows = rows.filter(F.col("kind") == "delta")
+        if only is not None:
+            rows = rows.join(only.select(*self.keys), self.keys, "left_semi")
         rest = [c for c in self.schema.names if c not in self.keys]
         newest = F.max_by(F.struct(*rest), F.col("version")).alias("__row")
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "__row.*").select(*self.schema.names)

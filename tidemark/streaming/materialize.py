@@ -13,6 +13,7 @@ from tidemark.operators import metrics as metric_ops
 from tidemark.operators.markers import marker_state, markers
 from tidemark.operators.quarantine import split_valid
 from tidemark.operators.resolve import incremental_apply
+from tidemark.operators.sizing import Sizing
 from tidemark.sources.changelog import flatten_events
 from tidemark.sources.tables import BatchLedger, VersionedTable
 
@@ -48,8 +49,11 @@ class DocumentStore:
         good, bad = split_valid(parsed)
         batch = flatten_events(good, self.fields).persist()
         try:
-            stored = self.documents.as_of(batch_id - 1)
-            changed, judged = incremental_apply(stored, batch, fields=list(self.fields))
+            touched = batch.select("key").distinct()
+            stored = self.documents.as_of(batch_id - 1, only=touched)
+            # A batch is counted while it is cached; no later step has to count again.
+            size = Sizing(at_most=batch.count())
+            changed, judged = incremental_apply(stored, batch, fields=list(self.fields), size=size)
             self.documents.append(changed, batch_id)
             self.markers.append(marker_state(markers(judged)), batch_id)
             failed = bad.select("message_id", "arrival", "event", F.col("reason").alias("error"))
