@@ -151,3 +151,20 @@ def test_excerpt_and_masking(lines):
     assert masked.filter("line_no = 5").first()["line"] == "[REDACTED] and [REDACTED] again, short"
     assert logs.leaked_secrets(lines, "line", settings).count() == 1
     assert logs.leaked_secrets(masked, "line", settings).count() == 0
+
+
+def test_dead_letters_are_appended(spark, tmp_path):
+    dead = quarantine.dead_letters(attempts(spark, {"a": "fffff"}), "cdc_events")
+    for _ in range(2):
+        changelog.write_dead_letters(dead, str(tmp_path / "dead"), quarantine.DEAD_LETTER_COLUMNS)
+    back = spark.read.parquet(str(tmp_path / "dead"))
+    assert back.columns == quarantine.DEAD_LETTER_COLUMNS and back.count() == 2
+
+
+def test_source_snapshot_takes_one_source(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "rows"))
+    assert changelog.read_source_snapshot(spark, str(tmp_path / "rows")).count() == 3
+    with pytest.raises(ValueError):
+        changelog.read_source_snapshot(spark)
+    with pytest.raises(ValueError):
+        changelog.read_source_snapshot(spark, "x", jdbc={"url": "jdbc:none"})

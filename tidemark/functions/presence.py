@@ -25,7 +25,7 @@ def sparse(value: Column, sent: Column) -> Column:
 
 def sparse_from_map(fields: Column, name: str, data_type: str = "string") -> Column:
     """A presence struct from a map whose key set says which fields were sent."""
-    sent = F.map_contains_key(fields, F.lit(name))
+    sent = F.coalesce(F.map_contains_key(fields, F.lit(name)), F.lit(False))
     return F.when(sent, present(fields.getItem(name).try_cast(data_type)))
 
 

@@ -13,6 +13,7 @@ from tidemark.functions.identity import event_id
 from tidemark.functions.lsn import long_to_lsn
 from tidemark.functions.presence import sparse
 from tidemark.operators.sizing import Sizing
+from tidemark.sources.changelog import read_source_snapshot
 
 DB, SCHEMA, TABLE = "catalog", "public", "accounts"
 FIELDS = ["value", "props", "event_type"]
@@ -235,7 +236,7 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    return read_source_snapshot(spark, f"{sf_dir.rstrip('/')}/orders.parquet").select(
         F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")
     )
 

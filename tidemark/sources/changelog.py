@@ -116,8 +116,10 @@ def write_change_log(
     (writer.partitionBy("day") if by_day else writer).save(path)
 
 
-def flatten_events(parsed: DataFrame, fields: Mapping[str, str]) -> DataFrame:
-    """Valid parsed deliveries in the flat form the resolver works on (typed sparse fields)."""
+def flatten_events(
+    parsed: DataFrame, fields: Mapping[str, str], more: Sequence[Column | str] = ()
+) -> DataFrame:
+    """Parsed deliveries in the flat form the resolver works on (typed sparse fields)."""
     e = F.col("e")
     return parsed.select(
         "message_id",
@@ -131,6 +133,7 @@ def flatten_events(parsed: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         e["commit_ts_us"].alias("commit_ts_us"),
         e["published_ts_us"].alias("published_ts_us"),
         *[sparse_from_map(e["after"], f, t).alias(f) for f, t in fields.items()],
+        *more,
     )
 
 

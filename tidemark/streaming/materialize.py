@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators import metrics as metric_ops
 from tidemark.operators.markers import marker_state, markers
-from tidemark.operators.quarantine import split_valid
+from tidemark.operators.quarantine import invalid_reason
 from tidemark.operators.resolve import incremental_apply
 from tidemark.operators.sizing import Sizing
 from tidemark.sources.changelog import flatten_events
@@ -46,24 +46,27 @@ class DocumentStore:
         """
         if self.ledger.last() >= batch_id:
             return
-        good, bad = split_valid(parsed)
-        batch = flatten_events(good, self.fields).persist()
+        judged = parsed.withColumn("reason", invalid_reason())
+        kept = ("reason", F.when(F.col("reason").isNotNull(), F.col("event")).alias("event"))
+        # Parsed once: the cached rows are flat, and only failed ones still carry their text.
+        rows = flatten_events(judged, self.fields, kept).persist()
         try:
+            size = Sizing(at_most=rows.count())
+            batch = rows.filter(F.col("reason").isNull()).drop("reason", "event")
             touched = batch.select("key").distinct()
             stored = self.documents.as_of(batch_id - 1, only=touched)
-            # A batch is counted while it is cached; no later step has to count again.
-            size = Sizing(at_most=batch.count())
-            changed, judged = incremental_apply(stored, batch, fields=list(self.fields), size=size)
+            changed, outcomes = incremental_apply(stored, batch, fields=list(self.fields), size=size)
             self.documents.append(changed, batch_id)
-            self.markers.append(marker_state(markers(judged)), batch_id)
-            failed = bad.select("message_id", "arrival", "event", F.col("reason").alias("error"))
+            self.markers.append(marker_state(markers(outcomes)), batch_id)
+            failed = rows.filter(F.col("reason").isNotNull())
+            failed = failed.select("message_id", "arrival", "event", F.col("reason").alias("error"))
             self.failures.append(failed, batch_id)
             if compact_every and batch_id and batch_id % compact_every == 0:
                 self.documents.compact(batch_id)
                 self.markers.compact(batch_id)
             self.ledger.commit(batch_id)
         finally:
-            batch.unpersist()
+            rows.unpersist()
 
     def current_documents(self) -> DataFrame:
         return self.documents.as_of(self.ledger.last())
