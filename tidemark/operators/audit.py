@@ -94,34 +94,39 @@ def ordering_audit(
     )
 
 
-def convergence(source: DataFrame, documents: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Keys on which source rows and live documents disagree: missing, extra or different."""
-    keys = list(keys)
+def _compared(source: DataFrame, documents: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     s = source.select(*keys, F.struct(*columns).alias("__s"))
     d = live_documents(documents).select(*keys, F.struct(*columns).alias("__d"))
-    joined = s.join(d, keys, "full_outer")
+    joined = s.join(d, list(keys), "full_outer")
     verdict = (
         F.when(F.col("__d").isNull(), "missing")
         .when(F.col("__s").isNull(), "extra")
         .when(~F.col("__s").eqNullSafe(F.col("__d")), "different")
     )
-    return joined.select(*keys, verdict.alias("difference")).filter(F.col("difference").isNotNull())
+    return joined.withColumn("difference", verdict)
 
 
-def convergence_report(source: DataFrame, documents: DataFrame, differences: DataFrame) -> DataFrame:
-    """One row: counts on both sides, differences by kind, and whether the rebuild converged."""
-    one = differences.agg(
-        *[F.count_if(F.col("difference") == k).alias(k) for k in ("missing", "extra", "different")]
-    )
-    counts = one.withColumns(
-        {
-            "source_rows": source.agg(F.count("*")).scalar(),
-            "live_documents": live_documents(documents).agg(F.count("*")).scalar(),
-        }
+def convergence(source: DataFrame, documents: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Keys on which source rows and live documents disagree: missing, extra or different."""
+    compared = _compared(source, documents, keys, columns).select(*keys, "difference")
+    return compared.filter(F.col("difference").isNotNull())
+
+
+def convergence_report(
+    source: DataFrame, documents: DataFrame, keys: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """One row: counts on both sides, differences by kind, and whether the rebuild converged.
+
+    All of it comes from one pass over the compared rows.
+    """
+    kinds = ("missing", "extra", "different")
+    counts = _compared(source, documents, keys, columns).agg(
+        *[F.count_if(F.col("difference") == k).alias(k) for k in kinds],
+        F.count("__s").alias("source_rows"),
+        F.count("__d").alias("live_documents"),
     )
-    agreed = (
-        (F.col("missing") + F.col("extra") + F.col("different") == 0)
-        & (F.col("source_rows") == F.col("live_documents"))
+    agreed = (F.col("missing") + F.col("extra") + F.col("different") == 0) & (
+        F.col("source_rows") == F.col("live_documents")
     )
     return counts.withColumn("converged", agreed)
 

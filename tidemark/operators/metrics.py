@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.latency import to_ms
@@ -14,6 +14,7 @@ from tidemark.operators.ranks import aggregate_with_ranks, nearest_ranks
 from tidemark.operators.retention import last_n
 from tidemark.operators.sizing import DEFAULT, Sizing
 from tidemark.operators.visibility import state_at
+from tidemark.session import materialized
 
 SAMPLE_WINDOW = 10_000
 STALENESS_RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -31,7 +32,7 @@ def staleness_summary(
         kept = last_n(kept, last, ["visible_ts_us", "lsn", "seq"])
         size = replace(size, at_most=last)
     ranked = aggregate_with_ranks(
-        kept,
+        kept.select(*by, "staleness_us"),
         by,
         [F.count("*").alias("sample_count"), F.max("staleness_us").alias("max")],
         {n: ("staleness_us", q) for n, q in STALENESS_RANKS.items()},
@@ -85,32 +86,30 @@ def metrics_snapshot(
         raise ValueError("sample_window applies to the ungrouped form")
     now = F.lit(now_us).cast("bigint") if isinstance(now_us, int) else now_us
     at = state_at(obs, now_us)
-    sample = F.when(F.col("is_sample"), F.col("staleness_us"))
-    delay = F.when(F.col("is_violation"), F.col("detection_delay_us"))
     rows = at.select(
         *by,
-        (sample if sample_window is None else F.lit(None).cast("bigint")).alias("__s"),
-        (delay if sample_window is None else F.lit(None).cast("bigint")).alias("__d"),
+        F.when(F.col("is_sample"), F.col("staleness_us")).alias("__s"),
+        F.when(F.col("is_violation"), F.col("detection_delay_us")).alias("__d"),
         F.when(F.col("is_in_flight"), now - F.col("commit_ts_us")).alias("__age"),
         F.col("is_violation").cast("int").alias("__v"),
         F.when(F.col("is_active"), now - F.col("violation_ts_us")).alias("__active"),
+        *([] if sample_window is None else ["visible_ts_us", "violation_ts_us", "lsn", "seq"]),
     )
     if sample_window is not None:
+        # Written once in this narrow form; the two windows and the counts each read it.
+        rows = materialized(rows, "observed")
         nothing = F.lit(None).cast("bigint")
-        newest = last_n(at.filter("is_sample"), sample_window, ["visible_ts_us", "lsn", "seq"])
-        rows = rows.unionByName(
-            newest.select(
-                F.col("staleness_us").alias("__s"), nothing.alias("__d"), nothing.alias("__age"),
-                F.lit(0).alias("__v"), nothing.alias("__active"),
-            )
-        )
-        caught = last_n(at.filter("is_violation"), sample_window, ["violation_ts_us", "lsn", "seq"])
-        rows = rows.unionByName(
-            caught.select(
-                nothing.alias("__s"), F.col("detection_delay_us").alias("__d"), nothing.alias("__age"),
-                F.lit(0).alias("__v"), nothing.alias("__active"),
+        states = ["__age", "__v", "__active"]
+
+        def newest(value: str, time: str) -> DataFrame:
+            kept = last_n(rows.filter(F.col(value).isNotNull()), sample_window, [time, "lsn", "seq"])
+            other = "__d" if value == "__s" else "__s"
+            return kept.select(
+                value, nothing.alias(other), nothing.alias("__age"), F.lit(0).alias("__v"), nothing.alias("__active")
             )
-        )
+
+        counts = rows.select(nothing.alias("__s"), nothing.alias("__d"), *states)
+        rows = counts.unionByName(newest("__s", "visible_ts_us")).unionByName(newest("__d", "violation_ts_us"))
     counted = aggregate_with_ranks(
         rows,
         by,
@@ -187,9 +186,9 @@ def throughput(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def op_mix(log: DataFrame) -> DataFrame:
-    """Events and share per operation. The total is a scalar over the three group rows."""
+    """Events and share per operation. The total is taken over the three group rows."""
     counted = log.groupBy("op").agg(F.count("*").alias("events"))
-    total = counted.agg(F.sum("events")).scalar()
+    total = F.sum("events").over(Window.partitionBy(F.lit(0)))
     return counted.withColumn("share", F.col("events") / total.cast("double"))
 
 
@@ -269,11 +268,10 @@ def batch_totals(per_batch: DataFrame) -> DataFrame:
 def consistency(events: DataFrame, markers: DataFrame, by: str = "key") -> DataFrame:
     """Per key: nothing missing, outcomes add up, superseded ones older than the newest, positions equal."""
     told = markers.select("event_id", F.col("lsn").alias("marker_lsn"), "result")
-    newest = events.groupBy(by).agg(F.max("lsn").alias("newest_lsn"))
     joined = events.select("event_id", by, "lsn").join(told, "event_id", "left")
-    # Summaries per key are folded before they meet, so a hot key is one row on either side.
     facts = joined.groupBy(by).agg(
         F.count("*").alias("events"),
+        F.max("lsn").alias("newest_lsn"),
         F.count_if(F.col("result") == "applied").alias("applied"),
         F.count_if(F.col("result") == "superseded").alias("superseded"),
         F.count_if(F.col("result").isNull()).alias("missing"),
@@ -288,8 +286,7 @@ def consistency(events: DataFrame, markers: DataFrame, by: str = "key") -> DataF
         & F.coalesce("lsns_equal", F.lit(False))
     )
     return (
-        facts.join(newest, by)
-        .withColumn("consistent", verdict)
+        facts.withColumn("consistent", verdict)
         .select(by, "events", "applied", "superseded", "missing", "newest_lsn", "consistent")
     )
 
@@ -302,8 +299,11 @@ def conservation(deltas: DataFrame) -> DataFrame:
 
 def lag_by_consumer(slots: DataFrame, consumer: str = "consumer") -> DataFrame:
     """Bytes behind the head per consumer, from confirmed positions in text form."""
-    head = slots.agg(F.max(lsn_to_long("head_lsn"))).scalar()
-    at = slots.groupBy(consumer).agg(F.max(lsn_to_long("confirmed_lsn")).alias("confirmed"))
+    at = slots.groupBy(consumer).agg(
+        F.max(lsn_to_long("head_lsn")).alias("seen"), F.max(lsn_to_long("confirmed_lsn")).alias("confirmed")
+    )
+    # One row per consumer is left here, so the head is found without reading the input twice.
+    head = F.max("seen").over(Window.partitionBy(F.lit(0)))
     return at.select(consumer, (head - F.col("confirmed")).alias("lag_bytes"))
 
 

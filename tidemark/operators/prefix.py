@@ -75,7 +75,7 @@ def running(
 
     ``outputs`` maps a new column to (aggregate, expression). ``inclusive`` decides whether
     the current row counts. ``order`` must be numeric and unique within the keys. ``keys``
-    may be empty.
+    may be empty, and hold no nulls (a change without a key is not tracked).
     """
     keys = list(keys)
     last = Window.currentRow if inclusive else -1

@@ -89,7 +89,8 @@ def aggregate_with_ranks(
     if size.fits_in_memory(df):
         ranked = [nearest_rank(v, q).alias(n) for n, (v, q) in ranks.items()]
         return df.groupBy(*by).agg(*aggregates, *ranked)
-    keyed = df if by else df.withColumn(_ALL, F.lit(0))
+    # Written once: the aggregates and every ranked column read it.
+    keyed = materialized(df if by else df.withColumn(_ALL, F.lit(0)), "ranked")
     on = by or [_ALL]
     # Grouping by nothing yields a row even for empty input; that case is the small one.
     out = keyed.groupBy(*on).agg(*aggregates)
