@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders chosen for applications whose configuration names none.
+_chosen: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     return (
@@ -29,9 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _chosen:
+        _chosen[application] = tempfile.mkdtemp(prefix="tidemark-")
+    return _chosen[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
