@@ -24,4 +24,4 @@ def test_without_one_an_application_keeps_its_choice():
 def test_materialized_frames_read_back_what_was_written(spark):
     df = spark.range(5).selectExpr("id", "cast(null as string) AS note")
     back = materialized(df, "rows")
-    assert back.schema == df.schema and sorted(back.collect()) == sorted(df.collect())
+    assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect())
