@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, near
+from tidemark.llm import exact, lines, near, shards, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,39 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = exact.exact_groups(table(spark, sf_dir, "documents"))
     return judged.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
+
+
+@query("""
+    WITH lines AS (
+        SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+    ), keyed AS (
+        SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines
+    ), repeated AS (
+        SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+        GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+    ), judged AS (
+        SELECT doc_id, pos, line, last IS NOT NULL AND last <> doc_id AS dropped
+        FROM keyed LEFT JOIN repeated USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query()
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = shards.write_shards(docs, "word_bpe_49k.json", end_id=2)
+    return shards.read_documents(docs, manifest)
