@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text
 from tidemark.llm.components import components
+from tidemark.llm.idset import IdSet
 from tidemark.llm.ship import ship
 from tidemark.session import materialized
 
@@ -181,9 +182,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = nodes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = materialized(placed.join(shared, "bucket").distinct(), "members")
-    central = members.groupBy("id").agg(F.sum("m").alias("reach"))
+    central = materialized(members.groupBy("id").agg(F.sum("m").alias("reach")), "central")
     sets = materialized(
-        texts.join(central, texts["doc_id"] == central["id"], "left_semi")
+        texts.where(IdSet(central.select("id")).has("doc_id"))  # texts stay where they are
         .mapInArrow(_sets, "id long, shingles array<long>")
         .distinct(),
         "sets",
@@ -220,5 +221,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of `docs`, in all their columns, of which each near-duplicate class keeps one."""
-    gone = near_groups(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = IdSet(near_groups(docs, id_col, text_col, percent).where("not kept").select("doc_id"))
+    return docs.where(~gone.has(F.col(id_col).cast("long")))
