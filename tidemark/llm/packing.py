@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretokens import encoder
+from tidemark.llm.idset import IdSet
+from tidemark.llm.pretokens import encoder, tokenizer_path
 from tidemark.llm.ship import ship
 from tidemark.session import materialized
 
@@ -110,7 +111,12 @@ def plan(histogram: np.ndarray, window: int) -> Plan:
     return Plan(*columns, sequence, left)
 
 
-def _encode(tokenizer: str, window: int, end_id: int):
+def _id_bytes(raw: bytes, width: int) -> bytes:
+    """Stored ids of `width` bytes as unsigned 32-bit numbers."""
+    return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+
+
+def _encode(tokenizer: str, window: int, end_id: int, width: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(tokenizer, "ids"), np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -123,7 +129,7 @@ def _encode(tokenizer: str, window: int, end_id: int):
                     batch.column("doc_id"),
                     pa.array([len(raw) // 4 for raw in raws], pa.int64()),
                     pa.array(sums, pa.list_(pa.int64())),
-                    pa.array(raws, pa.binary()),
+                    pa.array(raws if width == 4 else [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in raws], pa.binary()),
                 ],
                 ["row", "doc_id", "n", "sums", "ids"],
             )
@@ -151,25 +157,30 @@ def _assign(plan: Plan):
     return assign
 
 
-def _cut_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [
-            zlib.crc32(ids[4 * a : 4 * (a + n)])
-            for ids, a, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "start", "length")), strict=True)
-        ]
-        yield batch.drop_columns(["ids"]).append_column("ids_crc32", pa.array(sums, pa.int64()))
+def _cut_sums(width: int):
+    def cut_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [
+                zlib.crc32(_id_bytes(ids[width * a : width * (a + n)], width))
+                for ids, a, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "start", "length")), strict=True)
+            ]
+            yield batch.drop_columns(["ids"]).append_column("ids_crc32", pa.array(sums, pa.int64()))
+
+    return cut_sums
 
 
 @dataclass(frozen=True)
 class Packed:
     """`pieces`: row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    `tokens` (row, doc_id, n, ids as little-endian unsigned 32-bit numbers) is what they cut.
+    `tokens` (row, doc_id, n, ids as little-endian unsigned numbers of `width` bytes) is what
+    they cut.
     """
 
     pieces: DataFrame
     tokens: DataFrame
     window: int
+    width: int
 
     def sequences(self) -> DataFrame:
         """sequence_id, ids (array), n, padded: the token sequences themselves, not padded.
@@ -177,17 +188,18 @@ class Packed:
         `padded` is the length that a loader pads to: the window, or n if it is a power of two.
         """
 
+        width = self.width
+
         def join(pdf):
             import pandas as pd
 
-            pdf = pdf.sort_values("offset")
-            ids = b"".join(r[4 * a : 4 * (a + n)] for r, a, n in zip(pdf["ids"], pdf["start"], pdf["length"], strict=True))
-            return pd.DataFrame({"sequence_id": [pdf["sequence_id"].iloc[0]], "ids": [np.frombuffer(ids, "<u4").astype(np.int64)]})
+            ids = np.frombuffer(b"".join(pdf.sort_values("offset")["ids"]), f"<u{width}")
+            return pd.DataFrame({"sequence_id": [pdf["sequence_id"].iloc[0]], "ids": [ids.astype(np.int64)]})
 
         # At most `window` pieces make a sequence; each brings only its own ids.
-        piece = F.expr("substring(ids, int(4 * start + 1), int(4 * length))")
+        piece = F.expr(f"substring(ids, int({width} * start + 1), int({width} * length))")
         whole = self.pieces.join(self.tokens.select("row", "ids"), "row")
-        whole = whole.select("sequence_id", "offset", F.lit(0).alias("start"), "length", piece.alias("ids"))
+        whole = whole.select("sequence_id", "offset", piece.alias("ids"))
         n = F.size("ids")
         return (
             whole.groupBy("sequence_id")
@@ -210,13 +222,17 @@ def pack_documents(
     each row being a document; an empty table gives no pieces; other columns are ignored.
     """
     ship(docs.sparkSession)
+    from tokenizers import Tokenizer
+
+    largest = max(Tokenizer.from_file(tokenizer_path(tokenizer)).get_vocab_size() - 1, end_id)
+    width = 2 if largest < 1 << 16 else 4
     kind = docs.schema[id_col].dataType.simpleString()
     tokens = materialized(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        ).mapInArrow(_encode(tokenizer, window, end_id), f"row long, doc_id {kind}, n long, sums array<long>, ids binary"),
+        ).mapInArrow(_encode(tokenizer, window, end_id, width), f"row long, doc_id {kind}, n long, sums array<long>, ids binary"),
         "tokens",
     )
     narrow = tokens.select(
@@ -310,7 +326,8 @@ def pack_documents(
     whole = pieces.where("whole").withColumnRenamed("sum", "ids_crc32").select(*columns)
     cut_columns = [c for c in columns if c != "ids_crc32"]
     # One piece in `window` ids of the residual is cut; only those need their ids once more.
-    cut = pieces.where("not whole").select(*cut_columns).join(tokens.select("row", "ids"), "row")
+    cut = pieces.where("not whole").select(*cut_columns)
+    cut = cut.join(tokens.where(IdSet(cut.select("row")).has("row")).select("row", "ids"), "row")
     cut_schema = f"row long, doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
-    cut = cut.select(*cut_columns, "ids").mapInArrow(_cut_sums, cut_schema).select(*columns)
-    return Packed(full.unionByName(taken).unionByName(whole).unionByName(cut), tokens, window)
+    cut = cut.select(*cut_columns, "ids").mapInArrow(_cut_sums(width), cut_schema).select(*columns)
+    return Packed(full.unionByName(taken).unionByName(whole).unionByName(cut), tokens, window, width)
