@@ -47,7 +47,7 @@ def test_encoder_equals_library(name, monkeypatch):
     texts = [*ODD, *[f"a{c}b {c}{c} 1{c}" for c in letters], "".join(letters)]
     want = [np.array(ids(t), "<u4").tobytes() for t in texts]
     assert list(pretokens.Encoder(name, "ids").encode(texts)) == want
-    monkeypatch.setattr(pretokens, "KEPT", 10)  # the cache is emptied again and again
+    monkeypatch.setattr(pretokens, "KEPT", 10)  # most pre-tokens are encoded each time
     assert list(pretokens.Encoder(name, "lengths", {"a": 1}).encode(texts)) == [len(w) // 4 for w in want]
 
 

@@ -17,10 +17,8 @@ from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Characters of a text that are cut together, which bounds the lists in flight.
-CHUNK = 1 << 20
-#: Pre-tokens one worker keeps.
-KEPT = 400_000
+#: Pre-tokens one worker keeps: the first it meets, which the frequent ones are among.
+KEPT = 600_000
 
 # Fixed by the tokenizer files: the cutting patterns and the rules that identify them.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -40,6 +38,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte; fixed by the byte-level tokenizers."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in plain}
+    for b in range(256):
+        letters.setdefault(b, chr(256 + len(letters) - len(plain)))
+    return [letters[b] for b in range(256)]
+
+
+class _Cache(dict):
+    """Pre-token to what is kept of it; encodes what it lacks."""
+
+    def __init__(self, known: dict, learn):
+        super().__init__(known)
+        self.learn = learn
+
+    def __missing__(self, piece: str):
+        value = self.learn(piece)
+        if len(self) < KEPT:
+            self[piece] = value
+        return value
+
+
 class Encoder:
     """`keep` is "lengths" (of pre-tokens) or "ids" (as little-endian unsigned 32-bit bytes)."""
 
@@ -49,6 +70,7 @@ class Encoder:
 
         path = tokenizer_path(name)
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.specials = {t["content"]: t["id"] for t in rules["added_tokens"]}
@@ -66,19 +88,23 @@ class Encoder:
         ):
             self.cut, self.lower = _WORD_CUT.findall, True
         self.keep = keep
-        self.empty = 0 if keep == "lengths" else b""
         self.as_kept = (lambda ids: len(ids)) if keep == "lengths" else (lambda ids: np.array(ids, "<u4").tobytes())
-        self.known = known or {}
-        self.cache: dict = dict(self.known)
+        self.letters = dict(enumerate(_byte_letters()))
+        self.cache = _Cache(known or {}, self._learn)
 
-    def _join(self, parts: Iterator):
-        return sum(parts) if self.keep == "lengths" else b"".join(parts)
+    def _learn(self, piece: str):
+        if piece in self.specials:
+            return self.as_kept([self.specials[piece]])
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return self.as_kept([t.id for t in self.model.tokenize(spelled)])
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def pieces(self, text: str) -> list[str] | None:
         """Pre-tokens of a text, special strings among them; None: not cut here."""
         if self.cut is None or _OTHER.search(text):
             return None
-        parts = self.split.split(text) if self.split and "<|" in text else [text]
+        parts = self.split.split(text) if self.split and "<|" in text else (text,)
+        if len(parts) == 1:
+            return self.cut(text.lower() if self.lower else text)
         out: list[str] = []
         for part in parts:
             if part in self.specials:
@@ -87,33 +113,15 @@ class Encoder:
                 out += self.cut(part.lower() if self.lower else part)
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > KEPT:
-            self.cache = dict(self.known)
-            new = [p for p in pieces if p not in self.cache]
-        for at in range(0, len(new), 4096):
-            batch = new[at : at + 4096]
-            for piece, e in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                self.cache[piece] = self.as_kept(e.ids)
-
     def encode(self, texts: list[str | None]) -> Iterator:
         """Per text its number of tokens, or the bytes of its ids; null is the empty text."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < CHUNK):
-                chars += len(texts[end] or "")
-                end += 1
-            cut = [self._pieces(t or "") for t in texts[at:end]]
-            self._learn(set().union(*(c for c in cut if c)))
-            look = self.cache.__getitem__
-            for text, pieces in zip(texts[at:end], cut, strict=True):
-                if pieces is None:
-                    yield self.as_kept(self.library.encode(text, add_special_tokens=False).ids)
-                else:
-                    yield self._join(map(look, pieces))
-            at = end
+        look, join = self.cache.__getitem__, sum if self.keep == "lengths" else b"".join
+        for text in texts:
+            pieces = self.pieces(text or "")
+            if pieces is None:
+                yield self.as_kept(self.library.encode(text, add_special_tokens=False).ids)
+            else:
+                yield join(map(look, pieces))
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.mphf import pack, unpack
-from tidemark.llm.pretokens import CHUNK, encoder
+from tidemark.llm.pretokens import encoder
 from tidemark.llm.ship import ship
 
 #: Pre-tokens in the broadcast table: below 4 MB, as longer ones than LONGEST stay out.
@@ -26,6 +26,8 @@ FREQUENT = 1 << 16
 LONGEST = 32
 #: Counters of one task's summary, and rows into which summaries are merged.
 COUNTERS = 1 << 14
+#: Characters of a text that a summary takes at once.
+CHUNK = 1 << 20
 _MERGED = 16
 
 
@@ -54,7 +56,7 @@ def _summarise(name: str):
         own, counts = encoder(name, "lengths"), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for part in own._pieces(text) or () if text and len(text) <= CHUNK else _in_parts(own, text):
+                for part in own.pieces(text) or () if text and len(text) <= CHUNK else _in_parts(own, text):
                     counts[part] += 1
                 if len(counts) > 16 * COUNTERS:
                     counts = _prune(counts, 4 * COUNTERS)
@@ -66,7 +68,7 @@ def _summarise(name: str):
 
 def _in_parts(own, text: str | None) -> Iterator[str]:
     for at in range(0, len(text or ""), CHUNK):
-        yield from own._pieces(text[at : at + CHUNK]) or ()
+        yield from own.pieces(text[at : at + CHUNK]) or ()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,13 +81,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([_write(counts, FREQUENT)], pa.binary())], ["summary"])
 
 
-def frequent_lengths(texts: DataFrame, tokenizer: str) -> bytes:
-    """The compact table: the bytes of the frequent pre-tokens, their sizes, their token counts."""
+def frequent(texts: DataFrame, tokenizer: str) -> Counter:
+    """The FREQUENT most frequent pre-tokens of the `text` column, with lower bounds of counts."""
     merged = texts.mapInArrow(_summarise(tokenizer), "summary binary").repartition(_MERGED).mapInArrow(_merge, "summary binary")
     counts = Counter()
     for row in merged.toLocalIterator():  # _MERGED rows of bounded size
         counts.update(_read(bytes(row["summary"])))
-    top = [k for k, _ in counts.most_common(FREQUENT)]
+    return Counter(dict(counts.most_common(FREQUENT)))
+
+
+def frequent_lengths(texts: DataFrame, tokenizer: str) -> bytes:
+    """The compact table: the bytes of the frequent pre-tokens, their sizes, their token counts."""
+    top = list(frequent(texts, tokenizer))
     lengths = list(encoder(tokenizer, "lengths").encode(top))
     return _write(Counter(dict(zip(top, lengths, strict=True))), len(top))
 
