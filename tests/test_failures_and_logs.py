@@ -87,6 +87,30 @@ def test_malformed_deliveries_are_set_apart(spark):
     assert (flat["key"], flat["lsn"], flat["name"], flat["other"]) == (7, 0x20, (None,), None)
 
 
+def test_unreadable_keys_and_values_have_a_reason(spark):
+    cases = {
+        "fine": envelope(pk={"id": "7"}, after={"id": "7", "n": "5"}),
+        "null": envelope(pk={"id": "7"}, after={"id": "7", "n": None}),
+        "text key": envelope(pk={"id": "SKU-7"}, after={"id": "SKU-7"}),
+        "bad value": envelope(pk={"id": "7"}, after={"id": "7", "n": "abc"}),
+    }
+    rows = [(k, i, json.dumps(v)) for i, (k, v) in enumerate(cases.items())]
+    parsed = changelog.parse_events(spark.createDataFrame(rows, changelog.LOG_SCHEMA))
+    good, bad = quarantine.split_valid(parsed, {"n": "bigint"}, "bigint")
+    assert {r["message_id"] for r in good.collect()} == {"fine", "null"}
+    assert {r["message_id"]: r["reason"] for r in bad.collect()} == {"text key": "unreadable pk.id", "bad value": "unreadable n"}
+    good, _ = quarantine.split_valid(parsed, {"n": "bigint"})
+    keys = changelog.flatten_events(good, {"n": "bigint"}, key_type="string").collect()
+    assert {r["key"] for r in keys} == {"7", "SKU-7"}
+
+
+def test_reclaim_takes_the_oldest_by_number(spark):
+    deliveries = spark.createDataFrame([("10-0", 1), ("9-5", 1), ("9-0", 1), ("9-12", 1)], "message_id string, attempt_ts_us bigint")
+    none = spark.createDataFrame([], "message_id string")
+    first = quarantine.reclaimable(deliveries, none, 10**9, count=3).collect()
+    assert [r["message_id"] for r in first] == ["9-0", "9-5", "9-12"]
+
+
 def test_log_survives_json_and_files(spark, tmp_path):
     log = random_log(3)
     df = frame(spark, log).withColumns({"xid": F.col("lsn"), "message_id": F.col("event_id")})

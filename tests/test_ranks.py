@@ -39,6 +39,33 @@ def test_no_group_and_ends(spark):
     assert value_at_rank(df, "v", 3).first()["v"] is None
 
 
+LARGE = Sizing(rows_in_memory=0, rows_per_chunk=3)
+
+
+@pytest.mark.parametrize("data", [[], [(None, None)], [("a", None)], [(None, 3), (None, 1), ("a", 2), (None, 2), (None, 9)] * 4])
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_the_size_changes_nothing(spark, data, by, kind):
+    df = spark.createDataFrame(data, "g string, v bigint").withColumn("v", F.col("v").cast(kind))
+    forms = [
+        lambda size: nearest_ranks(df, by, "v", Q, size=size),
+        lambda size: aggregate_with_ranks(df, by, [F.count("v").alias("n")], {"p": ("v", 0.5)}, size=size),
+    ]
+    for form in forms:
+        small, large = form(Sizing()), form(LARGE)
+        assert small.dtypes == large.dtypes
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_value_at_rank_by_ranges(spark):
+    values = [7, 7, 7, 1, 2, None, 30, 30, 11, 12, 13, 40]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    known = sorted(v for v in values if v is not None)
+    for rank in range(1, 14):
+        want = known[rank - 1] if rank <= len(known) else None
+        assert value_at_rank(df, "v", rank, size=Sizing(rows_per_chunk=2)).first()["v"] == want
+
+
 def test_aggregates_with_ranks_agree_in_both_forms(spark):
     rng = random.Random(3)
     data = [(i % 4, rng.choice([None, rng.randrange(99)]), rng.randrange(99)) for i in range(400)] + [(9, None, None)]

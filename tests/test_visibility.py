@@ -33,7 +33,7 @@ def observe(spark, events, probes, guard=True, slo=SECOND):
     e, m = frames(spark, events)
     if isinstance(probes, list):
         times = spark.createDataFrame([(p,) for p in probes], "probe_ts_us bigint")
-        probes = visibility.probe_times(times, bucket_us=SECOND, size=Sizing(rows_per_chunk=9))
+        probes = visibility.probe_times(times, size=Sizing(rows_per_chunk=9))
     return visibility.observations(e, m, probes, slo_us=slo, guard=guard)
 
 

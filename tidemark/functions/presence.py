@@ -29,6 +29,12 @@ def sparse_from_map(fields: Column, name: str, data_type: str = "string") -> Col
     return F.when(sent, present(fields.getItem(name).try_cast(data_type)))
 
 
+def unreadable(fields: Column, name: str, data_type: str = "string") -> Column:
+    """Whether a field was sent with a value that its type cannot hold."""
+    text = fields.getItem(name)
+    return F.coalesce(text.isNotNull() & text.try_cast(data_type).isNull(), F.lit(False))
+
+
 def is_present(field: Column) -> Column:
     return field.isNotNull()
 

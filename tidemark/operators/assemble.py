@@ -157,9 +157,10 @@ def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     strays = closed.filter(
         _is_row() & ((F.col("txn") == 0) | F.coalesce(F.col("commits") == F.col("txn"), F.lit(False)))
     ).withColumn("error", F.lit("no open transaction"))
-    found = outer.select(*columns).unionByName(bad_rows.select(*columns)).unionByName(strays.select(*columns))
-    # The first complaint in this order names the message.
-    return found.groupBy("slot", "msg_seq", "tag").agg(F.min("error").alias("error"))
+    # Framing is checked first, then the row's relation and tuples, then its transaction.
+    checks = [c.select(*columns, F.lit(k).alias("rank")) for k, c in enumerate((outer, bad_rows, strays))]
+    found = checks[0].unionByName(checks[1]).unionByName(checks[2])
+    return found.groupBy("slot", "msg_seq", "tag").agg(F.min_by("error", "rank").alias("error"))
 
 
 def assemble_transactions(

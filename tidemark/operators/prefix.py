@@ -30,6 +30,8 @@ from tidemark.operators.sizing import DEFAULT, Sizing
 from tidemark.session import materialized
 
 CHUNK = "__chunk"
+# The keys as one struct: equal also where parts are null, so null keys are keys like others.
+KEY = "__key"
 # Hot keys are broadcast only where their number is known to stay below this.
 BROADCAST_KEYS = 100_000
 
@@ -45,11 +47,11 @@ def _combine(op: str, carry: Column, here: Column) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], size: Sizing) -> DataFrame | None:
-    """Keys with more rows than a chunk, written out; None when there are none."""
+    """Keys (as the struct KEY) with more rows than a chunk, written out; None when there are none."""
     if size.rows(df) <= size.rows_per_chunk:
         return None
     counted = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    found = materialized(counted.filter(F.col("__n") > size.rows_per_chunk).select(*keys), "hot-keys")
+    found = materialized(counted.filter(F.col("__n") > size.rows_per_chunk).select(F.struct(*keys).alias(KEY)), "hot-keys")
     return None if found.isEmpty() else found
 
 
@@ -75,7 +77,7 @@ def running(
 
     ``outputs`` maps a new column to (aggregate, expression). ``inclusive`` decides whether
     the current row counts. ``order`` must be numeric and unique within the keys. ``keys``
-    may be empty, and hold no nulls (a change without a key is not tracked).
+    may be empty; a null key is a key of its own.
     """
     keys = list(keys)
     last = Window.currentRow if inclusive else -1
@@ -90,21 +92,21 @@ def running(
         return df.withColumns(along(*keys))
 
     bounds = size.bounded(df, order).bounds
-    group = [*keys, CHUNK]
-    tagged = cut = with_chunk(df, order, bounds)
+    group = [KEY, CHUNK] if keys else [CHUNK]
+    tagged = cut = with_chunk(df.withColumn(KEY, F.struct(*keys)) if keys else df, order, bounds)
     if not bounds:
-        return tagged.withColumns(along(*group)).drop(CHUNK)
+        return tagged.withColumns(along(*group)).drop(CHUNK, KEY)
     if hot is not None:
         few = size.at_most // size.rows_per_chunk <= BROADCAST_KEYS
         marked = hot.withColumn("__hot", F.lit(True))
         marked = F.broadcast(marked) if few else marked
-        cut = cut.join(marked, keys, "left_semi")
+        cut = cut.join(marked, KEY, "left_semi")
         # A key that is not hot stays in one piece.
-        tagged = tagged.join(marked, keys, "left")
+        tagged = tagged.join(marked, KEY, "left")
         tagged = tagged.withColumn(CHUNK, F.when(F.col("__hot"), F.col(CHUNK)).otherwise(-1)).drop("__hot")
 
     totals = cut.groupBy(*group).agg(*[_AGGREGATE[op](e).alias(n) for n, (op, e) in outputs.items()])
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group[:-1]).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = {f"__carry_{n}": _AGGREGATE[op](F.col(n)).over(before) for n, (op, _) in outputs.items()}
     carry = totals.select(*group, *[c.alias(n) for n, c in carried.items()])
     some = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in carried])

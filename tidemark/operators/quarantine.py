@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lsn import lsn_to_long
+from tidemark.functions.presence import unreadable
 from tidemark.operators.prefix import running
 from tidemark.operators.sizing import DEFAULT, Sizing
 
@@ -14,14 +17,15 @@ DEAD_LETTER_COLUMNS = ["source_stream", "source_message_id", "event", "error", "
 OPS = ("c", "u", "d")
 
 
-def invalid_reason(event: str = "e") -> Column:
+def invalid_reason(event: str = "e", fields: Mapping[str, str] | None = None, key_type: str = "string") -> Column:
     """Why a parsed delivery cannot be applied; null when it can.
 
-    ``event`` is the parsed envelope, null where the text was not one JSON object.
+    ``event`` is the parsed envelope, null where the text was not one JSON object. A key or a
+    sent field of ``fields`` that its type cannot hold is a reason: it must not become a null.
     """
     e = F.col(event)
     key = e["pk"]["id"]
-    return (
+    found = (
         F.when(e.isNull(), "decode_error")
         .when(key.isNull(), "missing pk.id")
         .when(e["commit_lsn"].isNull(), "missing commit_lsn")
@@ -29,12 +33,19 @@ def invalid_reason(event: str = "e") -> Column:
         .when(e["event_id"].isNull(), "missing event_id")
         .when(e["commit_ts_us"].isNull(), "missing commit_ts_us")
         .when(e["op"].isNull() | ~e["op"].isin(*OPS), "missing op")
+        .when(key.try_cast(key_type).isNull(), "unreadable pk.id")
     )
+    for name, data_type in (fields or {}).items():
+        if data_type != "string":
+            found = found.when(unreadable(e["after"], name, data_type), f"unreadable {name}")
+    return found
 
 
-def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_valid(
+    parsed: DataFrame, fields: Mapping[str, str] | None = None, key_type: str = "string"
+) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid with ``reason``); one malformed delivery does not hold back the rest."""
-    judged = parsed.withColumn("reason", invalid_reason())
+    judged = parsed.withColumn("reason", invalid_reason("e", fields, key_type))
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
@@ -92,7 +103,10 @@ def reclaimable(
     latest = deliveries.groupBy("message_id").agg(F.max("attempt_ts_us").alias("delivered_ts_us"))
     idle = latest.filter(now - F.col("delivered_ts_us") >= idle_ms * 1000)
     pending = idle.join(acked.select("message_id"), "message_id", "left_anti")
-    return pending if count is None else pending.orderBy("message_id").limit(count)
+    # Ids of the form time-number are ordered by both numbers, not as text.
+    parts = F.split(F.col("message_id").cast("string"), "-")
+    oldest = [F.try_element_at(parts, F.lit(k)).try_cast("bigint") for k in (1, 2)]
+    return pending if count is None else pending.orderBy(*oldest, "message_id").limit(count)
 
 
 def replay(log: DataFrame, dead: DataFrame, order: str = "arrival") -> DataFrame:

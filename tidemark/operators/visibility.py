@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,56 +56,61 @@ def marker_status(commits: DataFrame, markers: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ProbeTimes:
-    """Irregular probes as half-open intervals ``(previous, probe]`` laid over time buckets."""
+    """Irregular probes: their distinct instants, in the column ``__probe``."""
 
-    intervals: DataFrame
-    earliest: DataFrame
-    bucket_us: int
+    instants: DataFrame
+    size: Sizing
 
 
-def probe_times(probes: DataFrame, *, bucket_us: int = 10_000_000, size: Sizing = DEFAULT) -> ProbeTimes:
-    """Prepare irregular probes (a frame with ``probe_ts_us``) for ``first_probe``."""
-    instants = probes.select(F.col("probe_ts_us").cast("bigint").alias("__probe")).distinct()
-    spans = running(
-        instants, [], "__probe", {"__after": ("max", F.col("__probe"))}, inclusive=False, size=size
-    )
-    first = F.coalesce(F.col("__after") + 1, F.col("__probe"))
-    covered = F.sequence(_bucket(first, bucket_us), _bucket(F.col("__probe"), bucket_us))
-    laid = spans.withColumn("__bucket", F.explode(covered))
-    return ProbeTimes(laid, instants.agg(F.min("__probe").alias("__first")), bucket_us)
-
+def probe_times(probes: DataFrame, *, size: Sizing = DEFAULT) -> ProbeTimes:
+    """Prepare irregular probes (a frame with ``probe_ts_us``) for ``first_probe``.
 
-def _bucket(at: Column, bucket_us: int) -> Column:
-    return F.floor(at / F.lit(bucket_us)).cast("bigint")
+    ``size`` speaks of the instants and probes that are lined up together.
+    """
+    instants = probes.select(F.col("probe_ts_us").cast("bigint").alias("__probe"))
+    return ProbeTimes(instants.filter(F.col("__probe").isNotNull()).distinct(), size)
 
 
-def first_probe(
-    events: DataFrame, at: str, probes: ProbeGrid | ProbeTimes, out: str, *, spread: str = "event_id"
+def first_probes(
+    events: DataFrame, wanted: Mapping[str, str], probes: ProbeGrid | ProbeTimes, *, identity: str = "event_id"
 ) -> DataFrame:
-    """Add ``out``: the first probe at or after ``at``; null when there is none.
+    """Add for each entry (new column -> instant column) the first probe at or after it.
 
-    With irregular probes each event meets the intervals of its own bucket only, by
-    equality on the bucket, and matches exactly one. A bucket crowded with events is split
-    by adaptive skew joins, since the interval side of any bucket is small. Events without
-    a time are spread by ``spread`` instead of meeting in one null bucket.
+    Null without an instant or a later probe. Irregular probes are found in one linear pass for
+    all instants: instants and probes are lined up in falling time, where the newest probe passed
+    so far is a running minimum, by chunks if there are many. Only (``identity``, instant) pairs
+    take part; the answers come back by one equality join on ``identity``, which is unique.
     """
     if isinstance(probes, ProbeGrid):
-        return events.withColumn(out, probes.first_at_or_after(F.col(at)))
-    # Events before the first probe belong to the first probe's bucket.
-    mine = F.greatest(
-        _bucket(F.col(at), probes.bucket_us), _bucket(probes.earliest.scalar(), probes.bucket_us)
+        return events.withColumns({out: probes.first_at_or_after(F.col(at)) for out, at in wanted.items()})
+    none = F.lit(None).cast("bigint")
+    asked = F.array(
+        *[F.struct(F.lit(out).alias("out"), F.col(at).cast("bigint").alias("at")) for out, at in wanted.items()]
     )
-    nowhere = F.lit(-1) - F.pmod(F.xxhash64(spread), F.lit(4096))
-    keyed = events.withColumn("__bucket", F.when(F.col(at).isNull(), nowhere).otherwise(mine))
-    e, s = keyed.alias("e"), probes.intervals.alias("s")
-    match = (
-        (F.col("e.__bucket") == F.col("s.__bucket"))
-        & (F.col(f"e.{at}") <= F.col("s.__probe"))
-        & (F.col("s.__after").isNull() | (F.col(f"e.{at}") > F.col("s.__after")))
+    instants = events.select(F.col(identity).alias("__id"), F.explode(asked).alias("__ask"))
+    # Falling time; a probe stands before the instants that it answers, its own among them.
+    instants = instants.filter(F.col("__ask.at").isNotNull()).select(
+        "__id", F.col("__ask.out").alias("__out"), none.alias("__probe"), (F.col("__ask.at") * -2).alias("__order")
     )
-    return e.join(s, match, "left").select(
-        *[F.col(f"e.{c}") for c in events.columns], F.col("s.__probe").alias(out)
+    marks = probes.instants.select(
+        F.lit(None).cast(events.schema[identity].dataType).alias("__id"), F.lit(None).cast("string").alias("__out"),
+        "__probe", (F.col("__probe") * -2 - 1).alias("__order"),
     )
+    lined = running(
+        instants.unionByName(marks), [], "__order", {"__first": ("min", F.col("__probe"))}, size=probes.size
+    )
+    answers = lined.filter(F.col("__out").isNotNull()).groupBy("__id").agg(
+        *[F.max(F.when(F.col("__out") == out, F.col("__first"))).alias(out) for out in wanted]
+    )
+    joined = events.join(answers, F.col(identity) == F.col("__id"), "left")
+    return joined.select(*events.columns, *wanted)
+
+
+def first_probe(
+    events: DataFrame, at: str, probes: ProbeGrid | ProbeTimes, out: str, *, identity: str = "event_id"
+) -> DataFrame:
+    """Add ``out``: the first probe at or after ``at``; null when there is none."""
+    return first_probes(events, {out: at}, probes, identity=identity)
 
 
 def observations(
@@ -134,16 +140,16 @@ def observations(
             "__late": F.greatest(F.col("commit_ts_us") + slo_us + 1, observed),
         }
     )
-    seen = first_probe(seen, "__ready", probes, "visible_ts_us")
-    seen = first_probe(seen, "__late", probes, "__late_probe")
-    visible, late = F.col("visible_ts_us"), F.col("__late_probe")
-    violated = late.isNotNull() & (visible.isNull() | (late < visible))
+    wanted = {"visible_ts_us": "__ready", "__late_probe": "__late"}
     if guard:
         seen = seen.withColumns(
             {"__seen": observed, "__old": F.greatest(F.col("commit_ts_us") + MAX_AGE_US + 1, observed)}
         )
-        seen = first_probe(seen, "__seen", probes, "__seen_probe")
-        seen = first_probe(seen, "__old", probes, "__old_probe")
+        wanted |= {"__seen_probe": "__seen", "__old_probe": "__old"}
+    seen = first_probes(seen, wanted, probes)
+    visible, late = F.col("visible_ts_us"), F.col("__late_probe")
+    violated = late.isNotNull() & (visible.isNull() | (late < visible))
+    if guard:
         ahead = F.col("__seen_probe") - F.col("commit_ts_us") < -MAX_AHEAD_US
         old = F.col("__old_probe")
         rejected = F.when(ahead, F.col("__seen_probe")).when(visible.isNull() | (visible >= old), old)

@@ -15,6 +15,8 @@ from tidemark.plans.base_sql import COMMITS, LOG, MARKED, OBSERVED, with_
 GRID = visibility.ProbeGrid(inputs.PROBE_PERIOD_US)
 # The instant "now" of snapshot queries: just after the newest commit.
 NOW_AFTER_US = 60_000_000
+# Takes the forms for large inputs, whatever the size.
+FORCED = Sizing(rows_per_chunk=2_000, rows_in_memory=0)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +51,11 @@ def staleness_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "visible_ts_us", to_ms(F.col("staleness_us")).alias("staleness_ms"))
 
 
-def looks(spark: SparkSession, sf_dir: str) -> visibility.ProbeTimes:
+def looks(spark: SparkSession, sf_dir: str, size: Sizing | None = None) -> visibility.ProbeTimes:
     """Reads happen when somebody looks: each ``view`` in the table is a probe instant."""
     views = inputs.table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
     return visibility.probe_times(
-        views.select(inputs.wall_micros("ts").alias("probe_ts_us")), size=inputs.size(spark, sf_dir, 1)
+        views.select(inputs.wall_micros("ts").alias("probe_ts_us")), size=size or inputs.size(spark, sf_dir, 5)
     )
 
 
@@ -63,6 +65,12 @@ def first_probe_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.first_probe(rows, "marker_ts_us", probes, "visible_ts_us")
 
 
+def first_probe_irregular_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by chunks, forced."""
+    rows = inputs.marker_times(events(spark, sf_dir)).select("event_id", "marker_ts_us")
+    return visibility.first_probe(rows, "marker_ts_us", looks(spark, sf_dir, FORCED), "visible_ts_us")
+
+
 def guarded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular probes with the commit-time guard, summed up per outcome."""
     rows = events(spark, sf_dir)
@@ -100,6 +108,22 @@ def staleness_by_op_running_counts(spark: SparkSession, sf_dir: str) -> DataFram
     return picked.select("op", *[to_ms(F.col(n)).alias(f"{n}_ms") for n in metrics.STALENESS_RANKS])
 
 
+def staleness_summary_empty_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No sample is negative: one row without samples."""
+    none = visibility.samples(observed(spark, sf_dir)).filter(F.col("staleness_us") < 0)
+    return metrics.staleness_summary(none, size=FORCED)
+
+
+def staleness_null_group_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletions are a group without a name."""
+    found = visibility.samples(observed(spark, sf_dir)).withColumn("kind", F.when(F.col("op") != "d", F.col("op")))
+    return metrics.staleness_summary(found, ["kind"], size=FORCED)
+
+
+def metrics_snapshot_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.metrics_snapshot(observed(spark, sf_dir), now_of(events(spark, sf_dir)), size=FORCED)
+
+
 def staleness_last_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rolling window of the newest 10 000 samples."""
     return metrics.staleness_summary(
@@ -419,7 +443,8 @@ QUERIES = {
         health_status, alerts, slo_gate, violation_artifact, metrics_long, ack_frontier, hop_latency,
         event_latencies, expired_markers, purge_markers, trim_log, commit_order, read_range, events_of_key,
         commit_window, time_guard, batch_metrics, batch_totals, lag_by_consumer, compare_runs,
-        recovery_audit, conservation, backlog_growth, capacity_matrix,
+        recovery_audit, conservation, backlog_growth, capacity_matrix, first_probe_irregular_chunked,
+        staleness_summary_empty_forced, staleness_null_group_forced, metrics_snapshot_forced,
     )
 }
 
@@ -489,6 +514,9 @@ ORACLE = {
     "first_probe_irregular": with_(MARKED, _LOOKS) + """
       SELECT event_id, marker_ts_us, probe_ts_us AS visible_ts_us
       FROM marked ASOF LEFT JOIN looks ON marker_ts_us <= probe_ts_us""",
+    "first_probe_irregular_chunked": with_(MARKED, _LOOKS) + """
+      SELECT event_id, marker_ts_us, probe_ts_us AS visible_ts_us
+      FROM marked ASOF LEFT JOIN looks ON marker_ts_us <= probe_ts_us""",
     "guarded_observations": with_(MARKED, _LOOKS, """
       timed AS (SELECT *, commit_ts_us + 1000001 AS late_from, commit_ts_us + 86400000001 AS old_from FROM marked)""",
       "p1 AS (SELECT t.*, probe_ts_us AS v FROM timed t ASOF LEFT JOIN looks ON greatest(marker_ts_us, commit_ts_us + CASE WHEN marker_ts_us IS NULL THEN NULL ELSE 0 END) <= probe_ts_us)",
@@ -507,6 +535,12 @@ ORACLE = {
     "staleness_summary": with_(OBSERVED) + f" SELECT {_SUMMARY} FROM observed WHERE visible_ts_us IS NOT NULL",
     "staleness_by_op": with_(OBSERVED)
     + f" SELECT op, {_SUMMARY} FROM observed WHERE visible_ts_us IS NOT NULL GROUP BY op",
+    "staleness_summary_empty_forced": with_(OBSERVED) + f" SELECT {_SUMMARY} FROM observed WHERE staleness_us < 0",
+    "staleness_null_group_forced": with_(OBSERVED) + f"""
+      SELECT CASE WHEN op <> 'd' THEN op END AS kind, {_SUMMARY}
+      FROM observed WHERE visible_ts_us IS NOT NULL GROUP BY 1""",
+    "metrics_snapshot_forced": with_(_AT_NOW)
+    + f" SELECT {_SNAPSHOT} FROM at_now",
     "staleness_by_op_running_counts": with_(OBSERVED) + """
       SELECT op, quantile_disc(staleness_us, 0.5) / 1000.0::DOUBLE AS p50_ms,
              quantile_disc(staleness_us, 0.95) / 1000.0::DOUBLE AS p95_ms,

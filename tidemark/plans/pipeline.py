@@ -288,19 +288,19 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams ------------------------------------------------------------------------------
 
 
-def _write_slices(spark: SparkSession, sf_dir: str, path: str, slices: int = 3) -> None:
-    """The delivered log as files in delivery order, for a file stream to pick up."""
-    log = _delivered_log(spark, sf_dir).select("message_id", "arrival", "event")
-    for part in inputs.log_slices(materialized(log, "delivered"), slices):
-        changelog.write_change_log(part, path)
+def _store_after_stream(spark: SparkSession, sf_dir: str, *, slices: int = 3, files: int | None = None) -> streams.DocumentStore:
+    """The delivered log lands in slices of delivery order; each is drained before the next lands.
 
-
-def _store_after_stream(spark: SparkSession, sf_dir: str) -> streams.DocumentStore:
+    The files of a slice overlap in delivery position, so a trigger takes a slice as a whole,
+    however many files it has.
+    """
     root = scratch_path(spark, "stream")
-    _write_slices(spark, sf_dir, f"{root}/log")
     store = streams.DocumentStore(spark, f"{root}/store", FIELD_TYPES)
-    parsed = changelog.stream_change_log(spark, f"{root}/log", files_per_trigger=8)
-    streams.stream_materialize(parsed, store, f"{root}/checkpoint", available_now=True).awaitTermination()
+    log = materialized(_delivered_log(spark, sf_dir).select("message_id", "arrival", "event"), "delivered")
+    for part in inputs.log_slices(log, slices):
+        changelog.write_change_log(part.repartition(files) if files else part, f"{root}/log")
+        parsed = changelog.stream_change_log(spark, f"{root}/log")
+        streams.stream_materialize(parsed, store, f"{root}/checkpoint", available_now=True).awaitTermination()
     return store
 
 
@@ -308,6 +308,28 @@ def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.flat(_store_after_stream(spark, sf_dir).current_documents())
 
 
+def stream_documents_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with slices of 24 files that overlap in delivery position, and more slices."""
+    return docs.flat(_store_after_stream(spark, sf_dir, slices=4, files=24).current_documents())
+
+
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why deliveries were set apart while streaming: nothing unreadable stops a batch or becomes a null."""
+    root = scratch_path(spark, "poison")
+    number = F.col("arrival") % 10
+    log = _delivered_log(spark, sf_dir).select("message_id", "arrival", "event").withColumn(
+        "event",
+        F.when(number == 4, F.regexp_replace("event", '"pk":\\{"id":[0-9]+', '"pk":{"id":"SKU-7"'))
+        .when(number == 6, F.regexp_replace("event", '"value":[-0-9.E]+', '"value":"abc"'))
+        .otherwise(F.col("event")),
+    )
+    changelog.write_change_log(log, f"{root}/log")
+    store = streams.DocumentStore(spark, f"{root}/store", FIELD_TYPES)
+    parsed = changelog.stream_change_log(spark, f"{root}/log")
+    streams.stream_materialize(parsed, store, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store.current_failures().groupBy("error").agg(F.count("*").alias("failures"))
+
+
 def stream_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = _store_after_stream(spark, sf_dir).current_markers()
     return current.groupBy("op", "result").agg(F.count("*").alias("markers"))
@@ -371,7 +393,7 @@ QUERIES = {
         parsed_documents, log_records, log_excerpt, masked_logs, leaked_secrets, reserved_key_audit,
         rebuild_documents, convergence_differences, convergence_report, validate_source, ordering_audit,
         trace_events, lsn_distance, run_history, stream_documents, stream_markers, stream_violations,
-        stream_first_deliveries,
+        stream_first_deliveries, stream_documents_many_files, stream_failures,
     )
 }
 
@@ -597,6 +619,12 @@ ORACLE = {
              count(*) FILTER (NOT is_sample) AS pending
       FROM at_now GROUP BY op""",
     "stream_documents": _GOOD_DOCS + f" SELECT {DOC_COLUMNS} FROM docs",
+    "stream_documents_many_files": _GOOD_DOCS + f" SELECT {DOC_COLUMNS} FROM docs",
+    "stream_failures": with_(LOG) + f"""
+      SELECT error, count(*) AS failures FROM (
+        SELECT coalesce({_DAMAGED}, CASE WHEN arrival % 10 = 4 THEN 'unreadable pk.id'
+                 WHEN arrival % 10 = 6 AND value IS NOT NULL AND op <> 'd' THEN 'unreadable value' END) AS error FROM log)
+      WHERE error IS NOT NULL GROUP BY 1""",
     "stream_markers": with_(LOG, f"good AS (SELECT * FROM log WHERE {_DAMAGED} IS NULL)", """
       judged AS (
         SELECT *, CASE WHEN lsn <= max(lsn) OVER (PARTITION BY key ORDER BY arrival

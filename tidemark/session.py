@@ -27,11 +27,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by spark.checkpoint.dir.
 
-    Only where the cluster names none (tests) is a temporary folder chosen.
+    Only a local session may name none: a temporary folder is chosen for it. On a cluster a
+    folder of one machine would lose rows silently, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     application = spark.sparkContext.applicationId
     if application not in _chosen:
         _chosen[application] = tempfile.mkdtemp(prefix="tidemark-")

@@ -44,16 +44,17 @@ def read_change_log(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
 
 
 def stream_change_log(
-    spark: SparkSession, path: str, fmt: str = "parquet", *, files_per_trigger: int = 50
+    spark: SparkSession, path: str, fmt: str = "parquet", *, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The log as a stream from its first entry; the checkpoint is the consumer's position."""
-    stream = (
-        spark.readStream.schema(LOG_SCHEMA)
-        .format(fmt)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(path)
-    )
-    return parse_events(stream)
+    """The log as a stream from its first entry; the checkpoint is the consumer's position.
+
+    A trigger takes all files that have landed. With ``files_per_trigger`` it may take a part of
+    what one writer landed; that is right only where each file ends before the next begins.
+    """
+    reader = spark.readStream.schema(LOG_SCHEMA).format(fmt)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return parse_events(reader.load(path))
 
 
 def stream_change_log_kafka(
@@ -70,8 +71,11 @@ def stream_change_log_kafka(
     )
     entries = raw.select(
         F.concat_ws("-", "partition", "offset").alias("message_id"),
-        # One topic partition carries one key's changes, so this keeps their order.
-        (F.col("offset") * 4096 + F.col("partition")).alias("arrival"),
+        # One topic partition carries one key's changes, so this keeps their order. It is unique
+        # for 4096 partitions; more are refused, as two entries would share a place.
+        F.when(F.col("partition") < 4096, F.col("offset") * 4096 + F.col("partition"))
+        .otherwise(F.raise_error(F.lit("more than 4096 topic partitions")).cast("bigint"))
+        .alias("arrival"),
         F.col("value").cast("string").alias("event"),
     )
     return parse_events(entries)
@@ -117,16 +121,19 @@ def write_change_log(
 
 
 def flatten_events(
-    parsed: DataFrame, fields: Mapping[str, str], more: Sequence[Column | str] = ()
+    parsed: DataFrame, fields: Mapping[str, str], more: Sequence[Column | str] = (), *, key_type: str = "bigint"
 ) -> DataFrame:
-    """Parsed deliveries in the flat form the resolver works on (typed sparse fields)."""
+    """Parsed deliveries in the flat form the resolver works on (typed sparse fields).
+
+    Keys are of any type; one that ``key_type`` cannot hold is null, see ``invalid_reason``.
+    """
     e = F.col("e")
     return parsed.select(
         "message_id",
         "arrival",
         e["event_id"].alias("event_id"),
         e["op"].alias("op"),
-        e["pk"]["id"].cast("bigint").alias("key"),
+        e["pk"]["id"].try_cast(key_type).alias("key"),
         lsn_to_long(e["commit_lsn"]).alias("lsn"),
         F.coalesce(e["seq"], F.lit(0)).alias("seq"),
         e["xid"].alias("xid"),

@@ -27,10 +27,10 @@ FAILURE_SCHEMA = "message_id string, arrival bigint, event string, error string"
 class DocumentStore:
     """Documents, markers and failed deliveries below one path, versioned by batch id."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: Mapping[str, str]) -> None:
-        self.fields = dict(fields)
+    def __init__(self, spark: SparkSession, path: str, fields: Mapping[str, str], *, key_type: str = "bigint") -> None:
+        self.fields, self.key_type = dict(fields), key_type
         sparse = "".join(f"{f} struct<v:{t}>, " for f, t in fields.items())
-        documents = StructType.fromDDL(f"key bigint, {sparse}_lsn bigint, _seq int, _deleted boolean")
+        documents = StructType.fromDDL(f"key {key_type}, {sparse}_lsn bigint, _seq int, _deleted boolean")
         self.documents = VersionedTable(spark, f"{path}/documents", ["key"], documents)
         self.markers = VersionedTable(spark, f"{path}/markers", ["event_id"], StructType.fromDDL(MARKER_SCHEMA))
         self.failures = VersionedTable(
@@ -46,10 +46,10 @@ class DocumentStore:
         """
         if self.ledger.last() >= batch_id:
             return
-        judged = parsed.withColumn("reason", invalid_reason())
+        judged = parsed.withColumn("reason", invalid_reason("e", self.fields, self.key_type))
         kept = ("reason", F.when(F.col("reason").isNotNull(), F.col("event")).alias("event"))
         # Parsed once: the cached rows are flat, and only failed ones still carry their text.
-        rows = flatten_events(judged, self.fields, kept).persist()
+        rows = flatten_events(judged, self.fields, kept, key_type=self.key_type).persist()
         try:
             size = Sizing(at_most=rows.count())
             batch = rows.filter(F.col("reason").isNull()).drop("reason", "event")
