@@ -330,6 +330,58 @@ def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.current_failures().groupBy("error").agg(F.count("*").alias("failures"))
 
 
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreadable deliveries come again one to seven times; the fifth failure makes a dead letter."""
+    root = scratch_path(spark, "retries")
+    parsed = changelog.parse_events(_delivered_log(spark, sf_dir).filter("redelivery = 0"))
+    _, bad = quarantine.split_valid(parsed)
+    times = F.sequence(F.lit(0), (F.col("event_no") % 7).cast("int"))
+    again = bad.select("message_id", "arrival", "event", F.explode(times).alias("again"))
+    again = again.select("message_id", (F.col("arrival") * 8 + F.col("again")).alias("arrival"), "event", "again")
+    store = streams.DocumentStore(spark, f"{root}/store", FIELD_TYPES)
+    landed = materialized(again, "retries")
+    for few in ("again < 3", "again >= 3"):
+        changelog.write_change_log(landed.filter(few), f"{root}/log")
+        stream = changelog.stream_change_log(spark, f"{root}/log")
+        streams.stream_materialize(stream, store, f"{root}/checkpoint", available_now=True).awaitTermination()
+    dead = store.current_dead_letters("cdc_events")
+    return dead.select("source_message_id", "error", "attempts", "failed_arrival")
+
+
+def _by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per hour of commits: committed, readable in the log, seen by the monitor, set apart, pending."""
+    hour = F.expr("commit_ts_us div 3600000000").alias("hour")
+    judged = changelog.parse_events(_delivered_log(spark, sf_dir)).withColumn("reason", quarantine.invalid_reason())
+    log = judged.groupBy(hour).agg(
+        F.count_distinct(F.when(F.col("reason").isNull(), F.col("e.event_id"))).alias("log_delta"),
+        F.count_if(F.col("reason").isNotNull()).alias("dead"),
+    )
+    seen = freshness.observed(spark, sf_dir).groupBy(hour).agg(
+        F.count("visible_ts_us").alias("sample_delta"), F.count_if(F.col("visible_ts_us").isNull()).alias("pending")
+    )
+    written = inputs.commits(spark, sf_dir).groupBy(hour).agg(F.count("*").alias("writes"))
+    return written.join(log, "hour").join(seen, "hour")
+
+
+def conservation_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes from the source, the log from its readable deliveries, samples from the monitor."""
+    deltas = _by_hour(spark, sf_dir).select("hour", "writes", "log_delta", "sample_delta")
+    return metrics.conservation(deltas)
+
+
+def recovery_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour as an outage run; more than one dead letter fails the run."""
+    runs = _by_hour(spark, sf_dir).select(
+        "hour", "writes",
+        F.col("sample_delta").alias("sample_count_delta"), F.col("log_delta").alias("stream_len_delta"),
+        F.col("dead").alias("dlq_len_delta"), F.col("pending").alias("pending_count_after"),
+        F.lit(0).alias("active_violation_count_after"),
+        (F.col("writes") * 64).alias("lag_bytes_before"), (F.col("pending") * 4_000_000).alias("lag_bytes_after"),
+        F.when(F.col("dead") > 1, 1).otherwise(0).alias("exit_status"),
+    )
+    return gates.recovery_audit(runs).select("hour", "conserved", "lag_recovered", "recovered")
+
+
 def stream_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = _store_after_stream(spark, sf_dir).current_markers()
     return current.groupBy("op", "result").agg(F.count("*").alias("markers"))
@@ -394,6 +446,7 @@ QUERIES = {
         rebuild_documents, convergence_differences, convergence_report, validate_source, ordering_audit,
         trace_events, lsn_distance, run_history, stream_documents, stream_markers, stream_violations,
         stream_first_deliveries, stream_documents_many_files, stream_failures,
+        stream_dead_letters, conservation_by_hour, recovery_by_hour,
     )
 }
 
@@ -435,6 +488,14 @@ dead AS (
 acked AS (SELECT message_id FROM tried GROUP BY 1 HAVING arg_max(ok, attempt_ts_us))"""
 _DAMAGED = """CASE WHEN event_no % 101 = 7 THEN 'decode_error' WHEN event_no % 103 = 9 THEN 'missing commit_lsn'
   WHEN event_no % 107 = 11 THEN 'missing pk.id' END"""
+_HOURS = OBSERVED + f""",
+hours AS (
+  SELECT commit_ts_us // 3600000000 AS hour, count(*) AS writes,
+         count(*) FILTER (({_DAMAGED}) IS NULL) AS log_delta, count(visible_ts_us) AS sample_delta,
+         CAST(coalesce(sum(CASE WHEN event_no % 17 = 0 THEN 2 ELSE 1 END) FILTER (({_DAMAGED}) IS NOT NULL), 0) AS BIGINT) AS dead,
+         count(*) FILTER (visible_ts_us IS NULL) AS pending
+  FROM observed GROUP BY 1
+)"""
 _LINES = LOG + """,
 bodies AS (
   SELECT *, '{"event":"' || CASE WHEN event_no % 4 = 0 THEN 'staleness_sample' WHEN event_no % 9 = 0
@@ -620,6 +681,17 @@ ORACLE = {
       FROM at_now GROUP BY op""",
     "stream_documents": _GOOD_DOCS + f" SELECT {DOC_COLUMNS} FROM docs",
     "stream_documents_many_files": _GOOD_DOCS + f" SELECT {DOC_COLUMNS} FROM docs",
+    "stream_dead_letters": with_(LOG) + f"""
+      SELECT message_id AS source_message_id, reason AS error, CAST(5 AS BIGINT) AS attempts, arrival * 8 + 4 AS failed_arrival
+      FROM (SELECT event_no || '-0' AS message_id, arrival, event_no, {_DAMAGED} AS reason FROM log WHERE redelivery = 0)
+      WHERE reason IS NOT NULL AND event_no % 7 >= 4""",
+    "conservation_by_hour": with_(_HOURS) + """
+      SELECT hour, writes, log_delta, sample_delta, writes = log_delta AND writes = sample_delta AS conserved FROM hours""",
+    "recovery_by_hour": with_(_HOURS) + """
+      SELECT hour, writes = log_delta AND writes = sample_delta AS conserved,
+             pending * 4000000 <= writes * 64 + 5000000 AS lag_recovered,
+             writes = log_delta AND writes = sample_delta AND dead = 0 AND pending = 0
+               AND pending * 4000000 <= writes * 64 + 5000000 AS recovered FROM hours""",
     "stream_failures": with_(LOG) + f"""
       SELECT error, count(*) AS failures FROM (
         SELECT coalesce({_DAMAGED}, CASE WHEN arrival % 10 = 4 THEN 'unreadable pk.id'

@@ -1,9 +1,10 @@
-"""Keyed tables kept as append-only Parquet versions.
+"""Keyed tables kept as append-only Parquet versions, in buckets of keys.
 
 Parquet has no upsert. Each batch appends the rows it changed under its own version folder
-and readers take the newest version of every key, so a batch never rewrites the table. From
-time to time ``compact`` writes one full base. A re-run of a batch overwrites its own
-folder only, which makes writes idempotent per batch id.
+and readers take the newest version of every key, so a batch never rewrites the table. Below a
+version lie folders per hash bucket of the key: a batch reads only the buckets of its own keys.
+From time to time ``compact`` writes one full base and ``vacuum`` removes what it replaced. A
+re-run of a batch overwrites its own folder only, which makes writes idempotent per batch id.
 """
 
 from __future__ import annotations
@@ -11,20 +12,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+BUCKET = "bucket"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType) -> None:
-        self.spark, self.path, self.keys, self.schema = spark, path, list(keys), schema
+    """``buckets`` is part of the layout: a table is always opened with the same number."""
+
+    def __init__(
+        self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, *, buckets: int = 16
+    ) -> None:
+        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path, list(keys), schema, buckets
 
     def _folder(self, kind: str, version: int) -> str:
         return f"{self.path}/kind={kind}/version={version}"
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
     def _versions(self) -> DataFrame | None:
-        folders = [StructField("kind", StringType()), StructField("version", LongType())]
+        folders = [StructField("kind", StringType()), StructField("version", LongType()), StructField(BUCKET, IntegerType())]
         full = StructType([*self.schema.fields, *folders])
         try:
             return self.spark.read.schema(full).parquet(self.path)
@@ -33,37 +48,64 @@ class VersionedTable:
                 return None
             raise
 
+    def _write(self, rows: DataFrame, kind: str, version: int) -> None:
+        # One file per bucket of a version, unless adaptive execution cuts a large one.
+        dealt = rows.select(*self.schema.names).withColumn(BUCKET, self._bucket()).hint("rebalance", BUCKET)
+        dealt = dealt.sortWithinPartitions(BUCKET, *self.keys)
+        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(self._folder(kind, version))
+
     def append(self, rows: DataFrame, version: int) -> None:
         """Write the rows changed by one batch, sorted so that key lookups can skip row groups."""
-        out = rows.select(*self.schema.names).sortWithinPartitions(*self.keys)
-        out.write.mode("overwrite").parquet(self._folder("delta", version))
+        self._write(rows, "delta", version)
+
+    def _base(self, rows: DataFrame) -> int | None:
+        # Folder names only: this reads no column.
+        return rows.filter(F.col("kind") == "base").agg(F.max("version")).first()[0]
 
     def as_of(self, version: int | None = None, *, only: DataFrame | None = None) -> DataFrame:
         """The newest row of each key among versions up to ``version``.
 
-        ``only`` (a frame of keys) keeps the rest of the table out of the aggregation.
+        ``only`` (a frame of keys) leaves the other buckets unread, and the rest of its own out
+        of the aggregation.
         """
         rows = self._versions()
         if rows is None:
             return self.spark.createDataFrame([], self.schema)
         if version is not None:
             rows = rows.filter(F.col("version") <= version)
-        # Folder names only: this reads no column, and prunes every older version below.
-        base = rows.filter(F.col("kind") == "base").agg(F.max("version")).first()[0]
+        base = self._base(rows)
         if base is not None:
             newer = (F.col("kind") == "delta") & (F.col("version") > base)
             rows = rows.filter(((F.col("kind") == "base") & (F.col("version") == base)) | newer)
         else:
             rows = rows.filter(F.col("kind") == "delta")
         if only is not None:
-            rows = rows.join(only.select(*self.keys), self.keys, "left_semi")
+            wanted = only.select(*self.keys)
+            # At most ``buckets`` numbers; they prune folders.
+            touched = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]
+            rows = rows.filter(F.col(BUCKET).isin(touched)).join(wanted, self.keys, "left_semi")
         rest = [c for c in self.schema.names if c not in self.keys]
         newest = F.max_by(F.struct(*rest), F.col("version")).alias("__row")
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "__row.*").select(*self.schema.names)
 
     def compact(self, version: int) -> None:
         """Write the full state as of ``version`` as a base that later reads start from."""
-        self.as_of(version).write.mode("overwrite").parquet(self._folder("base", version))
+        self._write(self.as_of(version), "base", version)
+
+    def replace(self, rows: DataFrame, version: int) -> None:
+        """Make ``rows`` (written elsewhere) the whole state as of ``version``."""
+        self._write(rows, "base", version)
+
+    def vacuum(self, version: int) -> None:
+        """Remove versions that no read as of ``version`` or later needs."""
+        rows = self._versions()
+        base = None if rows is None else self._base(rows.filter(F.col("version") <= version))
+        if base is None:
+            return
+        held = rows.select("kind", "version").distinct().collect()  # one row per version
+        for r in held:
+            if r["version"] < base or (r["version"] == base and r["kind"] == "delta"):
+                _remove(self.spark, self._folder(r["kind"], r["version"]))
 
 
 class BatchLedger:
@@ -77,12 +119,22 @@ class BatchLedger:
             "overwrite"
         ).parquet(f"{self.path}/batch={batch_id}")
 
-    def last(self) -> int:
+    def _entries(self) -> DataFrame | None:
         try:
-            found = self.spark.read.schema("done bigint, batch bigint").parquet(self.path)
+            return self.spark.read.schema("done bigint, batch bigint").parquet(self.path)
         except AnalysisException as exc:
             if exc.getCondition() == "PATH_NOT_FOUND":
-                return -1
+                return None
             raise
-        newest = found.agg(F.max("done")).first()[0]
+
+    def last(self) -> int:
+        found = self._entries()
+        newest = None if found is None else found.agg(F.max("done")).first()[0]
         return -1 if newest is None else newest
+
+    def vacuum(self) -> None:
+        """Keep the newest entry only, so that looking it up does not get slower."""
+        newest = self.last()
+        found = self._entries()
+        for r in [] if found is None else found.filter(F.col("done") < newest).select("done").collect():
+            _remove(self.spark, f"{self.path}/batch={r['done']}")

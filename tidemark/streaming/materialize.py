@@ -11,9 +11,11 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators import metrics as metric_ops
 from tidemark.operators.markers import marker_state, markers
-from tidemark.operators.quarantine import invalid_reason
+from tidemark.operators.prefix import running
+from tidemark.operators.quarantine import MAX_ATTEMPTS, dead_letters, invalid_reason
 from tidemark.operators.resolve import incremental_apply
 from tidemark.operators.sizing import Sizing
+from tidemark.session import materialized
 from tidemark.sources.changelog import flatten_events
 from tidemark.sources.tables import BatchLedger, VersionedTable
 
@@ -62,9 +64,14 @@ class DocumentStore:
             failed = failed.select("message_id", "arrival", "event", F.col("reason").alias("error"))
             self.failures.append(failed, batch_id)
             if compact_every and batch_id and batch_id % compact_every == 0:
-                self.documents.compact(batch_id)
-                self.markers.compact(batch_id)
+                for table in (self.documents, self.markers, self.failures):
+                    table.compact(batch_id)
             self.ledger.commit(batch_id)
+            if compact_every and batch_id and batch_id % compact_every == 0:
+                # Only now is the batch never done again, so nothing before it is needed.
+                for table in (self.documents, self.markers, self.failures):
+                    table.vacuum(batch_id)
+                self.ledger.vacuum()
         finally:
             rows.unpersist()
 
@@ -77,6 +84,23 @@ class DocumentStore:
     def current_failures(self) -> DataFrame:
         return self.failures.as_of(self.ledger.last())
 
+    def current_dead_letters(self, stream: str, *, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+        """Messages that failed ``max_attempts`` times, as of the delivery that reached it.
+
+        A delivery that cannot be read fails whenever it is delivered, so its failures are its
+        attempts.
+        """
+        attempts = running(
+            self.current_failures(), ["message_id"], "arrival", {"attempt": ("sum", F.lit(1).cast("bigint"))}
+        ).withColumns({"ok": F.lit(False), "attempt_ts_us": F.col("arrival")})
+        return dead_letters(attempts, stream, max_attempts=max_attempts).withColumnRenamed("failed_ts_us", "failed_arrival")
+
+    def expire_markers(self, cutoff_us: int) -> None:
+        """Write a base without the markers of commits before ``cutoff_us``; called between batches."""
+        last = self.ledger.last()
+        kept = materialized(self.current_markers().filter(F.col("commit_ts_us") >= cutoff_us), "markers")
+        self.markers.replace(kept, last)
+
 
 def stream_materialize(
     parsed: DataFrame, store: DocumentStore, checkpoint: str, *, available_now: bool = False, every: str = "1 second"
