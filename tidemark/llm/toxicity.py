@@ -174,25 +174,42 @@ def _logistic(features: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _token_labels(batches: list[Tokens], toxic: np.ndarray) -> list[np.ndarray]:
     """Toxic tokens of toxic documents, by association of word and prefixes with toxic documents."""
     kinds = _KINDS - 1
-    keys, bad, good = [], [], []
-    for t in batches:  # a document lies in one batch, save for very long ones
-        pairs = np.unique(t.row * len(t.features) + t.word)
+
+    def holders(t: Tokens, mark: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Features (of `among`) and how many marked documents of the segment hold each."""
+        pairs = np.unique(t.row[mark[t.row] == 1].astype(np.int64) * len(t.features) + t.word[mark[t.row] == 1])
         row, word = np.divmod(pairs, len(t.features))
         known, at = np.unique(t.features[:, :kinds], return_inverse=True)
         at = at.reshape(-1, kinds)[word]
-        held = np.unique(at * (len(toxic) + 1) + row[:, None])
-        at, row = np.divmod(held, len(toxic) + 1)
-        keys.append(known)
-        bad.append(np.bincount(at, toxic[row], len(known)))
-        good.append(np.bincount(at, 1 - toxic[row], len(known)))
-    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    bad = np.bincount(at, np.concatenate(bad), len(keys))
-    good = np.bincount(at, np.concatenate(good), len(keys))
+        held = np.unique(at * (len(mark) + 1) + row[:, None]) // (len(mark) + 1)
+        if among is not None:
+            held = held[np.isin(known, among)[held]]
+        number = np.bincount(held, minlength=len(known))
+        return known[number > 0], number[number > 0]
+
+    def total(mark: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        # A document lies in one segment, save for very long ones.
+        parts = [holders(t, mark, among) for t in batches]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys))
+
+    keys, bad = total(toxic, None)
+    keys, bad = keys[bad >= MIN_DOCS], bad[bad >= MIN_DOCS]
+    clean_keys, clean = total(1 - toxic, keys)
+    good = np.zeros(len(keys))
+    good[np.searchsorted(keys, clean_keys)] = clean
     ratio = np.log((bad + 0.1) / (toxic.sum() + 1)) - np.log((good + 0.3) / ((1 - toxic).sum() + 1))
-    signs = keys[(bad >= MIN_DOCS) & (ratio >= MIN_RATIO)]
+    signs = keys[ratio >= MIN_RATIO]
     return [np.isin(t.features[:, :kinds], signs).any(axis=1)[t.word] & (toxic[t.row] == 1) for t in batches]
 
 
+def _slim(t: Tokens, base: int) -> Tokens:
+    """What training needs of a segment, in half the bytes, with rows counted from `base`."""
+    small = [(x + k).astype(np.int32) for x, k in ((t.row, base), (t.chain, 0), (t.word, 0))]
+    none = np.zeros(0, np.int32)
+    return Tokens(small[0], none, none, small[1], small[2], t.features)
+
+
 def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     """Fits the field and the blend on a sample; without any toxic document nothing is toxic."""
     y = np.array(toxic, np.int64)
@@ -210,9 +227,9 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
             size += len(texts[end] or "")
             end += 1
         for t in segments(pa.array(texts[base:end], pa.string())):
-            t.row += base
-            batches.append(t)
+            batches.append(_slim(t, base))
         base = end
+    del texts
     labels = _token_labels(batches, y)
     square, bias_square, transition_square = np.full(TABLE, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(EPOCHS):
@@ -243,8 +260,9 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
             transition_square += step**2
             transition = transition + 0.05 * step / np.sqrt(transition_square)
     model = Model(weights, bias, transition, np.zeros(4))
-    marginal = np.concatenate([model.marginals(t) for t in batches])
-    features = document_features(marginal, np.concatenate([t.row for t in batches]), len(y))
+    features = document_features(
+        np.concatenate([model.marginals(t) for t in batches]), np.concatenate([t.row for t in batches]), len(y)
+    )
     return Model(weights, bias, transition, _logistic(features, y))
 
 
@@ -306,8 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .join(picked, "k")
         .select("k", "text", (F.col("y") != 0).cast("int").alias("y"))
     )
-    rows = sorted((r["k"], r["text"], r["y"]) for r in sample.collect())
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    rows = sorted((r["k"], r["text"], r["y"]) for r in sample.toLocalIterator())
+    texts, marks = [r[1] for r in rows], [r[2] for r in rows]
+    del rows
+    return train(texts, marks)
 
 
 def toxicity(
