@@ -137,6 +137,13 @@ def last_n_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("event_id", "visible_ts_us", "staleness_us")
 
 
+def last_n_samples_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rolling window that is smaller than the samples there are."""
+    found = visibility.samples(observed(spark, sf_dir))
+    newest = retention.last_n(found, 500, ["visible_ts_us", "lsn", "seq"])
+    return newest.select("event_id", "visible_ts_us", "staleness_us")
+
+
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = visibility.violations(observed(spark, sf_dir))
     return found.select("event_id", "key", "violation_ts_us", "detection_delay_us")
@@ -444,7 +451,7 @@ QUERIES = {
         event_latencies, expired_markers, purge_markers, trim_log, commit_order, read_range, events_of_key,
         commit_window, time_guard, batch_metrics, batch_totals, lag_by_consumer, compare_runs,
         recovery_audit, conservation, backlog_growth, capacity_matrix, first_probe_irregular_chunked,
-        staleness_summary_empty_forced, staleness_null_group_forced, metrics_snapshot_forced,
+        last_n_samples_small, staleness_summary_empty_forced, staleness_null_group_forced, metrics_snapshot_forced,
     )
 }
 
@@ -552,6 +559,9 @@ ORACLE = {
     "last_n_samples": with_(OBSERVED) + """
       SELECT event_id, visible_ts_us, staleness_us FROM observed WHERE visible_ts_us IS NOT NULL
       ORDER BY visible_ts_us DESC, lsn DESC, seq DESC LIMIT 10000""",
+    "last_n_samples_small": with_(OBSERVED) + """
+      SELECT event_id, visible_ts_us, staleness_us FROM observed WHERE visible_ts_us IS NOT NULL
+      ORDER BY visible_ts_us DESC, lsn DESC, seq DESC LIMIT 500""",
     "violations": with_(OBSERVED) + """
       SELECT event_id, key, violation_ts_us, detection_delay_us FROM observed WHERE violation_ts_us IS NOT NULL""",
     "detection_delay": with_(OBSERVED) + """

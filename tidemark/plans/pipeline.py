@@ -387,9 +387,7 @@ def stream_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.groupBy("op", "result").agg(F.count("*").alias("markers"))
 
 
-def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits that no marker answered within the SLO, found by a stream-stream join."""
-    root = scratch_path(spark, "breaches")
+def _commit_and_marker_streams(spark: SparkSession, sf_dir: str, root: str) -> tuple[DataFrame, DataFrame]:
     rows = inputs.marker_times(freshness.events(spark, sf_dir))
     both = rows.select(
         "event_id", "lsn", F.timestamp_micros("commit_ts_us").alias("commit_time"),
@@ -411,9 +409,14 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema = f"event_id string, lsn bigint, {time} timestamp"
         return spark.readStream.schema(schema).parquet(f"{root}/{name}")
 
-    query = streams.stream_violations(
-        source("commits", "commit_time"), source("markers", "marker_time"), f"{root}/out", f"{root}/checkpoint"
-    )
+    return source("commits", "commit_time"), source("markers", "marker_time")
+
+
+def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits that no marker answered within the SLO, found by a stream-stream join."""
+    root = scratch_path(spark, "breaches")
+    commits, marked = _commit_and_marker_streams(spark, sf_dir, root)
+    query = streams.stream_violations(commits, marked, f"{root}/out", f"{root}/checkpoint")
     query.awaitTermination()
     found = spark.read.schema("event_id string, lsn bigint, commit_time timestamp").parquet(f"{root}/out")
     return found.filter(F.col("event_id") != "sentinel").select(
@@ -421,6 +424,48 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _drained(stream: DataFrame, root: str) -> None:
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/out")
+    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_resolved_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations that ended when their marker came after all."""
+    root = scratch_path(spark, "resolved")
+    commits, marked = _commit_and_marker_streams(spark, sf_dir, root)
+    _drained(streams.late_markers(commits, marked), root)
+    found = spark.read.schema("event_id string, lsn bigint, commit_time timestamp, resolved_time timestamp").parquet(f"{root}/out")
+    took = F.unix_micros("resolved_time") - F.unix_micros("commit_time")
+    return found.select("event_id", "lsn", took.alias("resolved_after_us"))
+
+
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits outside the accepted range as of one day before the newest, reported while streaming."""
+    root = scratch_path(spark, "rejected")
+    rows = inputs.commits(spark, sf_dir).select("event_no", F.timestamp_micros("commit_ts_us").alias("commit_time"))
+    landed = materialized(rows, "landed")
+    now = landed.agg(F.max("commit_time") - F.expr("INTERVAL 24 HOURS")).first()[0]
+    landed.write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(landed.schema).parquet(f"{root}/log")
+    _drained(streams.guard_rejections(stream, now=F.lit(now)), root)
+    found = spark.read.schema("event_no bigint, reason string").parquet(f"{root}/out")
+    return found.select("event_no", "reason")
+
+
+def upserted_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of the first half of the log, overwritten by those of the second."""
+    log = materialized(docs.mk.markers(docs.classified(spark, sf_dir)), "marker-log")
+    half = log.agg(F.expr("percentile_approx(arrival, 0.5)")).scalar()
+    stored = docs.mk.marker_state(log.filter(F.col("arrival") <= half))
+    return docs.mk.upsert_markers(stored, log.filter(F.col("arrival") > half))
+
+
+def looked_up_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point read of one document's markers."""
+    stored = docs.mk.marker_state(docs.mk.markers(docs.classified(spark, sf_dir)))
+    return changelog.lookup(stored, "document_id", "7").select("event_id", "result")
+
+
 def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redeliveries suppressed while streaming, within a horizon of sixty days of commit time."""
     root = scratch_path(spark, "dedupe")
@@ -446,7 +491,8 @@ QUERIES = {
         rebuild_documents, convergence_differences, convergence_report, validate_source, ordering_audit,
         trace_events, lsn_distance, run_history, stream_documents, stream_markers, stream_violations,
         stream_first_deliveries, stream_documents_many_files, stream_failures,
-        stream_dead_letters, conservation_by_hour, recovery_by_hour,
+        stream_dead_letters, conservation_by_hour, recovery_by_hour, stream_resolved_violations, stream_rejected,
+        upserted_markers, looked_up_markers,
     )
 }
 
@@ -692,6 +738,19 @@ ORACLE = {
              pending * 4000000 <= writes * 64 + 5000000 AS lag_recovered,
              writes = log_delta AND writes = sample_delta AND dead = 0 AND pending = 0
                AND pending * 4000000 <= writes * 64 + 5000000 AS recovered FROM hours""",
+    "stream_resolved_violations": with_(OBSERVED) + """
+      SELECT event_id, lsn, marker_ts_us - commit_ts_us AS resolved_after_us FROM observed
+      WHERE marker_ts_us - commit_ts_us > 1000000""",
+    "stream_rejected": with_(COMMITS, """
+      aged AS (SELECT event_no, (SELECT max(commit_ts_us) - 86400000000 FROM commits) - commit_ts_us AS age FROM commits)""") + """
+      SELECT event_no, CASE WHEN age < -60000000 THEN 'ahead' ELSE 'old' END AS reason FROM aged
+      WHERE age < -60000000 OR age > 86400000000""",
+    "upserted_markers": with_(CLASSIFIED) + """
+      SELECT event_id, CAST(key AS VARCHAR) AS document_id, op, commit_lsn, commit_ts_us, result, arrival
+      FROM judged QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival DESC) = 1""",
+    "looked_up_markers": with_(CLASSIFIED) + """
+      SELECT event_id, result FROM judged WHERE key = 7
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival DESC) = 1""",
     "stream_failures": with_(LOG) + f"""
       SELECT error, count(*) AS failures FROM (
         SELECT coalesce({_DAMAGED}, CASE WHEN arrival % 10 = 4 THEN 'unreadable pk.id'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -155,6 +155,33 @@ def stream_violations(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def late_markers(
+    commits: DataFrame, markers_: DataFrame, *, slo: str = "1 second", horizon: str = "1 hour", lateness: str = "24 hours"
+) -> DataFrame:
+    """Breaches that ended: commits whose marker came after the SLO but within ``horizon``.
+
+    The end of a violation that ``stream_violations`` has reported; state is kept for
+    ``horizon`` past a commit.
+    """
+    c = commits.withWatermark("commit_time", lateness).alias("c")
+    m = markers_.withWatermark("marker_time", lateness).alias("m")
+    late = F.expr(
+        "c.event_id = m.event_id AND c.lsn = m.lsn "
+        f"AND m.marker_time > c.commit_time + INTERVAL {slo} AND m.marker_time <= c.commit_time + INTERVAL {horizon}"
+    )
+    columns = [F.col(f"c.{n}") for n in commits.columns]
+    return c.join(m, late).select(*columns, F.col("m.marker_time").alias("resolved_time"))
+
+
+def guard_rejections(stream: DataFrame, time: str = "commit_time", now: Column | None = None) -> DataFrame:
+    """What ``within_guard`` drops, with ``reason``: too far ahead, or too old."""
+    now = F.current_timestamp() if now is None else now
+    ahead = F.col(time) > now + F.expr("INTERVAL 60 SECONDS")
+    old = F.col(time) < now - F.expr("INTERVAL 24 HOURS")
+    reason = F.when(ahead, "ahead").when(old, "old")
+    return stream.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def metrics_batch(
     observe: Callable[[DataFrame], DataFrame], path: str, by: Sequence[str] = ()
 ) -> Callable[[DataFrame, int], None]:
