@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.idset import IdSet
 from tidemark.llm.pretokens import encoder, tokenizer_path
 from tidemark.llm.ship import ship
+from tidemark.llm.text import slices
 from tidemark.session import materialized
 
 ITERATIONS = 300
@@ -119,7 +120,7 @@ def _id_bytes(raw: bytes, width: int) -> bytes:
 def _encode(tokenizer: str, window: int, end_id: int, width: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(tokenizer, "ids"), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             raws = [raw + end for raw in own.encode(batch.column("text").to_pylist())]
             step = 4 * window
             sums = [[zlib.crc32(raw[a : a + step]) for a in range(0, len(raw), step)] for raw in raws]

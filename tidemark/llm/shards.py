@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import files
 from tidemark.llm.mphf import PerfectHash, pack, unpack
-from tidemark.llm.pretokens import encoder
+from tidemark.llm.pretokens import encoder, tokenizer_path
 from tidemark.llm.ship import ship
-from tidemark.llm.text import mix
+from tidemark.llm.text import mix, slices
 from tidemark.session import materialized
 
 #: Stands for a null key, which sorts before all others.
@@ -85,9 +85,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int):
         own, name, out = encoder(tokenizer, "ids"), f"shard-{uuid.uuid4().hex}", None
         end = np.array([end_id], "<u4").tobytes()
         keys, lengths = [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             out = out or files.create(f"{folder}/{name}.ids")
             keys.append(batch.column("key").to_numpy())
             for raw in own.encode(batch.column("text").to_pylist()):
@@ -129,8 +127,6 @@ def write_shards(
     """
     from tokenizers import Tokenizer
 
-    from tidemark.llm.pretokens import tokenizer_path
-
     spark = docs.sparkSession
     ship(spark)
     vocabulary = Tokenizer.from_file(tokenizer_path(tokenizer)).get_vocab_size()

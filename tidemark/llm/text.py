@@ -26,6 +26,17 @@ LOWER_BYTES = LOWER.tobytes()
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch that are worked on at once.
+ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of ROWS rows, without copying: what is derived from them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit numbers (the splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))

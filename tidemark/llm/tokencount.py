@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.mphf import pack, unpack
 from tidemark.llm.pretokens import encoder
 from tidemark.llm.ship import ship
+from tidemark.llm.text import slices
 
 #: Pre-tokens in the broadcast table: below 4 MB, as longer ones than LONGEST stay out.
 FREQUENT = 1 << 16
@@ -54,7 +55,7 @@ def _prune(counts: Counter, n: int) -> Counter:
 def _summarise(name: str):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = encoder(name, "lengths"), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 for part in own.pieces(text) or () if text and len(text) <= CHUNK else _in_parts(own, text):
                     counts[part] += 1
@@ -100,7 +101,7 @@ def frequent_lengths(texts: DataFrame, tokenizer: str) -> bytes:
 def _count(name: str, table):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(name, "lengths", table.value, _read)
-        for batch in batches:
+        for batch in slices(batches):
             counts = pa.array(own.encode(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), counts], ["doc_id", "n_bytes", "n_tokens"])
 
