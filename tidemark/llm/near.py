@@ -58,7 +58,7 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text.slices(batches):
         n = batch.num_rows
         size, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         signatures = np.zeros((n, _BINS), np.uint64)
@@ -78,7 +78,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text.slices(batches):
         sets = list(text.shingle_sets(batch.column("text"), WIDTH))
         at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
