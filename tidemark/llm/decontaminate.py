@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text
+from tidemark.llm.idset import IdSet, row_key
 from tidemark.llm.ship import ship
 from tidemark.session import materialized
 
@@ -226,7 +227,7 @@ _LISTS = ["items", "starts", "ends", "edits"]
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
-        for batch in batches:
+        for batch in text.slices(batches):
             lists: dict[str, list] = {c: batch.column(c).to_pylist() for c in _LISTS}
             for row, value in enumerate(batch.column("text").to_pylist()):
                 raw = (value or "").encode()
@@ -275,20 +276,6 @@ def contaminations(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, in all their columns, in which no benchmark item occurs."""
-    ship(docs.sparkSession)
-    for shared, more in _blocks(benchmark, "item_id", "text"):
-        docs = docs.where(~_contains(shared)(text_col))
-        if more:
-            docs = materialized(docs, "scanned")
-    return docs
-
-
-def _contains(shared):
-    @F.pandas_udf("boolean")
-    def contains(texts):
-        import pandas as pd
-
-        index = _index(shared)
-        return pd.Series([bool(len(index.ids) and index.matches(normalised((t or "").encode())[0])) for t in texts], dtype=bool)
-
-    return contains
+    keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = IdSet(contaminations(keyed, benchmark).where("contaminated").select("doc_id"))
+    return docs.where(~found.has(row_key(id_col, text_col)))

@@ -17,12 +17,17 @@ from tidemark.session import materialized
 FILE_IDS = 1 << 20
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a row by id and text: rows with the same key are judged alike."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 class IdSet:
     def __init__(self, ids: DataFrame):
         """`ids`: one bigint column; repeats are allowed, nulls are in no set."""
         spark = ids.sparkSession
         ship(spark)
-        ids = ids.toDF("id").where("id is not null")
+        ids = materialized(ids.toDF("id").where("id is not null").distinct(), "id-set")
         self.shards = shards = max(1, -(-ids.count() // FILE_IDS))
         self.folder = folder = files.new_folder(spark, "ids")
 
@@ -32,7 +37,7 @@ class IdSet:
                 out.write(np.unique(pdf["id"].to_numpy(np.int64)).tobytes())
             return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "name": [name]})
 
-        dealt = ids.distinct().withColumn("shard", F.pmod("id", F.lit(shards)).cast("int"))
+        dealt = ids.withColumn("shard", F.pmod("id", F.lit(shards)).cast("int"))
         written = materialized(dealt.groupBy("shard").applyInPandas(write, "shard int, name string"), "id-files")
         self.names = {r["shard"]: r["name"] for r in written.collect()}  # one short row per file
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text
+from tidemark.llm.idset import IdSet, row_key
 from tidemark.llm.ship import ship
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
@@ -269,7 +270,7 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
 def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for batch in batches:
+        for batch in text.slices(batches):
             column = batch.column("text")
             n = batch.num_rows
             rows, marginals = [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -353,13 +354,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of `docs`, in all their columns, that are not predicted toxic."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), column], ["doc_id", "text"])
-        return pd.Series(next(_score(shared)(iter([batch]))).column("score").to_numpy())
-
-    return docs.where(score(text_col) < THRESHOLD)
+    schema = "doc_id long, score double, spans array<struct<start: long, end: long, marginal: double>>"
+    keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    toxic = IdSet(keyed.mapInArrow(_score(shared), schema).where(F.col("score") >= THRESHOLD).select("doc_id"))
+    return docs.where(~toxic.has(row_key(id_col, text_col)))
