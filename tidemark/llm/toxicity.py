@@ -14,6 +14,7 @@ most SAMPLE_BYTES bytes each); scoring reads every text whole.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -305,6 +306,13 @@ def held_out(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+    rows.sort(key=lambda r: (r[0], r[1]))
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Trains on at most SAMPLE_TOXIC and SAMPLE_CLEAN documents that are not held out.
 
@@ -325,10 +333,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .join(picked, "k")
         .select("k", "text", (F.col("y") != 0).cast("int").alias("y"))
     )
-    rows = sorted((r["k"], r["text"], r["y"]) for r in sample.toLocalIterator())
-    texts, marks = [r[1] for r in rows], [r[2] for r in rows]
-    del rows
-    return train(texts, marks)
+    # The sample is bounded, so one task can train; the driver sees the model only.
+    trained = sample.repartition(1).mapInArrow(_train_task, "model binary").collect()
+    return pickle.loads(bytes(trained[0]["model"])) if trained else train([], [])
 
 
 def toxicity(
