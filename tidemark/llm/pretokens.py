@@ -18,7 +18,7 @@ from collections.abc import Iterator
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pre-tokens one worker keeps: the first it meets, which the frequent ones are among.
-KEPT = 400_000
+KEPT = 200_000
 
 # Fixed by the tokenizer files: the cutting patterns and the rules that identify them.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}

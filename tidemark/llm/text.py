@@ -31,10 +31,15 @@ ROWS = 256
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in parts of ROWS rows, without copying: what is derived from them stays small."""
+    """Arrow batches in parts of ROWS rows, without copying: what is derived from them stays small.
+
+    What Arrow holds free goes back to the system after each batch, as workers are used again.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             yield batch.slice(at, ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
