@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontaminate, exact, near, packing, toxicity
 from tidemark.session import materialized
 
+#: Shared five-word shingles, in percent of all of a pair, from which texts are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of those that are there."""
@@ -24,7 +27,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
-    return near.drop_near(docs)
+    return near.drop_near(docs, percent=NEAR_PERCENT)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Near-duplicates: one-permutation hashing with optimal densification and star candidates.
 
-1. Every text becomes a signature of BANDS * ROWS bins of one permutation.  An empty bin
+1. Every text becomes a signature of bands * ROWS bins of one permutation.  An empty bin
    borrows from the first filled one in an order of its own (optimal densification).  Equal
    shingle sets are one node from here on.
-2. Bands of ROWS bins are buckets.  A pair at the threshold misses all buckets with
-   probability (1 - 0.85^5)^25, below one in a million.
+2. Bands of ROWS bins are buckets, as many as the threshold needs: a pair at the threshold t
+   misses all buckets with probability (1 - t^ROWS)^bands, at most MISS.  That is 25 bands at
+   85 % and 37 at 80 %.
 3. A bucket proposes a star: its most central member (largest total of bucket sizes) against
    the others, so there are fewer candidates than members.  Candidates are confirmed on full sets.
 4. Links a star cannot see lie in buckets that still hold several components.  Those alone,
@@ -14,7 +15,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +30,67 @@ from tidemark.llm.idset import IdSet
 from tidemark.llm.ship import ship
 from tidemark.session import materialized
 
-BANDS = 25
+#: Chance that a pair at the threshold meets in no band, and bins of a band.
+MISS = 5e-7
 ROWS = 5
 WIDTH = 5
 #: Members and shingles that one block of an unresolved bucket holds on average.
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1 << 18
 
-_BINS = BANDS * ROWS
-# Row i: the order in which bin i, when empty, looks at the others.
-_ORDER = np.argsort(text.constants(9, _BINS * _BINS).reshape(_BINS, _BINS), axis=1)
-_WEIGHT = text.constants(11, _BINS)
-_BAND = text.constants(13, BANDS)
 
+def n_bands(percent: int) -> int:
+    """The least number of bands by which a pair at the threshold is missed with MISS at most."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be in 1..100, not {percent}")
+    return 1 if percent == 100 else math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Densified one-permutation signature of a non-empty sorted set of 64-bit hashes."""
-    bins = ((shingles >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    filled = np.zeros(_BINS, bool)
-    filled[bins[first]] = True
-    values = np.zeros(_BINS, np.uint64)
-    values[bins[first]] = shingles[first]
-    return values[_ORDER[np.arange(_BINS), filled[_ORDER].argmax(axis=1)]] if not filled.all() else values
 
+@cache
+def _order(bins: int) -> np.ndarray:
+    """Row i: the order in which bin i, when empty, looks at the others."""
+    return np.argsort(text.constants(9, bins * bins).reshape(bins, bins), axis=1)
 
-def _bands(signatures: np.ndarray) -> np.ndarray:
-    parts = text.mix(signatures * _WEIGHT).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64)
-    return text.mix(parts + _BAND).view(np.int64)
 
+def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """Densified one-permutation signature of a non-empty sorted set of 64-bit hashes."""
+    at = ((shingles >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    filled = np.zeros(bins, bool)
+    filled[at[first]] = True
+    values = np.zeros(bins, np.uint64)
+    values[at[first]] = shingles[first]
+    order = _order(bins)
+    return values[order[np.arange(bins), filled[order].argmax(axis=1)]] if not filled.all() else values
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text.slices(batches):
-        n = batch.num_rows
-        size, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        signatures = np.zeros((n, _BINS), np.uint64)
-        for i, shingles in enumerate(text.shingle_sets(batch.column("text"), WIDTH)):
-            size[i] = len(shingles)
-            if len(shingles):
-                low[i] = text.mix(np.sum(shingles, keepdims=True, dtype=np.uint64)).view(np.int64)[0]
-                high[i] = np.sum(text.mix(shingles), dtype=np.uint64).view(np.int64)
-                signatures[i] = signature(shingles)
-        bands = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(_bands(signatures).ravel())
-        )
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size), pa.array(low), pa.array(high), bands],
-            ["doc_id", "n_shingles", "low", "high", "bands"],
-        )
+
+def _bands(signatures: np.ndarray) -> np.ndarray:
+    bins = signatures.shape[1]
+    parts = text.mix(signatures * text.constants(11, bins)).reshape(-1, bins // ROWS, ROWS).sum(axis=2, dtype=np.uint64)
+    return text.mix(parts + text.constants(13, bins // ROWS)).view(np.int64)
+
+
+def _sketch(n: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.slices(batches):
+            rows = batch.num_rows
+            size, low, high = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            signatures = np.zeros((rows, n * ROWS), np.uint64)
+            for i, shingles in enumerate(text.shingle_sets(batch.column("text"), WIDTH)):
+                size[i] = len(shingles)
+                if len(shingles):
+                    low[i] = text.mix(np.sum(shingles, keepdims=True, dtype=np.uint64)).view(np.int64)[0]
+                    high[i] = np.sum(text.mix(shingles), dtype=np.uint64).view(np.int64)
+                    signatures[i] = signature(shingles, n * ROWS)
+            bands = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, (rows + 1) * n, n, dtype=np.int32)), pa.array(_bands(signatures).ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(size), pa.array(low), pa.array(high), bands],
+                ["doc_id", "n_shingles", "low", "high", "bands"],
+            )
+
+    return sketch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +188,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialized(
-        texts.mapInArrow(_sketch, "doc_id long, n_shingles long, low long, high long, bands array<long>"), "sketch"
+        texts.mapInArrow(_sketch(n_bands(percent)), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "sketch"
     )
     key = ["low", "high", "n_shingles"]
     able = sketch.where("n_shingles > 0 and doc_id is not null")
