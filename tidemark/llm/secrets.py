@@ -5,8 +5,8 @@ forest sees its length and composition, how its characters follow each other (ag
 transitions of ordinary words), how much of it dictionary words cover, signs of a path in it and
 in the document's path, and the words beside it.  It is trained on labelled findings; where none
 are given, findings are labelled by rules that only know provider formats, assignments to
-credential names, and the shapes of harmless numbers.  Dictionary and transitions come from
-pre-tokens that are frequent in all texts.
+credential names, and the shapes of harmless numbers.  Dictionary and transitions come from the
+most frequent words of all texts, in any script, by exact counts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text
 from tidemark.llm.ship import ship
-from tidemark.llm.tokencount import frequent
 from tidemark.session import materialized
 
 MIN_LENGTH = 12
@@ -35,6 +34,9 @@ SAMPLE = 2000
 TREES, DEPTH = 30, 6
 #: Words of the dictionary, and bytes of text on either side of a candidate.
 DICTIONARY = 1 << 15
+#: Characters of a dictionary word, and distinct words that a task adds up before it hands them on.
+SHORTEST, LONGEST = 3, 32
+COUNTED = 1 << 16
 AROUND = 40
 #: Neighbouring words that become features, by how well they tell the classes apart.
 NEIGHBOURS = 16
@@ -50,6 +52,7 @@ _ASSIGNED = re.compile(r"(?i)(pass(word|wd)?|secret|token|api[_-]?key|auth)[\"']
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NUMBER = re.compile(r"[0-9][0-9/_+-]*")
 _WORDS = re.compile(r"[A-Za-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _TESTLIKE = re.compile(r"(?i)test|example|sample|mock|dummy|doc")
 
 NUMERIC = [
@@ -80,6 +83,22 @@ def candidates(column: pa.Array) -> list[tuple[int, int, int]]:
     return out
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of all texts with their counts, added up as long as they are few."""
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    counts: Counter = Counter()
+    for batch in text.slices(batches):
+        for t in batch.column("text").to_pylist():
+            counts.update(w for w in _LETTERS.findall((t or "").lower()) if SHORTEST <= len(w) <= LONGEST)
+            if len(counts) >= COUNTED:
+                yield counted()
+                counts.clear()
+    yield counted()
+
+
 class Language:
     """Dictionary and character transitions of ordinary words."""
 
@@ -94,12 +113,10 @@ class Language:
 
     @classmethod
     def learn(cls, texts: DataFrame) -> Language:
-        found: Counter = Counter()
-        for piece, n in frequent(texts, "byte_bpe_50k.json").items():
-            word = piece.strip().lower()
-            if word.isalpha() and len(word) >= 3:
-                found[word] += n
-        return cls(Counter(dict(found.most_common(DICTIONARY))))
+        """The DICTIONARY most frequent words of the `text` column, ties by word."""
+        counts = texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY)
+        return cls(Counter({r["word"]: r["n"] for r in top.collect()}))
 
     def transition(self, value: str) -> float:
         codes = [min(ord(c), 127) for c in value.lower()]
