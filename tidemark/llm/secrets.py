@@ -1,7 +1,9 @@
 """Secret scanning: candidates from every text, false positives removed by a random forest.
 
-A candidate is a run of MIN_LENGTH or more characters of [A-Za-z0-9_+/-] that has a digit.  The
-forest sees its length and composition, how its characters follow each other (against
+A candidate is a run of MIN_LENGTH or more characters of [A-Za-z0-9_+/-] that has a digit, or
+what a rule finds whatever its characters: a value after a credential name, a provider's format, a
+whole dotted token, a private key block.  Each span is judged once; spans may overlap, as a dotted
+token and its parts do.  The forest sees its length and composition, how its characters follow each other (against
 transitions of ordinary words), how much of it dictionary words cover, signs of a path in it and
 in the document's path, and the words beside it.  It is trained on labelled findings; where none
 are given, findings are labelled by rules that only know provider formats, assignments to
@@ -47,8 +49,18 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 # Fixed by providers and by custom: formats of keys, and names that secrets are assigned to.
-_PROVIDER = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[A-Za-z0-9-]+|sk_live_[A-Za-z0-9]{24}")
-_ASSIGNED = re.compile(r"(?i)(pass(word|wd)?|secret|token|api[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?$")
+_FORMATS = r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[A-Za-z0-9-]+|sk_live_[A-Za-z0-9]{24}"
+_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|secret|private)[_-]?key|credentials?|auth)"
+_PROVIDER = re.compile(_FORMATS)
+_ASSIGNED = re.compile(rf"(?i){_NAMES}[\"'`]?\s{{0,8}}(?::=|=>|[:=])\s{{0,8}}[\"'`]?$")
+# The same in bytes, to find candidates: a quoted value ends at its quote, another at white space or a quote.
+_VALUE = re.compile(
+    rb"(?i)" + _NAMES.encode() + rb"[\"'`]?\s{0,8}(?::=|=>|[:=])[^\S\n]{0,8}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]?([^\s\"'`]+))"
+)
+_FORMAT = re.compile(rb"(?<![A-Za-z0-9_-])(?:" + _FORMATS.encode() + rb")(?![A-Za-z0-9_-])")
+_DOTTED = re.compile(rb"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]++(?:\.[A-Za-z0-9_+/=-]++)+")
+_KEY_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
+_KEY_HEADER = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY( BLOCK)?-----")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NUMBER = re.compile(r"[0-9][0-9/_+-]*")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -99,6 +111,37 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
+def _of_rules(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of one text that a rule names as candidates."""
+    for m in _VALUE.finditer(raw):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:  # not quoted: a sentence's or a structure's own punctuation ends it
+            b = a + len(raw[a:b].rstrip(b".,;:)]}>"))
+        if b > a:
+            yield a, b
+    for m in _FORMAT.finditer(raw):
+        yield m.span()
+    for m in _DOTTED.finditer(raw):
+        token = m[0]
+        longest = max(map(len, token.split(b".")))
+        if (longest >= MIN_LENGTH or len(token) >= 2 * MIN_LENGTH) and re.search(rb"\d", token) and re.search(rb"[A-Za-z]", token):
+            yield m.span()
+    for m in _KEY_BEGIN.finditer(raw):
+        last = b"-----END " + m[1] + b"-----"
+        following = raw.find(b"-----BEGIN ", m.end())
+        end = raw.find(last, m.end(), following if following >= 0 else len(raw))
+        yield m.start(), end + len(last) if end >= 0 else m.end()
+
+
+def all_candidates(column: pa.Array) -> list[tuple[int, int, int]]:
+    """(row, start, end) in bytes of the batch: the runs and what the rules find, each span once."""
+    data, offsets = text.batch_bytes(column)
+    found = set(candidates(column))
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        found.update((row, a + x, a + y) for x, y in _of_rules(data[a:b].tobytes()))
+    return sorted(found)
+
+
 class Language:
     """Dictionary and character transitions of ordinary words."""
 
@@ -164,8 +207,11 @@ def describe(value: str, before: str, after: str, path: str | None, language: La
 
 def rule_label(value: str, before: str) -> int | None:
     """1: a secret by format or assignment; 0: a harmless number or identifier; None: unknown."""
-    if _PROVIDER.fullmatch(value) or _ASSIGNED.search(before):
+    if _PROVIDER.fullmatch(value) or _KEY_HEADER.match(value):
         return 1
+    if _ASSIGNED.search(before):
+        # A bare word may as well be prose ("password: required"); the forest has to judge it.
+        return None if value.isalpha() and before[-1:] not in "\"'`" else 1
     if _NUMBER.fullmatch(value) or _UUID.fullmatch(value):
         return 0
     return None
@@ -178,18 +224,19 @@ def _find(shared):
             data, offsets = text.batch_bytes(batch.column("text"))
             ids, paths = batch.column("doc_id").to_pylist(), batch.column("path").to_pylist()
             rows: list[dict] = []
-            for row, a, b in candidates(batch.column("text")):
+            for row, a, b in all_candidates(batch.column("text")):
                 low, high = int(offsets[row]), int(offsets[row + 1])
                 before = data[max(low, a - AROUND) : a].tobytes().decode("utf-8", "ignore")
                 after = data[b : min(high, b + AROUND)].tobytes().decode("utf-8", "ignore")
                 value = data[a:b].tobytes().decode()
                 words = _WORDS.findall(before)[-1:], _WORDS.findall(after)[:1]
                 start = int(np.count_nonzero((data[low:a] & 0xC0) != 0x80))
+                length = len(value)
                 rows.append(
                     {
                         "doc_id": ids[row],
                         "start": start,
-                        "end": start + b - a,
+                        "end": start + length,
                         "value": value,
                         "before": words[0][0].lower() if words[0] else "",
                         "after": words[1][0].lower() if words[1] else "",
