@@ -7,7 +7,8 @@ token and its parts do.  The forest sees its length and composition, how its cha
 transitions of ordinary words), how much of it dictionary words cover, signs of a path in it and
 in the document's path, and the words beside it.  It is trained on labelled findings; where none
 are given, findings are labelled by rules that only know provider formats, assignments to
-credential names, and the shapes of harmless numbers.  Dictionary and transitions come from the
+credential names, and what is harmless: numbers, UUIDs, versions, placeholders, paths, addresses,
+checksums named as such, and identifiers made of dictionary words.  Dictionary and transitions come from the
 most frequent words of all texts, in any script, by exact counts.
 """
 
@@ -63,8 +64,20 @@ _KEY_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)---
 _KEY_HEADER = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY( BLOCK)?-----")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NUMBER = re.compile(r"[0-9][0-9/_+-]*")
+# Harmless: a reference to a value kept elsewhere, releases, addresses, file paths, named checksums.
+_PLACEHOLDER = re.compile(r"[$%]?[{<\[(].*[}>\])]|\$\w+|%\w+%|[*xX.]+|(?i:null|none|nil|true|false|undefined)|(?i:(your|my|change)[-_]?\w*)")
+_VERSION = re.compile(r"[A-Za-z-]*[vV]?\d+([._-]\d+)+([-_+.]?(?:alpha|beta|rc|dev|post|final|snapshot)[._-]?\d*)?", re.IGNORECASE)
+_IN_URL = re.compile(r"(?i)(?:https?|ftp)://\S*$")
+_PATH = re.compile(r"(?:[A-Za-z]:)?/?(?:[a-z][a-z_.-]*\d{0,4}/|\d{4}/|\d{2}/){1,40}[a-z][a-z_.-]*\d{0,4}(?:\.[a-z]{1,5})?/?")
+_CHECKSUM = re.compile(
+    r"(?i)(?<![a-z])(?:sha-?\d*|md5|crc32|check-?sum|commit|revision|rev|digest|hash|etag|blob|tree|fingerprint|integrity)"
+    r"(?:sum)?[\"'`]?(?:\s+(?:is|of))?\s{0,8}[:=(@#]?\s{0,8}[\"'`]?(?:sha\d+[-:])?$"
+)
+_SUM = re.compile(r"(?:sha\d+-)?(?:[0-9a-fA-F]{12,128}|[A-Za-z0-9+/]{43}=?|[A-Za-z0-9+/]{86}(?:==)?)")
+_PARTS = re.compile(r"[A-Z]?[^\W\dA-Z_]+|[A-Z]+(?![^\W\dA-Z_])|\d+")
 _WORDS = re.compile(r"[A-Za-z]+")
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Words that stand alone: the pieces of a candidate must not vouch for it.
+_LETTERS = re.compile(r"(?<![\w+/-])[^\W\d_]+(?![\w+/-])")
 _TESTLIKE = re.compile(r"(?i)test|example|sample|mock|dummy|doc")
 
 NUMERIC = [
@@ -205,14 +218,29 @@ def describe(value: str, before: str, after: str, path: str | None, language: La
     ]
 
 
-def rule_label(value: str, before: str) -> int | None:
-    """1: a secret by format or assignment; 0: a harmless number or identifier; None: unknown."""
+def made_of_words(value: str, language: Language) -> bool:
+    """Dictionary words, at least half of the letters' parts and all longer ones, and short numbers between separators or cases."""
+    parts = _PARTS.findall(value)
+    letters = [p for p in parts if not p.isdigit()]
+    words = [p for p in letters if p.lower() in language.words]
+    rest = [p for p in letters if len(p) >= SHORTEST and p.lower() not in language.words]
+    return bool(words) and not rest and 2 * len(words) >= len(letters) and all(len(p) <= 4 for p in parts if p.isdigit())
+
+
+def rule_label(value: str, before: str, language: Language | None = None) -> int | None:
+    """1: a secret by format or assignment; 0: harmless by what it is or follows; None: unknown."""
     if _PROVIDER.fullmatch(value) or _KEY_HEADER.match(value):
         return 1
     if _ASSIGNED.search(before):
+        if _PLACEHOLDER.fullmatch(value):
+            return 0
         # A bare word may as well be prose ("password: required"); the forest has to judge it.
         return None if value.isalpha() and before[-1:] not in "\"'`" else 1
-    if _NUMBER.fullmatch(value) or _UUID.fullmatch(value):
+    if _NUMBER.fullmatch(value) or _UUID.fullmatch(value) or _VERSION.fullmatch(value) or _PATH.fullmatch(value):
+        return 0
+    if _IN_URL.search(before) or (_CHECKSUM.search(before) and _SUM.fullmatch(value)):
+        return 0
+    if language is not None and made_of_words(value, language):
         return 0
     return None
 
@@ -241,7 +269,7 @@ def _find(shared):
                         "before": words[0][0].lower() if words[0] else "",
                         "after": words[1][0].lower() if words[1] else "",
                         "features": describe(value, before, after, paths[row], language),
-                        "rule": rule_label(value, before),
+                        "rule": rule_label(value, before, language),
                     }
                 )
             yield pa.RecordBatch.from_pylist(
