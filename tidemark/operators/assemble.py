@@ -10,6 +10,8 @@ network once.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tidemark.functions.values import KNOWN_KINDS, bad_integer, decode_row, key_
 from tidemark.operators.once import with_once
 from tidemark.operators.prefix import running
 from tidemark.operators.sizing import DEFAULT, Sizing
+from tidemark.session import materialized
 
 # Message tags.
 BEGIN, COMMIT, RELATION = "B", "C", "R"
@@ -40,7 +43,8 @@ def _is_row() -> Column:
 
 
 def number_transactions(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
-    """Add ``txn`` (running count of begins per slot) and ``row_no`` (running count of row messages)."""
+    """Add ``txn`` (running count of begins per slot), ``row_no`` (running count of row messages) and
+    ``closed`` (position of the newest commit so far): one pass with several outputs."""
     return running(
         messages,
         ["slot"],
@@ -48,11 +52,28 @@ def number_transactions(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataF
         {
             "txn": ("sum", (F.col("tag") == BEGIN).cast("bigint")),
             "row_no": ("sum", _is_row().cast("bigint")),
+            "opened": ("max", F.when(F.col("tag") == BEGIN, F.col("msg_seq"))),
+            "closed": ("max", F.when(F.col("tag") == COMMIT, F.col("msg_seq"))),
         },
         size=size,
     )
 
 
+def positions(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
+    """The narrow log with its numbers: slot, msg_seq, tag, relation_id, xid, commit_lsn, commit_ts_us,
+    txn, row_no, opened, closed.
+
+    The log is read once for this. Where it is long the result is written, so that the passes that
+    follow read narrow numbers and not the log.
+    """
+    slim = messages.select("slot", "msg_seq", "tag", "relation_id", "xid", "commit_lsn", "commit_ts_us")
+    rows = size.rows(slim)
+    if rows <= size.rows_per_chunk:
+        return number_transactions(slim, size=replace(size, at_most=rows))
+    slim = materialized(slim, "slim-log")
+    return materialized(number_transactions(slim, size=replace(size, at_most=rows)), "positions")
+
+
 def transaction_table(numbered: DataFrame) -> DataFrame:
     """One row per transaction: its xid, where its rows start, and its first commit message."""
     begin = F.when(F.col("tag") == BEGIN, F.struct("xid", "row_no"))
@@ -75,14 +96,15 @@ def transaction_table(numbered: DataFrame) -> DataFrame:
 def announcements(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """Row messages with ``announced``: the newest relation message of their id before them."""
     related = messages.filter(F.col("tag").isin(RELATION, *ROW_TAGS) & F.col("relation_id").isNotNull())
+    rows = size.rows(related)
     latest = running(
         related,
         ["slot", "relation_id"],
         "msg_seq",
         {"announced": ("max", F.when(F.col("tag") == RELATION, F.col("msg_seq")))},
-        size=size,
-    )
-    return latest.filter(_is_row())
+        size=replace(size, at_most=rows),
+    ).filter(_is_row())
+    return latest if rows <= size.rows_per_chunk else materialized(latest, "announced")
 
 
 def with_payload(placed: DataFrame, messages: DataFrame) -> DataFrame:
@@ -102,7 +124,9 @@ def with_payload(placed: DataFrame, messages: DataFrame) -> DataFrame:
 def resolve_relation(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """Row messages, tuples included, with the definition of their relation that held then."""
     slim = messages.select("slot", "msg_seq", "tag", "relation_id")
-    return with_payload(announcements(slim, size=size), messages)
+    rows = size.rows(slim)
+    slim = slim if rows <= size.rows_per_chunk else materialized(slim, "slim-log")
+    return with_payload(announcements(slim, size=replace(size, at_most=rows)), messages)
 
 
 def _tuple() -> Column:
@@ -140,23 +164,14 @@ def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
         ~tag.isin(*ALL_TAGS), "unsupported message type"
     )
     lost = F.when(_is_row() & F.col("relation_id").isNull(), "unknown relation id")
-    outer = messages.withColumn("error", F.coalesce(framing, lost)).filter(F.col("error").isNotNull())
-    size = size.bounded(messages, "msg_seq")
+    numbered = positions(messages, size=size)
+    outer = numbered.withColumn("error", F.coalesce(framing, lost)).filter(F.col("error").isNotNull())
     columns = ["slot", "msg_seq", "tag", "error"]
-    rows = decode_tuples(resolve_relation(messages, size=size))
-    bad_rows = rows.filter(F.col("error").isNotNull())
-    numbered = number_transactions(
-        messages.select("slot", "msg_seq", "tag"), size=size
-    )
+    placed = announcements(numbered.select("slot", "msg_seq", "tag", "relation_id"), size=size)
+    bad_rows = decode_tuples(with_payload(placed, messages)).filter(F.col("error").isNotNull())
     # A row before any begin, or after the commit of the latest one, belongs to nothing.
-    closed = running(
-        numbered, ["slot"], "msg_seq",
-        {"commits": ("max", F.when(F.col("tag") == COMMIT, F.col("txn")))},
-        size=size,
-    )
-    strays = closed.filter(
-        _is_row() & ((F.col("txn") == 0) | F.coalesce(F.col("commits") == F.col("txn"), F.lit(False)))
-    ).withColumn("error", F.lit("no open transaction"))
+    over = (F.col("txn") == 0) | F.coalesce(F.col("closed") > F.col("opened"), F.lit(False))
+    strays = numbered.filter(_is_row() & over).withColumn("error", F.lit("no open transaction"))
     # Framing is checked first, then the row's relation and tuples, then its transaction.
     checks = [c.select(*columns, F.lit(k).alias("rank")) for k, c in enumerate((outer, bad_rows, strays))]
     found = checks[0].unionByName(checks[1]).unionByName(checks[2])
@@ -164,18 +179,20 @@ def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
 
 
 def assemble_transactions(
-    messages: DataFrame, db: str, *, size: Sizing = DEFAULT
+    messages: DataFrame, db: str, *, signed_xids: bool = False, size: Sizing = DEFAULT
 ) -> DataFrame:
     """Committed change events in envelope form.
 
+    ``signed_xids`` reads transaction ids as signed 32-bit numbers, also in identities.
+
     Rows count only between a begin and its commit; a new begin discards an unfinished
     transaction. ``seq`` is the row's 0-based place in its transaction, undecodable rows
     included, so identities stay the same once such a row is repaired.
     """
-    slim = messages.select("slot", "msg_seq", "tag", "relation_id", "xid", "commit_lsn", "commit_ts_us")
-    size = size.bounded(slim, "msg_seq")
-    numbered = number_transactions(slim, size=size)
+    numbered = positions(messages, size=size)
     txns = transaction_table(numbered).filter(F.col("commit_seq").isNotNull())
+    if signed_xids:
+        txns = txns.withColumn("txn_xid", signed_xid(F.col("txn_xid")))
     rows = announcements(numbered.select("slot", "msg_seq", "tag", "relation_id", "txn", "row_no"), size=size)
     committed = rows.join(txns, ["slot", "txn"]).filter(F.col("msg_seq") < F.col("commit_seq"))
     placed = decode_tuples(with_payload(committed, messages)).filter(F.col("error").isNull())

@@ -110,6 +110,15 @@ def metrics_snapshot(
 
         counts = rows.select(nothing.alias("__s"), nothing.alias("__d"), *states)
         rows = counts.unionByName(newest("__s", "visible_ts_us")).unionByName(newest("__d", "violation_ts_us"))
+    out = snapshot_of(rows, by, size=size)
+    if ready is not None:
+        out = out.withColumns({f"{k}_ready": F.lit(v) for k, v in ready.items()})
+    return out
+
+
+def snapshot_of(rows: DataFrame, by: Sequence[str] = (), *, size: Sizing = DEFAULT) -> DataFrame:
+    """The snapshot from its parts: samples ``__s``, delays ``__d``, ages in flight ``__age``,
+    numbers of violations ``__v`` and active times ``__active``, each null where it does not apply."""
     counted = aggregate_with_ranks(
         rows,
         by,
@@ -125,7 +134,7 @@ def metrics_snapshot(
         {**{f"__{n}": ("__s", q) for n, q in STALENESS_RANKS.items()}, "__delay": ("__d", 0.99)},
         size=size,
     )
-    out = counted.select(
+    return counted.select(
         *by,
         "sample_count",
         *[to_ms(F.col(f"__{n}")).alias(f"{n}_staleness_ms") for n in (*STALENESS_RANKS, "max")],
@@ -138,9 +147,6 @@ def metrics_snapshot(
             "violation_duration_seconds"
         ),
     )
-    if ready is not None:
-        out = out.withColumns({f"{k}_ready": F.lit(v) for k, v in ready.items()})
-    return out
 
 
 # Exposed metrics, their names and kinds.

@@ -54,16 +54,20 @@ def delivery_attempts(deliveries: DataFrame, *, size: Sizing = DEFAULT) -> DataF
 
     ``deliveries`` has (message_id, attempt_ts_us, ok). A success clears the counter.
     """
+    return attempt_runs(deliveries, size=size).drop("run")
+
+
+def attempt_runs(deliveries: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
+    """``delivery_attempts`` with ``run``, the number of the message's successes before the delivery."""
     size = size.bounded(deliveries, "attempt_ts_us")
     runs = running(
         deliveries, ["message_id"], "attempt_ts_us",
-        {"__run": ("sum", F.col("ok").cast("bigint"))}, inclusive=False, size=size,
-    ).withColumn("__run", F.coalesce("__run", F.lit(0)))
-    counted = running(
-        runs, ["message_id", "__run"], "attempt_ts_us",
+        {"run": ("sum", F.col("ok").cast("bigint"))}, inclusive=False, size=size,
+    ).withColumn("run", F.coalesce("run", F.lit(0)))
+    return running(
+        runs, ["message_id", "run"], "attempt_ts_us",
         {"attempt": ("sum", (~F.col("ok")).cast("bigint"))}, size=size,
     )
-    return counted.drop("__run")
 
 
 def dead_letters(

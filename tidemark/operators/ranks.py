@@ -54,11 +54,25 @@ def ranks_by_running_count(
     The same rows and types as the in-memory form: a null group is a group, and without groups
     there is one row, of nulls if there are no values.
     """
-    by = list(by)
-    types = df.groupBy().agg(*[nearest_rank(value, q).alias(n) for n, q in quantiles.items()]).schema
     # Written once: boundaries, carries, totals and picks all read these counts.
     counts = materialized(df.groupBy(*by, value).agg(F.count("*").alias("__n")), "counts")
-    upto = running(counts, by, value, {"__upto": ("sum", F.col("__n"))}, size=replace(size, at_most=None))
+    return ranks_of_counts(counts, by, value, "__n", quantiles, size=replace(size, at_most=None))
+
+
+def ranks_of_counts(
+    counts: DataFrame,
+    by: Sequence[str],
+    value: str,
+    n: str,
+    quantiles: Mapping[str, float],
+    *,
+    size: Sizing = DEFAULT,
+) -> DataFrame:
+    """Exact ranks from how often each value occurs: (``by``, ``value``) is unique, ``n`` its count."""
+    by = list(by)
+    types = counts.groupBy().agg(*[nearest_rank(value, q).alias(name) for name, q in quantiles.items()]).schema
+    counts = counts.select(*by, value, F.col(n).cast("bigint").alias("__n"))
+    upto = running(counts, by, value, {"__upto": ("sum", F.col("__n"))}, size=size)
     if by:
         totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total")).select(F.struct(*by).alias(KEY), "__total")
         placed = upto.withColumn(KEY, F.struct(*by)).join(totals, KEY)

@@ -16,6 +16,8 @@ class Sizing:
     Parquet footers. Without it an operator that has to choose a form counts its input,
     which runs everything the input is derived from.
     ``bounds``: chunk boundaries of the order column, when they are known already.
+    ``max_chunks``: chunks whose boundaries the driver holds. Longer inputs have chunks of chunks,
+    so that ``rows_per_chunk`` holds for up to ``max_chunks`` squared of them.
     """
 
     at_most: int | None = None
@@ -45,5 +47,9 @@ class Sizing:
         found = df.approxQuantile(order, cuts, 0.2 / chunks)
         return replace(self, bounds=tuple(sorted(set(found))))
 
+    def parts(self, df: DataFrame) -> int:
+        """Into how many parts each of ``max_chunks`` chunks is cut; 1 where chunks are small enough."""
+        return min(self.max_chunks, math.ceil(self.rows(df) / (self.max_chunks * self.rows_per_chunk))) or 1
+
 
 DEFAULT = Sizing()

@@ -130,8 +130,14 @@ def observations(
     * ``rejected_ts_us``: with ``guard``, the probe at which the event's age fell outside
       the accepted range while it was unresolved. Rejected events leave every count.
     """
-    seen = marker_status(commits, markers)
-    observed = F.col("observed_ts_us") if "observed_ts_us" in commits.columns else F.col("commit_ts_us")
+    return measured(marker_status(commits, markers), probes, slo_us=slo_us, guard=guard)
+
+
+def measured(
+    seen: DataFrame, probes: ProbeGrid | ProbeTimes, *, slo_us: int = 1_000_000, guard: bool = True
+) -> DataFrame:
+    """``observations`` of commits that carry ``marker_status`` and ``marker_ts_us`` already."""
+    observed = F.col("observed_ts_us") if "observed_ts_us" in seen.columns else F.col("commit_ts_us")
     seen = seen.withColumns(
         {
             "__ready": F.when(

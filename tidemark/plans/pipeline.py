@@ -39,7 +39,15 @@ def landed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txn_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = inputs.messages(spark, sf_dir).select("slot", "msg_seq", "tag")
-    return assemble.number_transactions(slim, size=Sizing(rows_per_chunk=4_000))
+    numbered = assemble.number_transactions(slim, size=Sizing(rows_per_chunk=4_000))
+    return numbered.select("slot", "msg_seq", "tag", "txn", "row_no")
+
+
+def txn_row_numbers_chunks_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with more rows than the driver may hold chunk boundaries for: chunks are cut again."""
+    slim = inputs.messages(spark, sf_dir).select("slot", "msg_seq", "tag")
+    numbered = assemble.number_transactions(slim, size=Sizing(rows_per_chunk=500, max_chunks=3))
+    return numbered.select("slot", "msg_seq", "tag", "txn", "row_no")
 
 
 def relation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +81,30 @@ def message_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.message_errors(landed_messages(spark, sf_dir), size=inputs.size(spark, sf_dir, 6))
 
 
+# Takes the forms for long logs, whatever the size.
+LONG_LOG = Sizing(rows_per_chunk=1_000)
+
+
+def message_errors_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.message_errors(landed_messages(spark, sf_dir), size=LONG_LOG)
+
+
+def txn_assembly_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of the assembled events, by the form for long logs."""
+    events = assemble.assemble_transactions(landed_messages(spark, sf_dir), inputs.DB, size=LONG_LOG)
+    return events.select("event_id", "op", "commit_lsn", "xid", F.col("seq").cast("bigint").alias("seq"))
+
+
+def txn_assembly_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transaction ids around the end of the counter, read as signed numbers, also in identities.
+
+    The first thousand ids lie below 2^32 and come out negative; the counter then begins anew.
+    """
+    far = landed_messages(spark, sf_dir).withColumn("xid", F.pmod(F.col("xid") + (2**32 - 1000), F.lit(2**32)))
+    events = assemble.assemble_transactions(far, inputs.DB, signed_xids=True, size=inputs.size(spark, sf_dir, 6))
+    return events.select("event_id", "commit_lsn", "xid", F.col("seq").cast("bigint").alias("seq"))
+
+
 def take_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole transactions until at least 5 000 events are taken."""
     rows = inputs.commits(spark, sf_dir).select("event_no", "lsn", "seq")
@@ -485,7 +517,8 @@ def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        txn_row_numbers, relation_as_of, txn_assembly, message_errors, take_until, delivery_attempts,
+        txn_row_numbers, txn_row_numbers_chunks_of_chunks, relation_as_of, txn_assembly, txn_assembly_chunked,
+        txn_assembly_signed, message_errors, message_errors_chunked, take_until, delivery_attempts,
         dead_letters, dead_letter_report, reclaimable, backlog, replayed_documents, invalid_events,
         parsed_documents, log_records, log_excerpt, masked_logs, leaked_secrets, reserved_key_audit,
         rebuild_documents, convergence_differences, convergence_report, validate_source, ordering_audit,
@@ -592,6 +625,8 @@ judged AS (
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
             THEN 'superseded' ELSE 'applied' END AS result FROM good)""", fold("judged", keep="result = 'applied'"))
 
+_ASSEMBLED = f"commits WHERE xid % 41 <> 40 AND ({_BAD_ROW}) IS NULL"
+
 ORACLE = {
     "txn_row_numbers": with_(_MESSAGES) + """
       SELECT slot, msg_seq, tag,
@@ -769,3 +804,12 @@ ORACLE = {
       SELECT event_id, lsn, commit_ts_us FROM observed
       WHERE marker_ts_us IS NULL OR marker_ts_us - commit_ts_us > 1000000""",
 }
+
+ORACLE["txn_row_numbers_chunks_of_chunks"] = ORACLE["txn_row_numbers"]
+ORACLE["message_errors_chunked"] = ORACLE["message_errors"]
+ORACLE["txn_assembly_chunked"] = with_(COMMITS) + f"""
+  SELECT event_id, op, commit_lsn, xid, seq::BIGINT AS seq FROM {_ASSEMBLED}"""
+ORACLE["txn_assembly_signed"] = with_(COMMITS) + f"""
+  SELECT sha256('catalog|public|accounts|' || commit_lsn || '|' || signed || '|' || seq) AS event_id,
+         commit_lsn, signed AS xid, seq::BIGINT AS seq
+  FROM (SELECT *, xid - 1000 AS signed FROM {_ASSEMBLED})"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -15,7 +15,6 @@ from tidemark.operators.prefix import running
 from tidemark.operators.quarantine import MAX_ATTEMPTS, dead_letters, invalid_reason
 from tidemark.operators.resolve import incremental_apply
 from tidemark.operators.sizing import Sizing
-from tidemark.session import materialized
 from tidemark.sources.changelog import flatten_events
 from tidemark.sources.tables import BatchLedger, VersionedTable
 
@@ -24,6 +23,8 @@ MARKER_SCHEMA = (
     "result string, arrival bigint"
 )
 FAILURE_SCHEMA = "message_id string, arrival bigint, event string, error string"
+BATCH_COUNTS = ["processed_events", "document_writes", "marker_writes"]
+DAY_US = 86_400_000_000
 
 
 class DocumentStore:
@@ -34,11 +35,14 @@ class DocumentStore:
         sparse = "".join(f"{f} struct<v:{t}>, " for f, t in fields.items())
         documents = StructType.fromDDL(f"key {key_type}, {sparse}_lsn bigint, _seq int, _deleted boolean")
         self.documents = VersionedTable(spark, f"{path}/documents", ["key"], documents)
-        self.markers = VersionedTable(spark, f"{path}/markers", ["event_id"], StructType.fromDDL(MARKER_SCHEMA))
+        # By day of commit, so that expiry removes folders.
+        self.markers = VersionedTable(
+            spark, f"{path}/markers", ["event_id"], StructType.fromDDL(MARKER_SCHEMA), part=f"commit_ts_us div {DAY_US}"
+        )
         self.failures = VersionedTable(
             spark, f"{path}/failures", ["message_id", "arrival"], StructType.fromDDL(FAILURE_SCHEMA)
         )
-        self.ledger = BatchLedger(spark, f"{path}/ledger")
+        self.ledger = BatchLedger(spark, f"{path}/ledger", BATCH_COUNTS)
 
     def apply(self, parsed: DataFrame, batch_id: int, *, compact_every: int = 50) -> None:
         """Documents, then markers, then the ledger entry: a batch without one is done again.
@@ -53,20 +57,28 @@ class DocumentStore:
         # Parsed once: the cached rows are flat, and only failed ones still carry their text.
         rows = flatten_events(judged, self.fields, kept, key_type=self.key_type).persist()
         try:
-            size = Sizing(at_most=rows.count())
+            at_most = rows.count()
+            size = Sizing(at_most=at_most)
             batch = rows.filter(F.col("reason").isNull()).drop("reason", "event")
             touched = batch.select("key").distinct()
             stored = self.documents.as_of(batch_id - 1, only=touched)
             changed, outcomes = incremental_apply(stored, batch, fields=list(self.fields), size=size)
-            self.documents.append(changed, batch_id)
-            self.markers.append(marker_state(markers(outcomes)), batch_id)
+            self.documents.append(changed, batch_id, at_most=at_most)
+            # Counted while the markers are written, not by a pass of its own.
+            work = Observation()
+            applied = F.count_if(F.col("result") == "applied")
+            outcomes = outcomes.observe(
+                work, F.count(F.lit(1)).alias("processed_events"), applied.alias("document_writes"),
+                F.count(F.lit(1)).alias("marker_writes"),
+            )
+            self.markers.append(marker_state(markers(outcomes)), batch_id, at_most=at_most)
             failed = rows.filter(F.col("reason").isNotNull())
             failed = failed.select("message_id", "arrival", "event", F.col("reason").alias("error"))
-            self.failures.append(failed, batch_id)
+            self.failures.append(failed, batch_id, at_most=at_most)
             if compact_every and batch_id and batch_id % compact_every == 0:
                 for table in (self.documents, self.markers, self.failures):
                     table.compact(batch_id)
-            self.ledger.commit(batch_id)
+            self.ledger.commit(batch_id, **work.get)
             if compact_every and batch_id and batch_id % compact_every == 0:
                 # Only now is the batch never done again, so nothing before it is needed.
                 for table in (self.documents, self.markers, self.failures):
@@ -95,11 +107,35 @@ class DocumentStore:
         ).withColumns({"ok": F.lit(False), "attempt_ts_us": F.col("arrival")})
         return dead_letters(attempts, stream, max_attempts=max_attempts).withColumnRenamed("failed_ts_us", "failed_arrival")
 
-    def expire_markers(self, cutoff_us: int) -> None:
-        """Write a base without the markers of commits before ``cutoff_us``; called between batches."""
-        last = self.ledger.last()
-        kept = materialized(self.current_markers().filter(F.col("commit_ts_us") >= cutoff_us), "markers")
-        self.markers.replace(kept, last)
+    def batch_metrics(self) -> DataFrame:
+        """Work per batch, as counted while it ran: (batch_id, processed_events, document_writes, marker_writes)."""
+        return self.ledger.entries().withColumnRenamed("batch", "batch_id")
+
+    def expire_markers(self, cutoff_us: int, *, max_markers: int | None = None) -> int:
+        """Remove the markers of commits before ``cutoff_us``, oldest first; called between batches.
+
+        Days that are wholly older lose their folders; only the day of the border is written again.
+        ``max_markers`` bounds one run, and the next run goes on; returned is how many went.
+        """
+        last, gone = self.ledger.last(), 0
+        for day, _ in self.markers.parts(last):
+            left = None if max_markers is None else max_markers - gone
+            if day * DAY_US >= cutoff_us or left == 0:
+                break
+            held = self.markers.part_as_of(day, last)
+            doomed = held.filter(F.col("commit_ts_us") < cutoff_us)
+            n = doomed.count()
+            if (day + 1) * DAY_US <= cutoff_us and (left is None or n <= left):
+                self.markers.drop_parts([day])
+                gone += n
+                continue
+            if left is not None and n > left:
+                doomed = doomed.orderBy("commit_ts_us", "event_id").limit(left)
+                n = left
+            if n:
+                self.markers.rewrite_part(day, held.join(doomed.select("event_id"), "event_id", "left_anti"))
+            gone += n
+        return gone
 
 
 def stream_materialize(
