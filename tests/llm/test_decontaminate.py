@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, queries
+from tidemark.llm import decontaminate, queries, text
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, items string, edits int, id long"
@@ -113,10 +113,39 @@ def test_edges(spark, monkeypatch, block):
     ]
     docs = frame(spark, rows)
     got = sorted(((r.doc_id, sorted(r["items"])) for r in decontaminate.contaminations(docs, bench(spark, items)).collect()), key=str)
-    want = [(1, []), (2, []), (3, [1, 6]), (3, [1, 6]), (3, [1, 6]), (4, [5]), (5, []), (6, []), (7, [7]), (None, [1, 6])]
+    want = [(1, []), (2, []), (3, [1, 6]), (3, [1, 6]), (3, [1, 6]), (4, [5]), (5, []), (6, [4]), (7, [7]), (None, [1, 6])]
     assert got == sorted(want, key=str)
     left = decontaminate.drop_contaminated(docs, bench(spark, items))
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5, 6]
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
     assert decontaminate.contaminations(frame(spark, []), bench(spark, items)).collect() == []
     assert not any(r.contaminated for r in decontaminate.contaminations(docs, bench(spark, [])).collect())
     assert decontaminate.drop_contaminated(docs, bench(spark, [])).count() == len(rows)
+
+
+@pytest.mark.parametrize("block", [4_000_000, 8])
+def test_short_items_occur_as_whole_words(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    items = [(1, "a"), (2, "Ab 1"), (3, "nine byte"), (4, "é"), (5, "???"), (6, "ab 1!")]
+    rows = [
+        (1, "a"), (2, "ba ab"), (3, "x, ab-1"), (4, "ab 12"), (5, "cab 1"), (6, "the NINE  bytes nine byte"), (7, "É."), (8, "éa à"),
+        (9, "a a"), (10, "??? ???"), (11, "nine byt"), (12, "o " * 300_000 + "ab 1"),
+    ]
+    got = {r.doc_id: r for r in decontaminate.contaminations(frame(spark, rows), bench(spark, items)).collect()}
+    words = {k: plain(t).split() for k, t in items}
+    for i, t in rows:
+        own = plain(t).split()
+        want = sorted(k for k, w in words.items() for j in range(len(own)) if w and own[j : j + len(w)] == w)
+        assert sorted(got[i]["items"]) == want, (i, t)
+        for k, a, b in zip(got[i]["items"], got[i].starts, got[i].ends, strict=True):
+            assert plain(t[a:b]) == plain(dict(items)[k])
+    assert got[9].starts == [0, 2] and got[12].starts[0] == 600_000
+
+
+def test_findings_of_long_texts_take_linear_work(monkeypatch):
+    """Bytes looked at for offsets grow with the text, not with text times findings."""
+    looked = []
+    count = np.count_nonzero
+    monkeypatch.setattr(np, "count_nonzero", lambda x: looked.append(len(x)) or count(x))
+    points = text.Points(np.frombuffer("é ".encode() * 200_000, np.uint8))
+    assert [points.before(k) for k in range(0, 600_000, 3000)] == [k // 3 * 2 for k in range(0, 600_000, 3000)]
+    assert max(looked) <= text.Points.STEP

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, near, queries
+from tidemark.llm import exact, idset, near, queries
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, kept boolean, digest string, id int"
@@ -29,7 +29,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingle_set(t) for _, t in rows]
     at = defaultdict(list)
     for k, s in enumerate(sets):
@@ -45,7 +45,7 @@ def brute(rows):
     for k, s in enumerate(sets):
         for o in {o for x in s for o in at[x] if o < k}:
             both = len(s & sets[o])
-            if 100 * both >= 85 * (len(s) + len(sets[o]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[o]) - both):
                 a, b = find(k), find(o)
                 parent[max(a, b)] = min(a, b)
     smallest = {}
@@ -109,6 +109,37 @@ def test_near_drop_keeps_columns(spark):
     assert {(r.doc_id, r.text) for r in left.collect()} == {(3, "A b"), (None, "a b"), (5, None)}
 
 
+def test_near_repeated_ids_are_judged_by_their_text(spark):
+    near_a = "a b c d e f g h i j k l m n o p q r s t u v w x"
+    docs = frame(spark, [(7, near_a), (7, "something else entirely here"), (3, near_a + " y"), (7, near_a), (9, None)])
+    groups = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near.near_groups(docs).collect())
+    assert groups == [(3, 21, 3), (7, 1, 7), (7, 20, 3), (7, 20, 3), (9, 0, 9)]
+    left = sorted(((r.doc_id, r.text) for r in near.drop_near(docs).collect()), key=str)
+    assert left == sorted([(3, near_a + " y"), (7, "something else entirely here"), (9, None)], key=str)
+
+
+def test_large_id_sets_are_joined(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} b c d e f {'g' * (i % 5)} h") for i in range(60)] + [(None, "x y"), (None, None)]
+    docs = frame(spark, rows)
+    want = sorted(map(str, near.drop_near(docs).collect()))
+    monkeypatch.setattr(idset, "PROBED", 0)
+    assert sorted(map(str, near.drop_near(docs).collect())) == want and len(want) < len(rows)
+
+
+CLASHING = "doc_id long, text string, __key string, __digest int, __id int, __d int, KEY int, sha int, other_key int, `row` int, upto int"
+
+
+@pytest.mark.parametrize("drop", [exact.drop_exact, near.drop_near])
+def test_stages_keep_columns_of_any_name(spark, monkeypatch, drop):
+    rows = [(i, t, "k", *range(8)) for i, t in [(1, "a b"), (2, "a b"), (2, "a b"), (3, None), (4, "x " * 300_000)]]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for probed in (32, 0):
+        monkeypatch.setattr(idset, "PROBED", probed)
+        left = drop(docs)
+        assert left.columns == docs.columns and all(tuple(r)[2:] == rows[0][2:] for r in left.collect())
+        assert {r.doc_id for r in left.collect()} == {2 if drop is exact.drop_exact else 1, 3, 4}
+
+
 def test_exact_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")

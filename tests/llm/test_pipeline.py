@@ -23,7 +23,7 @@ def brute(spark, sf_dir):
     for i, t in sorted(rows):
         last[t or ""] = (i, t)
     rows = sorted(last.values())
-    kept = {i for i, _, _, k in near_brute(rows) if k}
+    kept = {i for i, _, _, k in near_brute(rows, corpus_pipeline.NEAR_PERCENT) if k}
     rows = [(i, t) for i, t in rows if i in kept]
     items = [plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     return [(i, t) for i, t in rows if all(least_edits(q, plain(t)) > decontaminate.budget(len(q)) for q in items)]

@@ -259,7 +259,7 @@ class Vocabulary:
 
 class Codec:
     def __init__(self, name: str):
-        self.vocabulary, self.scanner = Vocabulary(name), Scanner()
+        self.vocabulary, self.scanner = vocabulary(name), Scanner()
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
@@ -332,9 +332,18 @@ class Codec:
         return upto[:-1] - np.repeat(upto[borders[:-1]], np.diff(borders))
 
 
+_vocabularies: dict[str, Vocabulary] = {}
 _codecs: dict[str, Codec] = {}
 
 
+def vocabulary(name: str) -> Vocabulary:
+    """The worker's own copy of a file of ranks, one at a time."""
+    if name not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[name] = Vocabulary(name)
+    return _vocabularies[name]
+
+
 def codec(name: str) -> Codec:
     """The worker's own codec of a file of ranks, one at a time."""
     if name not in _codecs:
@@ -365,7 +374,7 @@ def _encode(name: str):
 
 def _decode(name: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(name).vocabulary
+        own = vocabulary(name)
         for batch in slices(batches):
             ids, starts = batch.column("ids"), batch.column("starts")
             borders = np.r_[0, np.cumsum(np.diff(np.asarray(ids.offsets)))]

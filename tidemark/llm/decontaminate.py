@@ -5,10 +5,12 @@ is one space.  An item of n characters occurs in a document if some stretch of i
 budget(n) edits away.  By the q-gram lemma such a stretch shares at least n - q + 1 - q * edits
 of the item's q-grams, all on diagonals that differ by at most the number of edits.  So q-grams
 are looked up in a sorted index of the items, hits are counted per item in overlapping bands of
-diagonals, and only bands that reach the bound are aligned, within the band.
+diagonals, and only bands that reach the bound are aligned, within the band.  Items of fewer than
+Q characters have no q-gram: they are looked up verbatim, from word border to word border.
 
 The index of the items is shipped in blocks of BLOCK_CHARS characters on average, so its size
-per task is bounded whatever the number of items; documents are never moved or joined.
+per task is bounded whatever the number of items.  Documents are never moved; of several blocks
+only the findings are brought together.
 """
 
 from __future__ import annotations
@@ -91,6 +93,10 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         made = [(i, normalised((t or "").encode())[0]) for i, t in items]
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by length
+        for i, d in made:
+            if 0 < len(d) < Q:
+                self.short.setdefault(len(d), {}).setdefault(d.tobytes(), []).append(i)
         made = [(i, d) for i, d in made if len(d) >= Q]
         self.ids = np.array([i for i, _ in made], np.int64)
         self.data = [d for _, d in made]
@@ -104,12 +110,34 @@ class Items:
         self.item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order].astype(np.int32)
         self.pos = np.concatenate([*(np.arange(len(c)) for c in codes), np.zeros(0, np.int64)])[order].astype(np.int32)
         self.codes, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.near = np.zeros(1 << 20, bool)  # most q-grams of a document end at this bitmap
+        # Most q-grams of a document end at this bitmap, of which an eighth at most is set.
+        self.bits = max(16, (8 * len(self.codes)).bit_length())
+        self.near = np.zeros(1 << self.bits, bool)
         self.near[self._spot(self.codes)] = True
 
-    @staticmethod
-    def _spot(codes: np.ndarray) -> np.ndarray:
-        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    def _spot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def verbatim(self, data: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, 0) of the short items, between word borders."""
+        out: list[tuple[int, int, int, int]] = []
+        if not self.short or not len(data):
+            return out
+        starts = np.flatnonzero((data != 32) & np.r_[True, data[:-1] == 32])
+        for size, known in self.short.items():
+            at = starts[starts + size <= len(data)]
+            at = at[(at + size == len(data)) | (data[np.minimum(at + size, len(data) - 1)] == 32)]
+            codes, wanted = np.zeros(len(at), np.uint64), []
+            for k in range(size):
+                codes = (codes << np.uint64(6)) | _CODE[data[at + k]]
+            for item in known:
+                code = 0
+                for c in item:
+                    code = code << 6 | int(_CODE[c])
+                wanted.append(code)
+            for start in at[np.isin(codes, np.array(wanted, np.uint64))].tolist():
+                out += [(i, start, start + size, 0) for i in known.get(data[start : start + size].tobytes(), ())]
+        return out
 
     def candidates(self, data: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, low, high): bands of diagonals [low, high) that reach the lemma's bound."""
@@ -156,7 +184,7 @@ class Items:
                     out[-1] = (item, start, end, edits)
             else:
                 out.append((item, start, end, edits))
-        return [(int(self.ids[item]), *rest) for item, *rest in out]
+        return [(int(self.ids[item]), *rest) for item, *rest in out] + self.verbatim(data)
 
 
 def align(item: np.ndarray, data: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -222,26 +250,37 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
 
 
 _LISTS = ["items", "starts", "ends", "edits"]
+_KINDS = ", ".join(f"{c} array<bigint>" for c in _LISTS)
 
 
-def _scan(shared):
+def _scan(shared, only_found: bool):
+    """The key column `row` with the findings of one block; `only_found`: of rows that have any."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
         for batch in text.slices(batches):
-            lists: dict[str, list] = {c: batch.column(c).to_pylist() for c in _LISTS}
+            rows, lists = [], {c: [] for c in _LISTS}
             for row, value in enumerate(batch.column("text").to_pylist()):
                 raw = (value or "").encode()
                 data, at = normalised(raw)
-                for item, start, end, edits in index.matches(data) if len(index.ids) else ():
+                found = index.matches(data)
+                if only_found and not found:
+                    continue
+                rows.append(row)
+                bytes_ = np.frombuffer(raw, np.uint8)
+                points = text.Points(bytes_) if found else None
+                spans = []
+                for _, start, end, _ in found:
                     a, b = int(at[start]), int(at[end - 1]) + 1
-                    begin = len(raw[:a].decode("utf-8", "ignore"))
-                    lists["items"][row].append(item)
-                    lists["starts"][row].append(begin)
-                    lists["ends"][row].append(begin + len(raw[a:b].decode("utf-8", "ignore")))
-                    lists["edits"][row].append(edits)
-            columns = {n: batch.column(n) for n in batch.schema.names}
-            columns |= {c: pa.array(lists[c], pa.list_(pa.int64())) for c in _LISTS}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                    # A stretch that begins inside a character has all of it.
+                    spans.append((points.before(a) - ((raw[a] & 0xC0) == 0x80), points.before(b)))
+                lists["items"].append([f[0] for f in found])
+                lists["starts"].append([s for s, _ in spans])
+                lists["ends"].append([e for _, e in spans])
+                lists["edits"].append([f[3] for f in found])
+            columns = [batch.column("row").take(pa.array(rows, pa.int64()))]
+            columns += [pa.array(lists[c], pa.list_(pa.int64())) for c in _LISTS]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *_LISTS])
 
     return scan
 
@@ -257,25 +296,41 @@ def contaminations(
     """doc_id, contaminated, items, starts, ends, edits: one row per row of `docs`.
 
     The lists name the benchmark items found, the stretch of each in characters of the text,
-    and its edits.  Items with a null id or text, or of fewer than Q characters when
-    normalised, are never found.  Null and empty texts contain nothing; null and repeated ids
-    are carried along; repeated items are reported each; an empty table gives no rows and an
-    empty benchmark finds nothing.  Other columns are ignored.
+    and its edits.  An item counts when the whole of it occurs within its budget of edits; items
+    of fewer than Q characters when normalised occur verbatim, as whole words.  Items with a null
+    id or text, or without any letter or digit, are never found.  Null and empty texts contain
+    nothing; null and repeated ids are carried along; repeated items are reported each; texts of
+    any length are read whole; an empty table gives no rows and an empty benchmark finds nothing.
+    Other columns are ignored.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, " + ", ".join(f"{c} array<bigint>" for c in _LISTS)
-    none = F.array().cast("array<bigint>")
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(none.alias(c) for c in _LISTS))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    result = ["doc_id", (F.size("items") > 0).alias("contaminated"), *_LISTS]
+    findings = None
     for shared, more in _blocks(benchmark, item_col, item_text_col):
-        out = out.mapInArrow(_scan(shared), schema)
-        if more:
-            out = materialized(out, "scanned")  # so that one worker holds one block
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), *_LISTS)
+        if findings is None and not more:  # one block: findings come with their rows
+            kind = named.schema["doc_id"].dataType.simpleString()
+            own = named.select(F.col("doc_id").alias("row"), "text").mapInArrow(_scan(shared, False), f"row {kind}, {_KINDS}")
+            return own.withColumnRenamed("row", "doc_id").select(*result)
+        found = named.select(F.col("key").alias("row"), "text").mapInArrow(_scan(shared, True), f"row long, {_KINDS}")
+        # Rows alike in id and text have the same findings: one of them speaks for all.
+        found = materialized(found.dropDuplicates(["row"]), "findings")
+        findings = found if findings is None else findings.unionByName(found)
+        shared.unpersist()
+    whole = F.collect_list(F.struct(*_LISTS)).alias("parts")  # one entry per block that was found in the text
+    merged = findings.groupBy("row").agg(whole).select("row", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in _LISTS])
+    none = F.array().cast("array<bigint>")
+    joined = named.select("doc_id", "key").join(merged, F.col("key") == F.col("row"), "left")
+    return joined.select("doc_id", *[F.coalesce(c, none).alias(c) for c in _LISTS]).select(*result)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, in all their columns, in which no benchmark item occurs."""
+    """The rows of `docs`, in all their columns, in which no benchmark item occurs.
+
+    Null and empty texts stay; rows with a null id are judged by their text like all others;
+    repeated rows go or stay together; texts of any length are read whole; an empty table stays
+    empty and an empty benchmark drops nothing; columns may have any names.
+    """
     keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = IdSet(contaminations(keyed, benchmark).where("contaminated").select("doc_id"))
-    return docs.where(~found.has(row_key(id_col, text_col)))
+    return found.keep(docs, row_key(id_col, text_col), False)

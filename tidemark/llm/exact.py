@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import free
 from tidemark.session import materialized
 
 #: A digest with at least this share of all rows is heavy: 1000 winners at most are broadcast.
@@ -74,16 +75,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, in all their columns, without the copies that `exact_groups` drops."""
+    """The rows of `docs`, in all their columns, without the copies that `exact_groups` drops.
+
+    Null counts as the empty text.  Of equal texts the row with the largest id stays, a null id
+    being smaller than any other; of rows that are alike in id and text one stays.  Texts of any
+    length are compared by digest; an empty table stays empty; columns may have any names.
+    """
     judged = materialized(
         exact_groups(docs, id_col, text_col).where("group_size > 1").select("doc_id", "keep_id", "digest"), "judged"
     )
-    own = ["__key", "__digest"]
-    keyed = docs.withColumns({"__key": F.col(id_col), "__digest": digest(text_col)})
+    own = [free(docs, "key"), free(docs, "sha")]
+    other = [free(docs, "other_key"), free(docs, "other_sha")]
+    keyed = docs.withColumns({own[0]: F.col(id_col), own[1]: digest(text_col)})
 
     def at(keys: DataFrame) -> tuple[DataFrame, Column]:
-        side = keys.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
-        return side, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d"))
+        side = keys.select(F.col("doc_id").alias(other[0]), F.col("digest").alias(other[1]))
+        return side, F.col(own[0]).eqNullSafe(F.col(other[0])) & (F.col(own[1]) == F.col(other[1]))
 
     copies, same = at(judged.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).distinct())
     left = keyed.join(copies, same, "left_anti")

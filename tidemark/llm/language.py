@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.ship import ship
 from tidemark.llm.text import slices
 from tidemark.llm.toxicity import held_out
+from tidemark.session import materialized
 
 RANKS = 300
 SAMPLE = 1500
 SAMPLE_BYTES = 100_000
+#: Groups of tasks among which the sample is chosen before the last choice.
+GROUPS = 64
 #: Characters whose n-grams are counted at once; longer texts are counted in parts.
 PART = 1 << 20
 
@@ -103,15 +106,24 @@ def profiles(
 ) -> dict[str, np.ndarray]:
     """Per language its n-grams by rank, from SAMPLE documents each that are not held out.
 
-    The sample is chosen by a hash of the id.  Rows without id, language or text teach nothing.
+    The sample is chosen by a hash of id and text.  Rows without id, language or text, and texts of
+    more than SAMPLE_BYTES, teach nothing.
     """
     able = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     able = able.where("k is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES).where(~held_out("k"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    # The window keeps SAMPLE rows per language already before its shuffle.
-    chosen = able.select("k", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("k", "lang")
+    able = able.select("lang", "text", F.xxhash64("k", "text").alias("key"))
+    # Repeated rows count once.  The smallest hashes are chosen per task, then per group of tasks,
+    # then per language, so that no task sorts all rows of one language.
+    chosen = able.select("lang", "key", F.spark_partition_id().alias("task")).groupBy("lang", "key").agg(F.min("task").alias("task"))
+    for part in ([F.col("task")], [F.col("task") % GROUPS], []):
+        order = Window.partitionBy("lang", *part).orderBy("key")
+        chosen = chosen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).drop("r")
+    chosen = F.broadcast(materialized(chosen.drop("task"), "sample"))  # SAMPLE rows per language
     counted = (
-        able.join(chosen.distinct(), ["k", "lang"])
+        able.join(chosen, ["lang", "key"])
+        .groupBy("lang", "key")
+        .agg(F.first("text").alias("text"))
+        .select("lang", "text")
         .mapInArrow(_profile_counts, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text
 from tidemark.llm.components import components
-from tidemark.llm.idset import IdSet
+from tidemark.llm.idset import IdSet, row_key
 from tidemark.llm.ship import ship
 from tidemark.session import materialized
 
@@ -34,6 +34,8 @@ from tidemark.session import materialized
 MISS = 5e-7
 ROWS = 5
 WIDTH = 5
+#: What tells sets apart: 128 bits of hash and the size.
+KEY = ["low", "high", "n_shingles"]
 #: Members and shingles that one block of an unresolved bucket holds on average.
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1 << 18
@@ -79,27 +81,41 @@ def _sketch(n: int):
             for i, shingles in enumerate(text.shingle_sets(batch.column("text"), WIDTH)):
                 size[i] = len(shingles)
                 if len(shingles):
-                    low[i] = text.mix(np.sum(shingles, keepdims=True, dtype=np.uint64)).view(np.int64)[0]
-                    high[i] = np.sum(text.mix(shingles), dtype=np.uint64).view(np.int64)
+                    low[i], high[i] = _hashes(shingles)
                     signatures[i] = signature(shingles, n * ROWS)
             bands = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, (rows + 1) * n, n, dtype=np.int32)), pa.array(_bands(signatures).ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(low), pa.array(high), bands],
-                ["doc_id", "n_shingles", "low", "high", "bands"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(size), pa.array(low), pa.array(high), bands],
+                ["doc_id", "row", "n_shingles", "low", "high", "bands"],
             )
 
     return sketch
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text.slices(batches):
-        sets = list(text.shingle_sets(batch.column("text"), WIDTH))
-        at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-        shingles = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), shingles], ["id", "shingles"])
+def _hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a non-empty set."""
+    low = text.mix(np.sum(shingles, keepdims=True, dtype=np.uint64)).view(np.int64)[0]
+    return int(low), int(np.sum(text.mix(shingles), dtype=np.uint64).view(np.int64))
+
+
+def _sets(find):
+    """Shingle sets of the rows whose key `find` knows (all rows without it), and their hashes."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.slices(batches):
+            if find is not None:
+                batch = batch.filter(pa.array(find(np.asarray(batch.column("row")))))
+            found = list(text.shingle_sets(batch.column("text"), WIDTH))
+            at = np.r_[0, np.cumsum([len(s) for s in found])].astype(np.int32)
+            flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            both = np.array([_hashes(s) if len(s) else (0, 0) for s in found], np.int64).reshape(-1, 2)
+            size = pa.array(np.diff(at).astype(np.int64))
+            shingles = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), size, shingles], [*KEY, "shingles"])
+
+    return sets
 
 
 def _linked(shared: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -176,35 +192,27 @@ def _unresolved(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of `docs`.
-
-    Texts are linked when 100 * |A and B| >= percent * |A or B| over their sets of 5-word
-    shingles; the component is the smallest id reachable.  A null text or one without words has
-    the empty set and stands alone.  A row with a null id is never linked: its component is
-    null and it is kept.  Ids must be integers; repeated ids are judged by each row's own text.
-    An empty table gives no rows; other columns are ignored.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Per row of `docs`: doc_id, row (its `row_key`), n_shingles, component_id."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialized(
-        texts.mapInArrow(_sketch(n_bands(percent)), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "sketch"
-    )
-    key = ["low", "high", "n_shingles"]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    schema = "doc_id long, row long, n_shingles long, low long, high long, bands array<long>"
+    sketch = materialized(texts.mapInArrow(_sketch(n_bands(percent)), schema), "sketch")
     able = sketch.where("n_shingles > 0 and doc_id is not null")
-    nodes = able.groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("rep")).select(*key, "rep.*")
-    nodes = materialized(nodes.withColumnRenamed("doc_id", "id"), "nodes")
+    # A node is a set.  It has a number of its own, as an id may stand on several texts.
+    nodes = able.groupBy(*KEY).agg(F.min(F.struct("doc_id", "row", "bands")).alias("rep")).select(*KEY, "rep.*")
+    nodes = materialized(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     placed = nodes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = materialized(placed.join(shared, "bucket").distinct(), "members")
     central = materialized(members.groupBy("id").agg(F.sum("m").alias("reach")), "central")
-    sets = materialized(
-        texts.where(IdSet(central.select("id")).has("doc_id"))  # texts stay where they are
-        .mapInArrow(_sets, "id long, shingles array<long>")
-        .distinct(),
-        "sets",
-    )
+    wanted = nodes.join(central.select("id"), "id").select(*KEY, "id", "row")
+    rows = IdSet(wanted.select("row"))
+    mine = texts.select("row", "text")
+    mine = mine if rows.find else rows.keep(mine, "row", True)  # probed inside the tasks: texts stay where they are
+    found = mine.mapInArrow(_sets(rows.find), "low long, high long, n_shingles long, shingles array<long>")
+    sets = materialized(found.dropDuplicates(KEY).join(wanted.drop("row"), KEY).select("id", "shingles"), "sets")
     hubs = (
         members.join(central, "id")
         .groupBy("bucket")
@@ -227,15 +235,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not more.isEmpty():
         labels = materialized(components(links.union(more)), "labels")
 
-    classes = nodes.join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
-    judged = sketch.join(classes, key, "left")
+    # Components of nodes carry the smallest doc_id among them.
+    linked = nodes.select(*KEY, "id", "doc_id").join(labels, "id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    classes = linked.join(least, "component").select(*KEY, "least")
+    alone = nodes.select(*KEY, F.col("doc_id").alias("own"))
+    classes = alone.join(classes, KEY, "left").select(*KEY, F.coalesce("least", "own").alias("component"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return judged.select("doc_id", "n_shingles", component.alias("component_id")).select(
-        "*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    return sketch.join(classes, KEY, "left").select("doc_id", "row", "n_shingles", component.alias("component_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of `docs`.
+
+    Texts are linked when 100 * |A and B| >= percent * |A or B| over their sets of 5-word
+    shingles; the component is the smallest id reachable.  A null text or one without words has
+    the empty set and stands alone.  A row with a null id is never linked: its component is
+    null and it is kept.  Ids must be integers; an id on several texts stands for each of them
+    apart, and `kept` says that the row's own id names its component.  Texts of any length are
+    taken whole; an empty table gives no rows; other columns are ignored.
+    """
+    judged = _judged(docs, id_col, text_col, percent).drop("row")
+    return judged.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of `docs`, in all their columns, of which each near-duplicate class keeps one."""
-    gone = IdSet(near_groups(docs, id_col, text_col, percent).where("not kept").select("doc_id"))
-    return docs.where(~gone.has(F.col(id_col).cast("long")))
+    """The rows of `docs`, in all their columns, of which each near-duplicate class keeps its smallest id.
+
+    Rows without words and rows with a null id stay.  All rows with the smallest id of their class
+    stay, also where that id is repeated; an id on several texts is judged by each row's own text.
+    An empty table stays empty; columns may have any names.
+    """
+    judged = _judged(docs, id_col, text_col, percent)
+    return IdSet(judged.where("doc_id <> component_id").select("row")).keep(docs, row_key(id_col, text_col), False)

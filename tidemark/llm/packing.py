@@ -328,7 +328,7 @@ def pack_documents(
     cut_columns = [c for c in columns if c != "ids_crc32"]
     # One piece in `window` ids of the residual is cut; only those need their ids once more.
     cut = pieces.where("not whole").select(*cut_columns)
-    cut = cut.join(tokens.where(IdSet(cut.select("row")).has("row")).select("row", "ids"), "row")
+    cut = cut.join(IdSet(cut.select("row")).keep(tokens.select("row", "ids"), "row", True), "row")
     cut_schema = f"row long, doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
     cut = cut.select(*cut_columns, "ids").mapInArrow(_cut_sums(width), cut_schema).select(*columns)
     return Packed(full.unionByName(taken).unionByName(whole).unionByName(cut), tokens, window, width)

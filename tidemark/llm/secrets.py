@@ -171,7 +171,15 @@ class Language:
     def learn(cls, texts: DataFrame) -> Language:
         """The DICTIONARY most frequent words of the `text` column, ties by word."""
         counts = texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY)
+        counts = materialized(counts.withColumn("size", F.floor(F.log2("n")).cast("int")), "words")
+        # Powers of two first: what is surely not among the top is not sorted.
+        least, held = 0, 0
+        for r in sorted(counts.groupBy("size").count().collect(), reverse=True):  # at most 64 rows
+            least, held = r["size"], held + r["count"]
+            if held >= DICTIONARY:
+                break
+        # Written before it is collected: tasks' own top lists meet in a shuffle, not in the driver.
+        top = materialized(counts.where(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word", "n"), "top-words")
         return cls(Counter({r["word"]: r["n"] for r in top.collect()}))
 
     def transition(self, value: str) -> float:
@@ -252,13 +260,14 @@ def _find(shared):
             data, offsets = text.batch_bytes(batch.column("text"))
             ids, paths = batch.column("doc_id").to_pylist(), batch.column("path").to_pylist()
             rows: list[dict] = []
+            points = text.Points(data)
             for row, a, b in all_candidates(batch.column("text")):
                 low, high = int(offsets[row]), int(offsets[row + 1])
                 before = data[max(low, a - AROUND) : a].tobytes().decode("utf-8", "ignore")
                 after = data[b : min(high, b + AROUND)].tobytes().decode("utf-8", "ignore")
                 value = data[a:b].tobytes().decode()
                 words = _WORDS.findall(before)[-1:], _WORDS.findall(after)[:1]
-                start = int(np.count_nonzero((data[low:a] & 0xC0) != 0x80))
+                start = points.before(a) - points.before(low)
                 length = len(value)
                 rows.append(
                     {

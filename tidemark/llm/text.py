@@ -8,6 +8,7 @@ of a batch; a segment always ends at a break (white space, line end or text end)
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,20 @@ BLANKS = b" \t\n\x0b\x0c\r"
 ROWS = 256
 
 
+_libc: list = []
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system; workers live on and are used again."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL(None).malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    _libc[0](0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of ROWS rows, without copying: what is derived from them stays small.
 
@@ -39,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, ROWS):
             yield batch.slice(at, ROWS)
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,12 +80,29 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _tables or len(_tables["up"]) <= n:
-        size = max(SEGMENT, n) + 1
-        _tables["up"], _tables["down"] = _powers(_BASE, size), _powers(_INVERSE, size)
+    if n > SEGMENT:  # one word longer than a segment: not worth keeping
+        return _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
+    if not _tables:
+        _tables["up"], _tables["down"] = _powers(_BASE, SEGMENT + 1), _powers(_INVERSE, SEGMENT + 1)
     return _tables["up"], _tables["down"]
 
 
+class Points:
+    """Code points before any byte of a buffer, at the cost of one look at each byte."""
+
+    STEP = 1 << 12
+
+    def __init__(self, data: np.ndarray):
+        self.first = (data & 0xC0) != 0x80
+        at = np.arange(0, len(data), self.STEP)
+        self.upto = np.r_[0, np.cumsum(np.add.reduceat(self.first, at, dtype=np.int64))] if len(data) else np.zeros(1, np.int64)
+
+    def before(self, at: int) -> int:
+        """How many code points begin before byte `at`."""
+        block = at // self.STEP
+        return int(self.upto[block]) + int(np.count_nonzero(self.first[block * self.STEP : at]))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span of one segment."""
     up, down = _power_table(len(data))

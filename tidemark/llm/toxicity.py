@@ -8,7 +8,7 @@ suffix, and both neighbouring words.  Forward-backward marginals give spans with
 are aggregated into a document score by a logistic model.
 
 Training takes a bounded sample of labelled documents (SAMPLE_TOXIC and SAMPLE_CLEAN, of at
-most SAMPLE_BYTES bytes each); scoring reads every text whole.
+most SAMPLE_BYTES bytes each and TRAINING_BYTES together); scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import text
@@ -29,6 +29,8 @@ from tidemark.llm.ship import ship
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
 SAMPLE_BYTES = 100_000
+#: Bytes of all sampled documents together, in the order of the hash that chooses them.
+TRAINING_BYTES = 48_000_000
 THRESHOLD = 0.7
 #: Feature weights live in a table of this size, by hash.
 TABLE = 1 << 18
@@ -277,6 +279,7 @@ def _score(shared):
             rows, marginals = [np.zeros(0, np.int64)], [np.zeros(0)]
             spans: list[list[dict]] = [[] for _ in range(n)]
             data, offsets = text.batch_bytes(column)
+            points = text.Points(data)
             for t in segments(column):
                 m = model.marginals(t)
                 rows.append(t.row)
@@ -287,11 +290,9 @@ def _score(shared):
                 new = np.r_[True, (np.diff(hit) > 1) | (np.diff(t.chain[hit]) > 0) | (np.diff(t.row[hit]) > 0)]
                 for group in np.split(hit, np.flatnonzero(new)[1:]):
                     row = int(t.row[group[0]])
-                    base = int(offsets[row])
-                    # Offsets in characters: bytes that do not continue one.
-                    start = int(np.count_nonzero((data[base : t.start[group[0]]] & 0xC0) != 0x80))
-                    size = int(np.count_nonzero((data[t.start[group[0]] : t.end[group[-1]]] & 0xC0) != 0x80))
-                    spans[row].append({"start": start, "end": start + size, "marginal": float(m[group].max())})
+                    # Offsets in characters from the row's first byte.
+                    base, start, end = (points.before(int(x)) for x in (offsets[row], t.start[group[0]], t.end[group[-1]]))
+                    spans[row].append({"start": start - base, "end": end - base, "marginal": float(m[group].max())})
             features = document_features(np.concatenate(marginals), np.concatenate(rows), n)
             scores = 1 / (1 + np.exp(-np.clip(features @ model.blend, -30, 30)))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
@@ -307,9 +308,15 @@ def held_out(id_column: str):
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    model = train([r[1] for r in rows], [r[2] for r in rows])
+    rows = []
+    for batch in batches:
+        rows += zip(*(batch.column(c).to_pylist() for c in ("k", "text", "y")), strict=True)
+    rows.sort(key=lambda r: r[:2])
+    texts, marks = [r[1] for r in rows], [r[2] for r in rows]
+    del rows
+    model = train(texts, marks)
+    del texts
+    text.give_back()
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
@@ -333,8 +340,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .join(picked, "k")
         .select("k", "text", (F.col("y") != 0).cast("int").alias("y"))
     )
-    # The sample is bounded, so one task can train; the driver sees the model only.
-    trained = sample.repartition(1).mapInArrow(_train_task, "model binary").collect()
+    # The sample is bounded in rows and bytes, so one task can train; the driver sees the model only.
+    order = Window.orderBy(F.xxhash64("k"), "k", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = sample.withColumn("upto", F.sum(F.octet_length("text")).over(order)).where(F.col("upto") <= TRAINING_BYTES)
+    trained = sample.drop("upto").mapInArrow(_train_task, "model binary").collect()
     return pickle.loads(bytes(trained[0]["model"])) if trained else train([], [])
 
 
@@ -358,10 +367,15 @@ def toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, in all their columns, that are not predicted toxic."""
+    """The rows of `docs`, in all their columns, that are not predicted toxic.
+
+    Null and empty texts get the score of no sign; rows with a null id are judged by their text
+    like all others; repeated rows go or stay together; texts of any length are scored whole; an
+    empty table stays empty; columns may have any names.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     schema = "doc_id long, score double, spans array<struct<start: long, end: long, marginal: double>>"
     keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
     toxic = IdSet(keyed.mapInArrow(_score(shared), schema).where(F.col("score") >= THRESHOLD).select("doc_id"))
-    return docs.where(~toxic.has(row_key(id_col, text_col)))
+    return toxic.keep(docs, row_key(id_col, text_col), False)
