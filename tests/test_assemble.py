@@ -178,3 +178,20 @@ def test_signed_xid(spark):
         assemble.signed_xid(F.lit(7).cast("bigint")), assemble.signed_xid(F.lit(2**31).cast("bigint"))
     ).first()
     assert list(got) == [7, -(2**31)]
+
+
+def test_long_logs_are_read_once(spark, tmp_path):
+    """In the form for long logs the plan reads the log for its tuples and the kept numbers, no more."""
+    from tidemark.plans import inputs
+
+    path = str(tmp_path / "messages")
+    inputs.messages(spark, "/root/testdata/sf0.001").write.parquet(path)
+    log = spark.read.parquet(path)
+    size = Sizing(rows_per_chunk=200)
+    for made in (assemble.assemble_transactions(log, "db", size=size), assemble.message_errors(log, size=size)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 6
+        assert sum("messages" in x for x in plan.splitlines() if "FileScan" in x) <= 2
+    short = assemble.assemble_transactions(log, "db", size=Sizing(at_most=10_000)).collect()
+    long = assemble.assemble_transactions(log, "db", size=size).collect()
+    assert sorted(map(str, short)) == sorted(map(str, long))

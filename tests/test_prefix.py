@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import running
+from tidemark.operators.prefix import CHUNK, running, with_chunk, with_parts
 from tidemark.operators.sizing import Sizing
 
 def outputs():
@@ -64,3 +64,33 @@ def test_known_upper_bound_saves_the_count(spark):
             raise AssertionError("counted")
 
     assert Sizing(at_most=10).bounded(Uncountable(), "at").bounds == ()
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("max_chunks", [2, 3, 7])
+def test_chunks_of_chunks_equal_a_loop(spark, keyed, inclusive, max_chunks):
+    """More rows than chunks whose boundaries the driver may hold."""
+    data = rows(4)
+    df = spark.createDataFrame(data, "key string, at bigint, v bigint")
+    size = Sizing(rows_per_chunk=10, max_chunks=max_chunks)
+    got = running(df, ["key"] if keyed else [], "at", outputs(), inclusive=inclusive, size=size)
+    assert {r["at"]: (r["hi"], r["lo"], r["total"]) for r in got.collect()} == expected(data, keyed, inclusive)
+
+
+def test_chunks_of_chunks_hold_few_rows(spark):
+    df = spark.createDataFrame(rows(1, 2000), "key string, at bigint, v bigint")
+    size = Sizing(rows_per_chunk=20, max_chunks=12)
+    parts = size.parts(df)
+    assert parts == 9
+    cut = with_parts(with_chunk(df, "at", size.bounded(df, "at").bounds), "at", parts)
+    found = cut.groupBy(CHUNK).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy(CHUNK).collect()
+    assert len(found) > 90 and max(r["n"] for r in found) <= 2 * size.rows_per_chunk
+    assert all(a["hi"] < b["lo"] for a, b in zip(found, found[1:]))
+
+
+def test_no_window_holds_more_carries_than_chunks(spark):
+    """The carry over chunks of chunks goes in two levels: within a chunk, then over chunks."""
+    df = spark.createDataFrame(rows(1, 300), "key string, at bigint, v bigint")
+    plan = running(df, [], "at", outputs(), size=Sizing(rows_per_chunk=10, max_chunks=5))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3 and "__super" in plan

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.histograms import merged, sliding, summary, value_counts
 from tidemark.operators.ranks import aggregate_with_ranks, nearest_ranks, ranks_by_running_count, value_at_rank
 from tidemark.operators.sizing import Sizing
 
@@ -79,3 +80,32 @@ def test_aggregates_with_ranks_agree_in_both_forms(spark):
     assert [tuple(map(lambda x: None if x is None else float(x), r)) for r in small] == [
         tuple(map(lambda x: None if x is None else float(x), r)) for r in large
     ]
+
+
+@pytest.mark.parametrize("length, step", [(6, 2), (4, 4), (3, 1)])
+def test_histograms_equal_the_samples(spark, length, step):
+    rng = random.Random(length)
+    data = [(rng.choice("ab"), rng.randrange(60) * 1_000_000 + rng.randrange(1000), rng.randrange(40)) for _ in range(500)]
+    data += [("a", None, 3), ("a", 5, None)]
+    df = spark.createDataFrame(data, "g string, at bigint, v bigint")
+    halves = [value_counts(df.filter(c), ["g"], "at", "v", grain_us=1_000_000) for c in ("v < 20", "v >= 20")]
+    windows = sliding(merged(halves, ["g"]), ["g"], length=length, step=step)
+    for size in (Sizing(), Sizing(rows_per_chunk=5, max_chunks=3)):
+        got = {(r["g"], r["window"]): r for r in summary(windows, ["g", "window"], size=size).collect()}
+        want = {}
+        for g, at, v in data:
+            for w in range(0, 80):
+                if None not in (at, v) and w * step - length < at // 1_000_000 <= w * step:
+                    want.setdefault((g, w), []).append(v)
+        assert got.keys() == want.keys()
+        for key, values in want.items():
+            assert got[key]["sample_count"] == len(values) and got[key]["max_staleness_ms"] == max(values) / 1000
+            assert [got[key][f"{n}_staleness_ms"] for n in Q] == [rule(values, q) / 1000 for q in Q.values()]
+
+
+def test_empty_histograms(spark):
+    df = spark.createDataFrame([], "g string, at bigint, v bigint")
+    counts = value_counts(df, ["g"], "at", "v")
+    assert summary(sliding(counts, ["g"], length=2, step=1), ["g", "window"]).collect() == []
+    with pytest.raises(ValueError):
+        sliding(counts, ["g"], length=3, step=2)
