@@ -231,7 +231,7 @@ class BatchLedger:
         found = self._entries()
         listed = self.spark.createDataFrame([], columns) if found is None else found.select("batch", *self.counts)
         try:
-            folded = self.spark.read.schema(columns).parquet(f"{self.path}-folded")
+            folded = self.spark.read.schema(columns).parquet(f"{self.path}-folded").select("batch", *self.counts)
         except AnalysisException as exc:
             if exc.getCondition() == "PATH_NOT_FOUND":
                 return listed

@@ -43,7 +43,7 @@ class DeliveryStore:
             before = stored.select("message_id", F.col("attempts").alias("__before"))
             counted = attempt_runs(rows, size=Sizing(at_most=at_most)).join(before, "message_id", "left")
             # Failures before the batch count until the first success in it.
-            carried = F.when((F.col("run") == 0) & ~F.col("ok"), F.coalesce("__before", F.lit(0))).otherwise(0)
+            carried = F.when(F.col("run") == 0, F.coalesce("__before", F.lit(0))).otherwise(0)
             counted = counted.withColumn("attempt", F.col("attempt") + carried).drop("run", "__before")
             self.attempts.append(counted, batch_id, at_most=at_most)
             now = F.max_by(F.struct("attempt", "ok"), "attempt_ts_us").alias("last")
