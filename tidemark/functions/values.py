@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.presence import sparse_from_map
+
 # PostgreSQL type OIDs with a decoding of their own.
 INTEGER_OIDS = (20, 21, 23)
 BOOLEAN_OID = 16
@@ -53,6 +57,15 @@ def decode_row(columns: Column, cells: Column) -> Column:
     )
 
 
+def typed_row(row: Column, types: Mapping[str, str]) -> Column:
+    """The decoded fields as a struct of presence structs in their own types.
+
+    A field that was not sent is null, one sent as null holds null. A text that its type cannot hold
+    reads as null; ``unreadable`` tells such values apart.
+    """
+    return F.struct(*[sparse_from_map(row, name, data_type).alias(name) for name, data_type in types.items()])
+
+
 def key_map(columns: Column, row: Column) -> Column:
     """The entries of ``row`` that belong to key columns."""
     names = F.transform(

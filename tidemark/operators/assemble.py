@@ -145,6 +145,10 @@ def _row_error() -> Column:
         .when((F.col("tag") == "U") & cells.isNull(), "update message has no new tuple")
         .when((F.col("tag") == "D") & cells.isNull(), "delete message has no old/key tuple")
         .when(F.size(cells) != F.size(columns), "tuple and relation differ in columns")
+        .when(
+            (F.col("tag") == "U") & F.col("old_tuple").isNotNull() & (F.size("old_tuple") != F.size(columns)),
+            "tuple and relation differ in columns",
+        )
         .when(unknown_kind, "unknown tuple data kind")
         .when(bad_number, "invalid integer text")
     )
@@ -179,11 +183,15 @@ def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
 
 
 def assemble_transactions(
-    messages: DataFrame, db: str, *, signed_xids: bool = False, size: Sizing = DEFAULT
+    messages: DataFrame, db: str, *, signed_xids: bool = False, emit_key_change_delete: bool = False,
+    size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Committed change events in envelope form.
 
     ``signed_xids`` reads transaction ids as signed 32-bit numbers, also in identities.
+    ``emit_key_change_delete`` adds a deletion of the old key to every update that sent an old tuple
+    with another key; it has the update's ``seq`` and an identity of its own. Without it the
+    document of the old key stays, as the old tuple is read and then left out.
 
     Rows count only between a begin and its commit; a new begin discards an unfinished
     transaction. ``seq`` is the row's 0-based place in its transaction, undecodable rows
@@ -197,12 +205,21 @@ def assemble_transactions(
     committed = rows.join(txns, ["slot", "txn"]).filter(F.col("msg_seq") < F.col("commit_seq"))
     placed = decode_tuples(with_payload(committed, messages)).filter(F.col("error").isNull())
     seq = (F.col("row_no") - F.col("rows_before") - 1).cast("int")
-    op = F.when(F.col("tag") == "I", "c").when(F.col("tag") == "U", "u").otherwise("d")
     lsn_text = long_to_lsn("lsn")
+    identity = [F.lit(db), F.col("rel.schema"), F.col("rel.table"), lsn_text, F.col("txn_xid"), seq]
+    named = event_id(*identity)
+    if emit_key_change_delete:
+        placed = with_once(placed, "old", F.when(F.col("tag") == "U", decode_row(F.col("rel.rel_columns"), F.col("old_tuple"))))
+        keys = [F.map_entries(key_map(F.col("rel.rel_columns"), F.col(c))) for c in ("old", "row")]
+        moved = F.coalesce(keys[0] != keys[1], F.lit(False))
+        # The update itself, and before it the deletion under the old key.
+        placed = placed.withColumn("gone", F.explode(F.when(moved, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+        placed = placed.withColumns({"row": F.when(F.col("gone"), F.col("old")).otherwise(F.col("row")), "tag": F.when(F.col("gone"), "D").otherwise(F.col("tag"))})
+        old_key = event_id(*identity[:-1], F.concat(seq.cast("string"), F.lit("|old key")))
+        named = F.when(F.col("gone"), old_key).otherwise(named)
+    op = F.when(F.col("tag") == "I", "c").when(F.col("tag") == "U", "u").otherwise("d")
     return placed.select(
-        event_id(
-            F.lit(db), F.col("rel.schema"), F.col("rel.table"), lsn_text, F.col("txn_xid"), seq
-        ).alias("event_id"),
+        named.alias("event_id"),
         op.alias("op"),
         F.struct(
             F.lit(db).alias("db"), F.col("rel.schema").alias("schema"), F.col("rel.table").alias("table")

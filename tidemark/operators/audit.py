@@ -24,11 +24,49 @@ def reserved_key_audit(documents: DataFrame, fields: str = "fields") -> DataFram
     return found.withColumn("clean", F.size("reserved_keys") == 0)
 
 
+def _clean(df: DataFrame, clean: DataFrame | None, key: str) -> tuple[DataFrame, list[Column], Column]:
+    """``df`` with the verdict of ``reserved_key_audit`` per key: the column to show, and the test."""
+    if clean is None:
+        return df, [], F.lit(True)
+    judged = df.join(clean.select(key, F.col("clean").alias("document_clean")), key, "left")
+    shown = F.coalesce("document_clean", F.lit(False))
+    return judged, [shown.alias("document_clean")], shown
+
+
+def hop_latencies(events: DataFrame, indexer_log: DataFrame, sample_log: DataFrame, slo_ms: float = 1000.0) -> DataFrame:
+    """Every event's hops as the services logged them, and whether they show it in time.
+
+    ``events`` has (event_id, key, commit_lsn); the logs are parsed lines (``parse_log_lines``) with
+    ``line_no``. A hop is found by the document and position in the record; of several lines the
+    first counts, and a line that is missing or unreadable leaves the hop null and the event failed.
+    """
+    def first(log: DataFrame, fields: dict[str, str]) -> DataFrame:
+        record = F.col("record")
+        told = log.select(
+            record["document_id"].alias("__document"), record["commit_lsn"].alias("commit_lsn"), "line_no",
+            F.struct(*[record[f].try_cast("double").alias(out) for out, f in fields.items()]).alias("hop"),
+        )
+        # Folded map-side to one row per document and position before the join.
+        found = told.groupBy("__document", "commit_lsn").agg(F.min_by("hop", "line_no").alias("hop"))
+        return found.select("__document", "commit_lsn", "hop.*")
+
+    indexed = first(indexer_log, {"queue_ms": "stream_queue_latency_ms", "processing_ms": "batch_processing_ms"})
+    sampled = first(sample_log, {"staleness_ms": "staleness_ms"})
+    on = ["__document", "commit_lsn"]
+    way = events.withColumn("__document", F.col("key").cast("string")).join(indexed, on, "left").join(sampled, on, "left")
+    passed = F.col("queue_ms").isNotNull() & F.coalesce(F.col("staleness_ms") <= slo_ms, F.lit(False))
+    return way.select("event_id", "queue_ms", "processing_ms", "staleness_ms", passed.alias("passed"))
+
+
 def trace_events(
-    events: DataFrame, markers: DataFrame, obs: DataFrame, applied_log: DataFrame, slo_us: int = 1_000_000
+    events: DataFrame, markers: DataFrame, obs: DataFrame, applied_log: DataFrame, slo_us: int = 1_000_000,
+    *, clean: DataFrame | None = None, key: str = "key",
 ) -> DataFrame:
     """Every event's way through publish, queue, marker and sample, with a verdict.
 
+    ``clean`` (``reserved_key_audit`` by ``key``) adds ``document_clean`` to the verdict: the event's
+    document must hold no reserved field.
+
     ``applied_log`` has what the consumer logged per (event_id, lsn): queue and processing
     time. The verdict wants a sample within the SLO, no violation, and an applied marker.
     All sides are one row per event, so no key is hot.
@@ -48,6 +86,7 @@ def trace_events(
         & (F.col("marker_lsn") == F.col("lsn"))
     )
     same_log = F.col("log_lsn") == F.col("lsn")
+    way, shown, tidy = _clean(way, clean, key)
     return way.select(
         "event_id",
         "lsn",
@@ -56,7 +95,8 @@ def trace_events(
         to_ms(F.when(same_log, F.col("queue_us"))).alias("queue_ms"),
         to_ms(F.when(same_log, F.col("processing_us"))).alias("processing_ms"),
         to_ms(F.col("staleness_us")).alias("staleness_ms"),
-        F.coalesce(passed, F.lit(False)).alias("passed"),
+        *shown,
+        F.coalesce(passed & tidy, F.lit(False)).alias("passed"),
     )
 
 
@@ -66,10 +106,13 @@ def ordering_audit(
     documents: DataFrame,
     fields: Sequence[str],
     key: str = "key",
+    *,
+    clean: DataFrame | None = None,
 ) -> DataFrame:
     """Per key: the document carries the newest version and its payload, and outcomes add up.
 
     ``events`` holds each event once. Inputs are folded to one row per key before joining.
+    ``clean`` (``reserved_key_audit`` by ``key``) adds ``document_clean`` to the verdict.
     """
     newest = latest_per_key(events.select(key, "event_id", "op", "lsn", "seq", *fields), [key])
     facts = consistency(events, markers, key)
@@ -80,6 +123,7 @@ def ordering_audit(
         same = same & (F.col(f).isNull() | F.col(f).eqNullSafe(F.col(f"__{f}")))
     gone = F.col("op") == "d"
     payload = (gone == F.col("_deleted")) & (gone | same)
+    joined, shown, tidy = _clean(joined, clean, key)
     return joined.select(
         key,
         "events",
@@ -88,8 +132,9 @@ def ordering_audit(
         F.coalesce(F.col("_lsn") == F.col("lsn"), F.lit(False)).alias("version_is_newest"),
         F.coalesce(payload, F.lit(False)).alias("payload_is_newest"),
         F.col("consistent").alias("markers_consistent"),
+        *shown,
         F.coalesce(
-            (F.col("_lsn") == F.col("lsn")) & payload & F.col("consistent"), F.lit(False)
+            (F.col("_lsn") == F.col("lsn")) & payload & F.col("consistent") & tidy, F.lit(False)
         ).alias("passed"),
     )
 

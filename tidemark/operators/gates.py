@@ -149,16 +149,35 @@ def compare_runs(before: DataFrame, after: DataFrame, on: Sequence[str], measure
     return joined.withColumns({f"{m}_delta": F.col(f"{m}_after") - F.col(f"{m}_before") for m in measures})
 
 
-def recovery_audit(compared: DataFrame, *, lag_slack_bytes: int = 5_000_000) -> DataFrame:
+def lag_recovered(lags: DataFrame, on: Sequence[str], *, lag_slack_bytes: int = 5_000_000) -> DataFrame:
+    """Per run whether every consumer is back within the slack of its own lag before.
+
+    ``lags`` has a row per run and consumer with lag_before and lag_after. A consumer without a lag
+    before had none; one without a lag after is not known to have recovered.
+    """
+    back = F.col("lag_after") <= F.coalesce("lag_before", F.lit(0)) + lag_slack_bytes
+    return lags.groupBy(*on).agg(F.bool_and(F.coalesce(back, F.lit(False))).alias("lags_recovered"))
+
+
+def recovery_audit(
+    compared: DataFrame, *, lag_slack_bytes: int = 5_000_000, lags: DataFrame | None = None, on: Sequence[str] = ()
+) -> DataFrame:
     """Verdict of an outage run from before/after rows of ``compare_runs``.
 
+    With ``lags`` (see ``lag_recovered``, per run ``on``) the lag rule holds for each consumer.
+
     Needs ``writes``, ``exit_status``, and before/after of stream_len, sample_count,
     dlq_len, pending_count, active_violation_count and lag_bytes.
     """
     conserved = (F.col("sample_count_delta") == F.col("writes")) & (
         F.col("stream_len_delta") == F.col("writes")
     )
-    lag_ok = F.col("lag_bytes_after") <= F.coalesce("lag_bytes_before", F.lit(0)) + lag_slack_bytes
+    if lags is None:
+        lag_ok = F.col("lag_bytes_after") <= F.coalesce("lag_bytes_before", F.lit(0)) + lag_slack_bytes
+    else:
+        each = lag_recovered(lags, on, lag_slack_bytes=lag_slack_bytes)
+        compared = compared.join(each, list(on), "left")
+        lag_ok = F.coalesce("lags_recovered", F.lit(False))
     verdict = (
         conserved
         & (F.col("dlq_len_delta") == 0)
@@ -173,7 +192,7 @@ def recovery_audit(compared: DataFrame, *, lag_slack_bytes: int = 5_000_000) ->
             "lag_recovered": lag_ok,
             "recovered": F.coalesce(verdict, F.lit(False)),
         }
-    )
+    ).drop("lags_recovered")
 
 
 def backlog_growth(samples: DataFrame, series: Sequence[str], time: str, measure: str) -> DataFrame:

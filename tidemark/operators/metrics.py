@@ -75,10 +75,13 @@ def metrics_snapshot(
     *,
     sample_window: int | None = None,
     ready: Mapping[str, bool] | None = None,
+    counts: Mapping[str, tuple[str, Column]] | None = None,
     size: Sizing = DEFAULT,
 ) -> DataFrame:
     """Freshness metrics as known at ``now_us``: one row, or one per group over the history.
 
+    ``counts`` adds further aggregates of the same pass: name -> (column of ``obs``, aggregate of it).
+
     ``sample_window`` bounds the samples and the detection delays to the newest N, as an
     online monitor does; it applies to the ungrouped form.
     """
@@ -86,8 +89,12 @@ def metrics_snapshot(
         raise ValueError("sample_window applies to the ungrouped form")
     now = F.lit(now_us).cast("bigint") if isinstance(now_us, int) else now_us
     at = state_at(obs, now_us)
+    counts = dict(counts or {})
+    if counts and sample_window is not None:
+        raise ValueError("counts apply to whole groups, not to a sample_window")
     rows = at.select(
         *by,
+        *dict.fromkeys(c for c, _ in counts.values()),
         F.when(F.col("is_sample"), F.col("staleness_us")).alias("__s"),
         F.when(F.col("is_violation"), F.col("detection_delay_us")).alias("__d"),
         F.when(F.col("is_in_flight"), now - F.col("commit_ts_us")).alias("__age"),
@@ -110,13 +117,15 @@ def metrics_snapshot(
 
         counts = rows.select(nothing.alias("__s"), nothing.alias("__d"), *states)
         rows = counts.unionByName(newest("__s", "visible_ts_us")).unionByName(newest("__d", "violation_ts_us"))
-    out = snapshot_of(rows, by, size=size)
+    out = snapshot_of(rows, by, extra=[a.alias(n) for n, (_, a) in counts.items()], size=size)
     if ready is not None:
         out = out.withColumns({f"{k}_ready": F.lit(v) for k, v in ready.items()})
     return out
 
 
-def snapshot_of(rows: DataFrame, by: Sequence[str] = (), *, size: Sizing = DEFAULT) -> DataFrame:
+def snapshot_of(
+    rows: DataFrame, by: Sequence[str] = (), *, extra: Sequence[Column] = (), size: Sizing = DEFAULT
+) -> DataFrame:
     """The snapshot from its parts: samples ``__s``, delays ``__d``, ages in flight ``__age``,
     numbers of violations ``__v`` and active times ``__active``, each null where it does not apply."""
     counted = aggregate_with_ranks(
@@ -130,12 +139,16 @@ def snapshot_of(rows: DataFrame, by: Sequence[str] = (), *, size: Sizing = DEFAU
             F.coalesce(F.sum("__v"), F.lit(0)).alias("violation_count"),
             F.count("__active").alias("active_violation_count"),
             F.max("__active").alias("__longest"),
+            *extra,
         ],
         {**{f"__{n}": ("__s", q) for n, q in STALENESS_RANKS.items()}, "__delay": ("__d", 0.99)},
         size=size,
     )
+    known = {*by, "sample_count", "in_flight_count", "violation_count", "active_violation_count"}
+    further = [c for c in counted.columns if c not in known and not c.startswith("__")]
     return counted.select(
         *by,
+        *further,
         "sample_count",
         *[to_ms(F.col(f"__{n}")).alias(f"{n}_staleness_ms") for n in (*STALENESS_RANKS, "max")],
         "in_flight_count",

@@ -430,13 +430,12 @@ def capacity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     replicas = F.pow(F.lit(2), F.pmod("key", F.lit(4))).cast("int")
     obs = observed(spark, sf_dir).withColumn("label", F.concat(F.lit("capacity-"), replicas, F.lit("replicas")))
     now = now_of(events(spark, sf_dir))
-    measured = metrics.metrics_snapshot(obs, now, ["label"], size=inputs.size(spark, sf_dir, 1))
-    sizes = obs.groupBy("label").agg(
-        F.count_distinct("key").alias("documents"), F.count("*").alias("source_rows")
+    measured = metrics.metrics_snapshot(
+        obs, now, ["label"], size=inputs.size(spark, sf_dir, 1),
+        counts={"documents": ("key", F.count_distinct("key")), "source_rows": ("key", F.count(F.lit(1)))},
     )
-    joined = measured.join(sizes, "label")
     record = gates.run_record(
-        joined, {"counts": F.struct("documents", "source_rows")}, F.col("label"), micros_to_iso(now)
+        measured, {"counts": F.struct("documents", "source_rows")}, F.col("label"), micros_to_iso(now)
     )
     return gates.capacity_matrix(record)
 
