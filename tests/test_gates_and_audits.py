@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit, gates, metrics, rebuild, resolve, retention
 from tidemark.operators.sizing import Sizing
+from tidemark.sources import logs
 
 METRICS = "sample_count bigint, p99_staleness_ms double, p99_detection_delay_ms double, violation_count bigint, active_violation_count bigint"
 
@@ -190,3 +191,56 @@ def test_ordering_audit(spark):
     got = {r["key"]: (r["version_is_newest"], r["payload_is_newest"], r["markers_consistent"], r["passed"])
            for r in audit.ordering_audit(events, marks, docs, ["a"]).collect()}
     assert got == {1: (True, True, True, True), 2: (True, False, True, False), 3: (True, True, False, False)}
+
+
+def test_lag_rule_holds_for_each_consumer(spark):
+    schema = "run int, consumer string, lag_before bigint, lag_after bigint"
+    rows = [
+        (1, "a", 100, 100 + 5_000_000), (1, "b", None, 0),
+        (2, "a", 10**9, 0), (2, "b", 0, 5_000_001),  # one stays behind, though the sum fell
+        (3, "a", 0, 0), (3, "b", 0, None),
+    ]
+    lags = spark.createDataFrame(rows, schema)
+    got = {r["run"]: r["lags_recovered"] for r in gates.lag_recovered(lags, ["run"]).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    runs = spark.createDataFrame(
+        [(n, 5, 5, 5, 0, 0, 0, 0) for n in (1, 2, 3, 4)],
+        "run int, writes bigint, sample_count_delta bigint, stream_len_delta bigint, dlq_len_delta bigint, "
+        "pending_count_after bigint, active_violation_count_after bigint, exit_status int",
+    )
+    audited = gates.recovery_audit(runs, lags=lags, on=["run"])
+    assert {r["run"]: (r["lag_recovered"], r["recovered"]) for r in audited.collect()} == {
+        1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False)
+    }
+    assert "lags_recovered" not in audited.columns
+
+
+def test_hops_come_from_the_first_readable_line(spark):
+    lines = spark.createDataFrame(
+        [
+            (3, 'svc | {"event":"indexer_event","document_id":"1","commit_lsn":"0/A","stream_queue_latency_ms":7,"batch_processing_ms":2}'),
+            (2, 'svc | {"event":"indexer_event","document_id":"1","commit_lsn":"0/A","stream_queue_latency_ms":'),
+            (5, 'svc | {"event":"indexer_event","document_id":"1","commit_lsn":"0/A","stream_queue_latency_ms":9,"batch_processing_ms":2}'),
+            (6, 'svc | {"event":"staleness_sample","document_id":"1","commit_lsn":"0/A","staleness_ms":1000}'),
+            (7, 'svc | {"event":"indexer_event","document_id":"2","commit_lsn":"0/B","stream_queue_latency_ms":"x","batch_processing_ms":1}'),
+            (8, 'svc | {"event":"staleness_sample","document_id":"2","commit_lsn":"0/B","staleness_ms":1000.5}'),
+        ],
+        "line_no bigint, line string",
+    )
+    said = logs.parse_log_lines(lines)
+    events = spark.createDataFrame([("e1", 1, "0/A"), ("e2", 2, "0/B"), ("e3", 3, "0/C")], "event_id string, key bigint, commit_lsn string")
+    hops = audit.hop_latencies(events, logs.log_records(said, "indexer_event"), logs.log_records(said, "staleness_sample"))
+    got = {r["event_id"]: tuple(r)[1:] for r in hops.collect()}
+    assert got == {"e1": (7.0, 2.0, 1000.0, True), "e2": (None, 1.0, 1000.5, False), "e3": (None, None, None, False)}
+
+
+def test_counts_join_the_snapshot_pass(spark):
+    schema = "g string, k int, commit_ts_us bigint, visible_ts_us bigint, rejected_ts_us bigint, violation_ts_us bigint, staleness_us bigint, detection_delay_us bigint"
+    rows = [("a", 1, 0, 5, None, None, 5, None), ("a", 1, 1, None, None, None, None, None), ("b", 2, 0, 9, None, None, 9, None)]
+    obs = spark.createDataFrame(rows, schema)
+    counts = {"keys": ("k", F.count_distinct("k")), "rows": ("k", F.count(F.lit(1)))}
+    for size in (Sizing(), Sizing(rows_in_memory=0, rows_per_chunk=1)):
+        got = metrics.metrics_snapshot(obs, 10, ["g"], counts=counts, size=size)
+        assert {r["g"]: (r["keys"], r["rows"], r["sample_count"]) for r in got.collect()} == {"a": (1, 2, 1), "b": (1, 1, 1)}
+    with pytest.raises(ValueError):
+        metrics.metrics_snapshot(obs, 10, counts=counts, sample_window=3)
