@@ -92,6 +92,16 @@ def test_near_blocks(spark, monkeypatch):
     assert got_near(frame(spark, rows)) == brute(rows)
 
 
+def test_near_common_passages_below_the_threshold(spark):
+    """Thousands of documents share 80 % of their words: they meet in buckets, and are never compared in pairs."""
+    rng = np.random.default_rng(8)
+    shared = " ".join(f"s{k}" for k in range(100))
+    rows = [(i, shared + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 20))) for i in range(4000)]
+    rows += [(4000, rows[7][1] + " z"), (4001, rows[8][1])]
+    got = {(r.doc_id, r.component_id) for r in near.near_groups(frame(spark, rows)).collect() if r.doc_id != r.component_id}
+    assert got == {(4000, 7), (4001, 8)}
+
+
 def test_near_edges(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  B"), (6, "a b c"), (7, long), (8, long + " x"), (9, "x" * 3_000_000)]

@@ -8,9 +8,10 @@
    85 % and 37 at 80 %.
 3. A bucket proposes a star: its most central member (largest total of bucket sizes) against
    the others, so there are fewer candidates than members.  Candidates are confirmed on full sets.
-4. Links a star cannot see lie in buckets that still hold several components.  Those alone,
-   once per set of members, are compared in blocks of bounded size inside tasks; what leaves a
-   task is confirmed links only.  So no pair of a bucket is lost, and there is no cap.
+4. Links a star cannot see lie in buckets that still hold several components.  Their members
+   alone are brought together once more, by their rarest shingles (prefix filter), and compared
+   in blocks of bounded size inside tasks; what leaves a task is confirmed links only.  So no
+   pair of a bucket is lost, and there is no cap.
 """
 
 from __future__ import annotations
@@ -158,36 +159,54 @@ def _block_links(percent: int):
 
 
 def _unresolved(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside the buckets that still hold members of several components."""
+    """Links between sets that meet in a bucket which still holds several components.
+
+    Two sets at the threshold share a shingle among the (1 - t) n + 1 rarest of each (prefix filter).
+    So the members of such buckets are brought together by their rare shingles, and what only shares
+    common passages below the threshold never meets.
+    """
     labelled = members.join(labels, "id", "left").select("*", F.coalesce("component", "id").alias("c")).drop("component")
-    open_ = (
-        labelled.groupBy("bucket")
+    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = mixed.where("low <> high and m > 2").select("bucket")
+    wanted = labelled.join(mixed, "bucket", "left_semi").select("id", "c").distinct()
+    mine = materialized(sets.join(wanted, "id"), "unresolved")
+
+    spread = mine.select("id", F.explode("shingles").alias("shingle"))
+    shared = spread.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rarest = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), F.col("shingle"))))  # one set's shingles
+    ordered = spread.join(shared, "shingle", "left").groupBy("id").agg(rarest.alias("ordered"))
+    size = F.size("ordered")
+    prefix = F.slice("ordered", F.lit(1), (size - F.ceil(size * percent / 100) + 1).cast("int"))
+    met = ordered.select("id", size.alias("size"), F.explode(prefix).alias("s")).where("s.n > 1")
+    met = materialized(met.select(F.col("s.shingle").alias("shingle"), "id", "size").join(mine.select("id", "c"), "id"), "rare-shingles")
+    groups = (
+        met.groupBy("shingle")
         .agg(
             F.count("*").alias("m"),
-            F.sum("n_shingles").alias("weight"),
+            F.sum("size").alias("weight"),
             F.min("c").alias("low"),
             F.max("c").alias("high"),
             F.sum(F.xxhash64("id") % (1 << 40)).alias("f1"),
             F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("f2"),
         )
-        .where("low <> high and m > 2")
-        .groupBy("m", "f1", "f2")  # the same members meet in many bands: once is enough
-        .agg(F.min("bucket").alias("bucket"), F.first("weight").alias("weight"))
+        .where("low <> high")
+        .groupBy("m", "f1", "f2")  # the same members meet by many shingles: once is enough
+        .agg(F.min("shingle").alias("shingle"), F.first("weight").alias("weight"))
         .select(
-            "bucket",
+            "shingle",
             F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
         )
     )
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    placed = labelled.join(open_, "bucket").select("bucket", "id", F.col("c").alias("component"), block.alias("block"), "blocks")
+    placed = met.join(groups, "shingle").select("shingle", "id", F.col("c").alias("component"), block.alias("block"), "blocks")
     paired = placed.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select(
-        "bucket", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "shingle", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     return (
-        paired.join(sets, "id")
-        .groupBy("bucket", "i", "j")
+        paired.join(mine.select("id", "shingles"), "id")
+        .groupBy("shingle", "i", "j")
         .applyInPandas(_block_links(percent), "a long, b long")
     )
 
