@@ -1,10 +1,10 @@
 """Token ids exactly as the tokenizers library gives them, from a cache of pre-tokens.
 
 The tokenizers used here cut a text into pre-tokens by a pattern and encode each on its own.
-Texts of plain letters, digits and punctuation are cut by Python's `re`, and every distinct
-pre-token goes through the library once per worker.  Texts with any other character (whose
-class the two pattern engines might see differently), and tokenizers with other rules, go
-through the library whole.
+Texts of plain letters, digits and punctuation are cut by Python's `re`, texts with any other
+character (whose class the two pattern engines might see differently) by the library's own
+normaliser and cutter.  Either way every distinct pre-token is encoded once per worker.  Only
+tokenizers with other rules go through the library whole.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ class Encoder:
         self.keep = keep
         self.as_kept = (lambda ids: len(ids)) if keep == "lengths" else (lambda ids: np.array(ids, "<u4").tobytes())
         self.letters = dict(enumerate(_byte_letters()))
+        self.bytes = {ord(c): b for b, c in self.letters.items()}
         self.cache = _Cache(known or {}, self._learn)
 
     def _learn(self, piece: str):
@@ -98,19 +99,30 @@ class Encoder:
         spelled = piece.encode().decode("latin-1").translate(self.letters)
         return self.as_kept([t.id for t in self.model.tokenize(spelled)])
 
+    def _cut_by_library(self, part: str) -> list[str]:
+        """Pre-tokens of a text of any script, whose letters for bytes are turned back into text."""
+        if self.library.normalizer is not None:
+            part = self.library.normalizer.normalize_str(part)
+        spelled = self.library.pre_tokenizer.pre_tokenize_str(part)
+        return [s.translate(self.bytes).encode("latin-1").decode() for s, _ in spelled]
+
+    def _cut(self, part: str, plain: bool) -> list[str]:
+        return self.cut(part.lower() if self.lower else part) if plain else self._cut_by_library(part)
+
     def pieces(self, text: str) -> list[str] | None:
         """Pre-tokens of a text, special strings among them; None: not cut here."""
-        if self.cut is None or _OTHER.search(text):
+        if self.cut is None:
             return None
+        plain = not _OTHER.search(text)
         parts = self.split.split(text) if self.split and "<|" in text else (text,)
         if len(parts) == 1:
-            return self.cut(text.lower() if self.lower else text)
+            return self._cut(text, plain)
         out: list[str] = []
         for part in parts:
             if part in self.specials:
                 out.append(part)
             elif part:
-                out += self.cut(part.lower() if self.lower else part)
+                out += self._cut(part, plain)
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator:
