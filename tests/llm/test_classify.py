@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,7 +15,7 @@ import pytest
 
 from tidemark.llm import language, queries, toxicity
 
-MEDIUM = "/root/testdata/sf0.01"
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, score string, spans int, k string, y int"
 
 
@@ -138,3 +141,110 @@ def test_language_edges(spark):
     assert {(50, "und"), (51, "und"), (52, "und"), (53, "en"), (None, "de"), (54, "de")} <= got and len(got) == 46
     assert language.identify(frame(spark, [])).collect() == []
     assert {r.lang_pred for r in language.identify(frame(spark, [(1, "abc", None)])).collect()} == {"und"}
+
+
+def plain_grams(t):
+    """n-grams of one to three characters by a plain walk, as the numbers that break ties."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in t or "")
+    words = letters.split(" ")
+    line = [0, *(x for w in words if w for x in [*map(ord, w), 0])]
+    if len(line) == 1:
+        return Counter()
+    out = Counter(c for c in line if c)
+    out.update((1 << 63) + (a << 21 | b) for a, b in zip(line, line[1:]))
+    out.update((a << 21 | b) << 21 | c for a, b, c in zip(line, line[1:], line[2:]))
+    return out
+
+
+def plain_ranks(counts):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.RANKS]]
+
+
+def test_language_query_equals_plain_python(spark):
+    """Profiles, out-of-place distances and choices over the whole table, by loops."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    own = {r.doc_id: plain_grams(r.text) for r in rows}
+    learnt: dict[str, Counter] = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            learnt.setdefault(r.lang, Counter()).update(own[r.doc_id])
+    profiles = {k: {g: n for n, g in enumerate(plain_ranks(c))} for k, c in learnt.items()}
+    for r in queries.QUERIES["op7_language_id"](spark, SMALL).collect():
+        mine = plain_ranks(own[r.doc_id])
+        if not mine:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        apart = {k: sum(abs(p[g] - n) if g in p else language.RANKS for n, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert r.lang_pred == best and abs(r.score - (1 - apart[best] / (language.RANKS * len(mine)))) < 1e-12
+
+
+def test_language_sample_is_chosen_in_levels(spark, monkeypatch):
+    """A hot language and repeated rows: the sample is bounded, the same however rows are dealt."""
+    monkeypatch.setattr(language, "SAMPLE", 5)
+    rows = [(i, f"word{i} text {i % 7}", "en" if i % 3 else "de") for i in range(300)] + [(1, "same again", "en")] * 200
+    found = [language.profiles(frame(spark, rows).repartition(n)) for n in (1, 9)]
+    assert found[0].keys() == found[1].keys() == {"en", "de"}
+    assert all((found[0][k] == found[1][k]).all() for k in found[0])
+
+
+def test_toxicity_scores_equal_token_by_token(spark):
+    """The chain walked word by word in plain Python, with the weights that the query learns."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    ((t00, t01), (t10, t11)) = model.transition.tolist()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        words = [(m.start(), m.group().lower()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+        table = toxicity._slots(np.concatenate([t.features[t.word] for t in toxicity.segments(pa.array([r.text]))])) if words else []
+        chain = [len(re.findall(rb"[\n!.?]", raw[:at])) for at, _ in words]
+        w = model.weights
+        marginals = []
+        for i, own in enumerate(table):
+            e = model.bias + sum(w[k] for k in own[: toxicity._KINDS])
+            if i and chain[i - 1] == chain[i]:
+                e += w[table[i - 1][toxicity._KINDS]]
+            if i + 1 < len(table) and chain[i + 1] == chain[i]:
+                e += w[table[i + 1][toxicity._KINDS + 1]]
+            marginals.append(e)
+        emission, marginals = marginals, [0.0] * len(marginals)
+        for first in [i for i in range(len(chain)) if not i or chain[i] != chain[i - 1]]:
+            last = first
+            while last + 1 < len(chain) and chain[last + 1] == chain[first]:
+                last += 1
+            forward = [(0.0, emission[first])]
+            for i in range(first + 1, last + 1):
+                a, b = forward[-1]
+                forward.append((np.logaddexp(a + t00, b + t10), emission[i] + np.logaddexp(a + t01, b + t11)))
+            back = (0.0, 0.0)
+            for i in range(last, first - 1, -1):
+                a, b = forward[i - first][0] + back[0], forward[i - first][1] + back[1]
+                marginals[i] = 1 / (1 + math.exp(min(700.0, a - b)))
+                c, d = back[0], emission[i] + back[1]
+                back = (np.logaddexp(t00 + c, t01 + d), np.logaddexp(t10 + c, t11 + d))
+        strongest = min(max([*marginals, 1e-4]), 1 - 1e-4)
+        total = sum(m for m in marginals if m > 0.05)
+        x = [1, math.log(strongest / (1 - strongest)), math.log1p(total), total / max(len(words), 1)]
+        score = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.blend, strict=True))))))
+        assert abs(got[r.doc_id] - score) < 1e-6
+
+
+def test_training_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "TRAINING_BYTES", 0)
+    assert not toxicity.fit(docs, labels).weights.any()
+
+
+def test_offsets_of_long_texts(spark):
+    """Spans late in a long text count characters, not bytes, and cost no walk from its start."""
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+
+    def spans(t):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], ["doc_id", "text"])
+        return next(toxicity._score(type("Shared", (), {"value": model}))(iter([batch]))).column("spans")[0].as_py()
+
+    toxic = next(r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").collect() if spans(r.text))
+    alone, shifted = spans(toxic), spans("é. " * 100_000 + toxic)
+    assert [(s["start"] + 300_000, s["end"] + 300_000) for s in alone] == [(s["start"], s["end"]) for s in shifted]
