@@ -115,8 +115,8 @@ def metrics_snapshot(
                 value, nothing.alias(other), nothing.alias("__age"), F.lit(0).alias("__v"), nothing.alias("__active")
             )
 
-        counts = rows.select(nothing.alias("__s"), nothing.alias("__d"), *states)
-        rows = counts.unionByName(newest("__s", "visible_ts_us")).unionByName(newest("__d", "violation_ts_us"))
+        plain = rows.select(nothing.alias("__s"), nothing.alias("__d"), *states)
+        rows = plain.unionByName(newest("__s", "visible_ts_us")).unionByName(newest("__d", "violation_ts_us"))
     out = snapshot_of(rows, by, extra=[a.alias(n) for n, (_, a) in counts.items()], size=size)
     if ready is not None:
         out = out.withColumns({f"{k}_ready": F.lit(v) for k, v in ready.items()})
