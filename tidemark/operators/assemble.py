@@ -29,6 +29,12 @@ ROW_TAGS = ("I", "U", "D")
 IGNORED_TAGS = ("O", "Y", "T")
 ALL_TAGS = (BEGIN, COMMIT, RELATION, *ROW_TAGS, *IGNORED_TAGS)
 
+# Complaints that dead letters of undecodable rows carry.
+NO_INSERT_TUPLE = "insert message has no new tuple"
+NO_UPDATE_TUPLE = "update message has no new tuple"
+NO_DELETE_TUPLE = "delete message has no old/key tuple"
+UNKNOWN_KIND = "unknown tuple data kind"
+
 CELL = "struct<kind:string,text:string,bin:binary>"
 MESSAGE_SCHEMA = (
     "slot string, msg_seq bigint, tag string, xid bigint, relation_id bigint, commit_lsn bigint, "
@@ -141,15 +147,15 @@ def _row_error() -> Column:
     )
     return (
         F.when(F.col("rel").isNull(), "unknown relation id")
-        .when((F.col("tag") == "I") & cells.isNull(), "insert message has no new tuple")
-        .when((F.col("tag") == "U") & cells.isNull(), "update message has no new tuple")
-        .when((F.col("tag") == "D") & cells.isNull(), "delete message has no old/key tuple")
+        .when((F.col("tag") == "I") & cells.isNull(), NO_INSERT_TUPLE)
+        .when((F.col("tag") == "U") & cells.isNull(), NO_UPDATE_TUPLE)
+        .when((F.col("tag") == "D") & cells.isNull(), NO_DELETE_TUPLE)
         .when(F.size(cells) != F.size(columns), "tuple and relation differ in columns")
         .when(
             (F.col("tag") == "U") & F.col("old_tuple").isNotNull() & (F.size("old_tuple") != F.size(columns)),
             "tuple and relation differ in columns",
         )
-        .when(unknown_kind, "unknown tuple data kind")
+        .when(unknown_kind, UNKNOWN_KIND)
         .when(bad_number, "invalid integer text")
     )
 

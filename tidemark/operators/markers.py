@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lsn import long_to_lsn
@@ -73,13 +73,14 @@ def markers_for(markers_: DataFrame, events: DataFrame) -> DataFrame:
     return markers_.filter(inside).join(events.select("event_id"), "event_id", "left_semi")
 
 
-def expired_markers(markers_: DataFrame, now_us: int, retention_s: int = 604_800) -> DataFrame:
-    return markers_.filter(F.col("commit_ts_us") < F.lit(now_us - retention_s * 1_000_000))
+def expired_markers(markers_: DataFrame, now_us: Column | int, retention_s: int = 604_800) -> DataFrame:
+    now = F.lit(now_us) if isinstance(now_us, int) else now_us
+    return markers_.filter(F.col("commit_ts_us") < now - retention_s * 1_000_000)
 
 
 def purge_markers(
     markers_: DataFrame,
-    now_us: int,
+    now_us: Column | int,
     retention_s: int = 604_800,
     *,
     max_rounds: int = 100,

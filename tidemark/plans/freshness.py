@@ -292,14 +292,14 @@ def event_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expired_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.marker_times(events(spark, sf_dir)).filter(F.col("marker_ts_us").isNotNull())
-    latest = rows.agg(F.max("commit_ts_us")).first()[0]
+    latest = rows.agg(F.max("commit_ts_us")).scalar()
     return markers.expired_markers(rows, latest).select("event_id", "commit_ts_us")
 
 
 def purge_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clean-up run of at most 3 x 1000 markers, oldest first."""
     rows = inputs.marker_times(events(spark, sf_dir)).filter(F.col("marker_ts_us").isNotNull())
-    latest = rows.agg(F.max("commit_ts_us")).first()[0]
+    latest = rows.agg(F.max("commit_ts_us")).scalar()
     return markers.purge_markers(rows, latest, max_rounds=3).select("event_id", "commit_ts_us")
 
 
@@ -317,8 +317,7 @@ def commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries after the middle of the delivery positions."""
     log = inputs.change_log(spark, sf_dir).select("arrival", "event_no")
-    span = log.agg(F.min("arrival"), F.max("arrival")).first()
-    return retention.read_range(log, (span[0] + span[1]) // 2)
+    return retention.read_range(log, log.agg(F.expr("(min(arrival) + max(arrival)) div 2")).scalar())
 
 
 def events_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
