@@ -181,8 +181,8 @@ def drop_repeated_lines(
     least `min_points` code points that at least `min_docs` rows hold lose their lines, except
     in the rows with the largest id that hold them.  A null or empty text is one empty line.  A
     null id counts as smaller than any other.  Rows with the same id are separate documents; if
-    it is the largest, all of them keep the line.  An empty table gives no rows; other columns
-    are ignored.
+    it is the largest, all of them keep the line.  Ids must be integers or read as such; texts of
+    any length are split whole.  An empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -334,7 +334,8 @@ def secrets(
     what they know.  The forest learns from at most SAMPLE findings of each class, chosen by a
     hash of their text.  Without findings of both classes the score is 0 or 1 by the rules, 0
     where they know nothing.  Null and empty texts have no candidate; a null id or path is
-    carried along; repeated rows give repeated findings; an empty table gives no rows.
+    carried along; repeated rows give repeated findings; ids must be integers or read as such;
+    texts of any length are searched whole; an empty table gives no rows; other columns are ignored.
     """
     found = find_candidates(docs, id_col, text_col, path_col)
     if findings is None:

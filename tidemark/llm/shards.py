@@ -123,7 +123,9 @@ def write_shards(
 ) -> Manifest:
     """Encodes all rows of `docs` in ascending order of ids into shard files.
 
-    Null text is empty; null ids come first; rows with the same id stay together, in one shard.
+    Null text is empty and has the end id alone; null ids come first; rows with the same id stay
+    together, in one shard.  Ids must be integers or read as such; texts of any length are encoded
+    whole; an empty table gives a manifest without files; other columns are ignored.
     """
     from tokenizers import Tokenizer
 
@@ -191,8 +193,9 @@ def _reader(manifest: Manifest):
 def read_documents(keys: DataFrame, manifest: Manifest, id_col: str = "doc_id") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files, by keyed access.
 
-    One row per stored document of every distinct id in `keys`; asking for an id that was
-    never written is an error.
+    One row per stored document of every distinct id in `keys`, null ids included; asking for an
+    id that was never written is an error.  Empty `keys` or an empty manifest give no rows; other
+    columns of `keys` are ignored.
     """
     if not manifest.names:
         return keys.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
