@@ -30,9 +30,9 @@ from tidemark.llm.text import slices
 SEGMENT = 1 << 19
 #: Pre-tokens one worker keeps, and the longest of them in characters.
 KEPT, LONGEST = 200_000, 48
-#: Pre-tokens of up to so many bytes are merged by looking at all their pairs, longer ones by a heap.
-SHORT = 64
-_NONE = 1 << 62
+#: Pre-tokens of up to so many bytes are merged side by side, so many at once; longer ones by a heap.
+SHORT, BESIDE = 64, 1 << 14
+_NONE = 1 << 40
 
 # What the cutting pattern calls white space, and the endings after an apostrophe.
 _WHITE = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -188,16 +188,16 @@ class Vocabulary:
             pieces[rank], self.sizes[rank] = piece, len(piece)
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.at = np.r_[0, np.cumsum(np.maximum(self.sizes, 0))]
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs: tuple[np.ndarray, np.ndarray] | None = None  # made when first needed
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: always the adjacent pair of lowest rank, leftmost first."""
+        """Ids of one pre-token of any length: always the adjacent pair of lowest rank, leftmost first."""
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        if n <= SHORT:
-            return self._merge_short(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # neighbours by first byte
         gone = bytearray(n + 1)
         best: dict[int, int] = {}  # the rank of the pair that begins here
@@ -233,19 +233,75 @@ class Vocabulary:
             at = after[at]
         return out
 
-    def _merge_short(self, piece: bytes) -> list[int]:
-        get = self.ranks.get
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        pairs = [get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (least := min(pairs)) < _NONE:
-            at = pairs.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = get(parts[at - 1] + parts[at], _NONE)
-            if at < len(pairs):
-                pairs[at] = get(parts[at] + parts[at + 1], _NONE)
-        return [self.ranks[p] for p in parts]
+    def _pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make a token, as sorted numbers, and the token of each."""
+        found = []
+        for piece, rank in self.ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    found.append((left << 32 | right, rank))
+        keys = np.array(found, np.int64).reshape(-1, 2)
+        keys = keys[np.argsort(keys[:, 0])]
+        return keys[:, 0].copy(), keys[:, 1].copy()
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, ranks = self.pairs
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, ranks[at], _NONE)
+
+    def _merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens of at most SHORT bytes, side by side: each round merges one pair of each."""
+        if self.pairs is None:
+            self.pairs = self._pair_table()
+        token = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        rank = np.full(len(token), _NONE)  # of the pair that begins here
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inside] = self._pair_ranks(token[inside], token[inside + 1])
+        done_token, done_owner = [], []
+        while len(token):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sizes = np.diff(np.r_[first, len(token)])
+            place = np.arange(len(token)) - np.repeat(first, sizes)
+            best = np.minimum.reduceat(rank * (2 * SHORT) + place, first)  # the lowest, then the leftmost
+            live = best < _NONE * 2 * SHORT
+            stays = np.repeat(live, sizes)
+            done_token.append(token[~stays])
+            done_owner.append(owner[~stays])
+            at = first[live] + best[live] % (2 * SHORT)
+            token[at] = best[live] // (2 * SHORT)
+            stays[at + 1] = False
+            at = np.cumsum(stays)[at] - 1
+            token, owner, rank = token[stays], owner[stays], rank[stays]
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(token) - 1)
+                pair = (left < right) & (owner[left] == owner[right])
+                rank[left] = np.where(pair, self._pair_ranks(token[left], token[right]), _NONE)
+        owners = np.concatenate(done_owner)
+        order = np.argsort(owners, kind="stable")
+        ids = np.concatenate(done_token)[order].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owners, minlength=len(pieces)))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Per pre-token its ids, as little-endian 32-bit numbers."""
+        out: list[bytes | None] = [None] * len(pieces)
+        short = []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(piece) <= SHORT:
+                short.append(k)
+            else:
+                out[k] = np.array(self.merge(piece), "<i4").tobytes()
+        for at in range(0, len(short), BESIDE):
+            some = short[at : at + BESIDE]
+            for k, ids in zip(some, self._merge_short([pieces[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
 
     def spread(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """The bytes of all tokens, each written from its place in `firsts` on."""
@@ -262,13 +318,19 @@ class Codec:
         self.vocabulary, self.scanner = vocabulary(name), Scanner()
         self.cache: dict[str, bytes] = {}
 
-    def _ids(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
-        if found is None:
-            found = np.array(self.vocabulary.merge(piece.encode()), "<i4").tobytes()
-            if len(piece) <= LONGEST and len(self.cache) < KEPT:
-                self.cache[piece] = found
-        return found
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each pre-token, from the cache; those that it lacks are merged together."""
+        parts = list(map(self.cache.get, pieces))
+        missing = list(dict.fromkeys(p for p, found in zip(pieces, parts, strict=True) if found is None))
+        if not missing:
+            return parts
+        new = dict(zip(missing, self.vocabulary.merge_all([p.encode() for p in missing]), strict=True))
+        for piece, ids in new.items():
+            if len(self.cache) >= KEPT:
+                break
+            if len(piece) <= LONGEST:
+                self.cache[piece] = ids
+        return [new[p] if found is None else found for p, found in zip(pieces, parts, strict=True)]
 
     def _cut(self, joined: str, ends: np.ndarray) -> tuple[list[str], np.ndarray, int]:
         """Pre-tokens of texts that each end with one character at `ends`; how many before each end.
@@ -322,7 +384,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the borders of the texts among them (one more than texts)."""
         pieces, counts = self.pieces(texts)
-        parts = list(map(self._ids, pieces))
+        parts = self._ids(pieces)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         return np.frombuffer(b"".join(parts), "<i4"), np.r_[0, np.r_[0, np.cumsum(sizes)][counts]]
 
