@@ -260,6 +260,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     classes = linked.join(least, "component").select(*KEY, "least")
     alone = nodes.select(*KEY, F.col("doc_id").alias("own"))
     classes = alone.join(classes, KEY, "left").select(*KEY, F.coalesce("least", "own").alias("component"))
+    # Written, so that the last join shuffles anew and large groups of copies can be split there.
+    classes = materialized(classes, "classes")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return sketch.join(classes, KEY, "left").select("doc_id", "row", "n_shingles", component.alias("component_id"))
 
