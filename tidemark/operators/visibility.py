@@ -84,8 +84,9 @@ def first_probes(
     if isinstance(probes, ProbeGrid):
         return events.withColumns({out: probes.first_at_or_after(F.col(at)) for out, at in wanted.items()})
     none = F.lit(None).cast("bigint")
+    # Columns go by number: a row of the line-up is an identity, a number and an instant.
     asked = F.array(
-        *[F.struct(F.lit(out).alias("out"), F.col(at).cast("bigint").alias("at")) for out, at in wanted.items()]
+        *[F.struct(F.lit(k).alias("out"), F.col(at).cast("bigint").alias("at")) for k, at in enumerate(wanted.values())]
     )
     instants = events.select(F.col(identity).alias("__id"), F.explode(asked).alias("__ask"))
     # Falling time; a probe stands before the instants that it answers, its own among them.
@@ -93,14 +94,14 @@ def first_probes(
         "__id", F.col("__ask.out").alias("__out"), none.alias("__probe"), (F.col("__ask.at") * -2).alias("__order")
     )
     marks = probes.instants.select(
-        F.lit(None).cast(events.schema[identity].dataType).alias("__id"), F.lit(None).cast("string").alias("__out"),
+        F.lit(None).cast(events.schema[identity].dataType).alias("__id"), F.lit(None).cast("int").alias("__out"),
         "__probe", (F.col("__probe") * -2 - 1).alias("__order"),
     )
     lined = running(
         instants.unionByName(marks), [], "__order", {"__first": ("min", F.col("__probe"))}, size=probes.size
     )
     answers = lined.filter(F.col("__out").isNotNull()).groupBy("__id").agg(
-        *[F.max(F.when(F.col("__out") == out, F.col("__first"))).alias(out) for out in wanted]
+        *[F.max(F.when(F.col("__out") == k, F.col("__first"))).alias(out) for k, out in enumerate(wanted)]
     )
     joined = events.join(answers, F.col(identity) == F.col("__id"), "left")
     return joined.select(*events.columns, *wanted)
@@ -120,6 +121,7 @@ def observations(
     *,
     slo_us: int = 1_000_000,
     guard: bool = True,
+    identity: str = "event_id",
 ) -> DataFrame:
     """One row per commit: when it was first seen visible, and whether it broke the SLO.
 
@@ -129,12 +131,16 @@ def observations(
       but no violation;
     * ``rejected_ts_us``: with ``guard``, the probe at which the event's age fell outside
       the accepted range while it was unresolved. Rejected events leave every count.
+
+    ``identity`` names a unique column by which irregular probes answer; a narrow one, such as a
+    number, saves most of what they shuffle.
     """
-    return measured(marker_status(commits, markers), probes, slo_us=slo_us, guard=guard)
+    return measured(marker_status(commits, markers), probes, slo_us=slo_us, guard=guard, identity=identity)
 
 
 def measured(
-    seen: DataFrame, probes: ProbeGrid | ProbeTimes, *, slo_us: int = 1_000_000, guard: bool = True
+    seen: DataFrame, probes: ProbeGrid | ProbeTimes, *, slo_us: int = 1_000_000, guard: bool = True,
+    identity: str = "event_id",
 ) -> DataFrame:
     """``observations`` of commits that carry ``marker_status`` and ``marker_ts_us`` already."""
     observed = F.col("observed_ts_us") if "observed_ts_us" in seen.columns else F.col("commit_ts_us")
@@ -152,7 +158,7 @@ def measured(
             {"__seen": observed, "__old": F.greatest(F.col("commit_ts_us") + MAX_AGE_US + 1, observed)}
         )
         wanted |= {"__seen_probe": "__seen", "__old_probe": "__old"}
-    seen = first_probes(seen, wanted, probes)
+    seen = first_probes(seen, wanted, probes, identity=identity)
     visible, late = F.col("visible_ts_us"), F.col("__late_probe")
     violated = late.isNotNull() & (visible.isNull() | (late < visible))
     if guard:

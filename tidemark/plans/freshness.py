@@ -75,7 +75,7 @@ def guarded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular probes with the commit-time guard, summed up per outcome."""
     rows = events(spark, sf_dir)
     probes = looks(spark, sf_dir)
-    obs = visibility.observations(rows, inputs.marker_table(rows), probes, slo_us=inputs.SLO_US)
+    obs = visibility.observations(rows, inputs.marker_table(rows), probes, slo_us=inputs.SLO_US, identity="event_no")
     outcome = (
         F.when(F.col("visible_ts_us").isNotNull(), "visible")
         .when(F.col("rejected_ts_us").isNotNull(), "rejected")
