@@ -33,12 +33,15 @@ def _clean(df: DataFrame, clean: DataFrame | None, key: str) -> tuple[DataFrame,
     return judged, [shown.alias("document_clean")], shown
 
 
-def hop_latencies(events: DataFrame, indexer_log: DataFrame, sample_log: DataFrame, slo_ms: float = 1000.0) -> DataFrame:
+def hop_latencies(
+    events: DataFrame, indexer_log: DataFrame, sample_log: DataFrame, slo_ms: float = 1000.0, *, keep: Sequence[str] = ()
+) -> DataFrame:
     """Every event's hops as the services logged them, and whether they show it in time.
 
     ``events`` has (event_id, key, commit_lsn); the logs are parsed lines (``parse_log_lines``) with
     ``line_no``. A hop is found by the document and position in the record; of several lines the
     first counts, and a line that is missing or unreadable leaves the hop null and the event failed.
+    ``keep`` names columns of ``events`` to hand on.
     """
     def first(log: DataFrame, fields: dict[str, str]) -> DataFrame:
         record = F.col("record")
@@ -55,7 +58,7 @@ def hop_latencies(events: DataFrame, indexer_log: DataFrame, sample_log: DataFra
     on = ["__document", "commit_lsn"]
     way = events.withColumn("__document", F.col("key").cast("string")).join(indexed, on, "left").join(sampled, on, "left")
     passed = F.col("queue_ms").isNotNull() & F.coalesce(F.col("staleness_ms") <= slo_ms, F.lit(False))
-    return way.select("event_id", "queue_ms", "processing_ms", "staleness_ms", passed.alias("passed"))
+    return way.select("event_id", *keep, "queue_ms", "processing_ms", "staleness_ms", passed.alias("passed"))
 
 
 def trace_events(

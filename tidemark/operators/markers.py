@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,16 @@ def markers(classified: DataFrame, key: str = "key") -> DataFrame:
     )
 
 
-def marker_state(marker_log: DataFrame, *, first_outcome: bool = False) -> DataFrame:
-    """One marker per event: the outcome of its last delivery, or of its first."""
-    rest = [c for c in MARKER_COLUMNS if c != "event_id"]
+def marker_state(
+    marker_log: DataFrame, *, first_outcome: bool = False, columns: Sequence[str] = (*MARKER_COLUMNS, "arrival")
+) -> DataFrame:
+    """One marker per event: the outcome of its last delivery, or of its first.
+
+    Only ``columns`` cross the network besides the delivery's place.
+    """
+    rest = [c for c in columns if c != "event_id"]
     pick = F.min_by if first_outcome else F.max_by
-    chosen = pick(F.struct(*rest, "arrival"), F.col("arrival")).alias("__m")
+    chosen = pick(F.struct(*rest), F.col("arrival")).alias("__m")
     return marker_log.groupBy("event_id").agg(chosen).select("event_id", "__m.*")
 
 

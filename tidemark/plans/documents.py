@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,9 +136,9 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mk.outcome_counts(mk.markers(classified(spark, sf_dir)))
 
 
-def stored_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits whose marker was written, with the outcome of the first delivery."""
-    outcome = mk.marker_state(mk.markers(classified(spark, sf_dir)), first_outcome=True)
+def stored_markers(spark: SparkSession, sf_dir: str, columns: Sequence[str] = (*mk.MARKER_COLUMNS, "arrival")) -> DataFrame:
+    """Commits whose marker was written, with the outcome of the first delivery; of it those ``columns``."""
+    outcome = mk.marker_state(mk.markers(classified(spark, sf_dir)), first_outcome=True, columns=columns)
     written = inputs.marker_table(inputs.with_identity(inputs.commits(spark, sf_dir)))
     return written.join(outcome.drop("commit_lsn"), "event_id")
 
