@@ -109,30 +109,53 @@ class VersionedTable:
         depths = [r[0] for r in rows.select(DEPTH).distinct().collect()]  # at most MAX_DEPTH + 1, from folder names
         tests = []
         for depth in depths:
+            if depth == 0:
+                # One bucket holds every key: nothing to look up.
+                tests.append((F.col(DEPTH) == 0) & (F.col(BUCKET) == 0))
+                continue
             bucket = F.shiftright(self._hash(), MAX_DEPTH - depth)
             listed = [r[0] for r in wanted.select(bucket).distinct().limit(LISTED + 1).collect()]
             here = F.col(DEPTH) == depth
             tests.append(here if len(listed) > LISTED else here & F.col(BUCKET).isin(listed))
         return rows.filter(reduce(lambda a, b: a | b, tests)) if tests else rows
 
-    def as_of(self, version: int | None = None, *, only: DataFrame | None = None) -> DataFrame:
+    def _empty(self, fields: Sequence[StructField]) -> DataFrame:
+        # No createDataFrame: that starts Python workers to read nothing.
+        return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).limit(0)
+
+    def as_of(
+        self, version: int | None = None, *, only: DataFrame | None = None, columns: Sequence[str] | None = None
+    ) -> DataFrame:
         """The newest row of each key among versions up to ``version``.
 
         ``only`` (a frame of keys) leaves the other buckets unread, and the rest of its own out
-        of the aggregation.
+        of the aggregation. ``columns`` are those wanted; no other is read or shuffled but the keys.
         """
+        wide = self.schema.names if columns is None else list(columns)
         rows = self._needed(version)
         if rows is None:
-            return self.spark.createDataFrame([], self.schema)
+            return self._empty([self.schema[c] for c in wide])
         if only is not None:
             wanted = only.select(*self.keys)
             rows = self._touched(rows, wanted).join(wanted, self.keys, "left_semi")
-        return self._newest(rows)
+        return self._newest(rows, wide)
+
+    def changes(self, version: int) -> DataFrame:
+        """Rows that the state as of ``version`` is made of, several of a key, with their ``version``."""
+        rows = self._needed(version)
+        fields = [*self.schema.fields, StructField("version", LongType())]
+        return self._empty(fields) if rows is None else rows.select(*[f.name for f in fields])
+
+    def delta(self, version: int) -> DataFrame:
+        """The rows that ``append`` wrote for ``version``."""
+        return self.spark.read.schema(self.schema).parquet(self._folder("delta", version)).select(*self.schema.names)
 
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        rest = [c for c in self.schema.names if c not in self.keys]
+    def _newest(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        rest = [c for c in columns if c not in self.keys]
+        if not rest:
+            return rows.select(*self.keys).distinct().select(*columns)
         newest = F.max_by(F.struct(*rest), F.col("version")).alias("__row")
-        return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "__row.*").select(*self.schema.names)
+        return rows.groupBy(*self.keys).agg(newest).select(*self.keys, "__row.*").select(*columns)
 
     def compact(self, version: int, *, keep: Column | None = None) -> None:
         """Write the full state as of ``version`` as a base that later reads start from.
@@ -159,7 +182,8 @@ class VersionedTable:
     def part_as_of(self, part: int, version: int) -> DataFrame:
         """The newest row of each key of one part; other parts' folders are not read."""
         rows = self._needed(version)
-        return self.spark.createDataFrame([], self.schema) if rows is None else self._newest(rows.filter(F.col(PART) == part))
+        names = self.schema.names
+        return self._empty(self.schema.fields) if rows is None else self._newest(rows.filter(F.col(PART) == part), names)
 
     def _holders(self, part: int) -> list[tuple[str, int]]:
         rows = self._versions().filter(F.col(PART) == part)

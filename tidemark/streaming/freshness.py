@@ -61,27 +61,30 @@ class FreshnessStore:
         return found.asDict() if found else dict.fromkeys(TOTALS)
 
     def _merged(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Unsettled events with what the batch tells: the first commit, and the newest marker until settled."""
-        old = self.events.as_of(batch_id - 1).filter(F.col("state") != "done")
-        kept = old.select(
-            "event_id", F.when(F.col("commit_ts_us").isNotNull(), F.struct("lsn", "seq", "commit_ts_us")).alias("commit"),
-            F.when(F.col("marker_ts_us").isNotNull(), F.struct("marker_ts_us", "marker_lsn")).alias("marker"),
-            "state", "violated", F.lit(False).alias("told"),
-        )
+        """Unsettled events with what the batch tells: the first commit, and the newest marker until settled.
+
+        State rows of all versions and the batch's facts meet in one aggregation, so that each
+        crosses the network once. ``told_us`` is the newest time that the batch told of the event.
+        """
+        held = self.events.changes(batch_id - 1)
+        kept = held.select("event_id", "version", F.struct(*[c for c in held.columns if c not in ("event_id", "version")]).alias("held"))
         told = batch.select(
             "event_id", F.when(F.col("commit_ts_us").isNotNull(), F.struct("lsn", "seq", "commit_ts_us")).alias("commit"),
             F.when(F.col("marker_ts_us").isNotNull(), F.struct("marker_ts_us", F.col("lsn").alias("marker_lsn"))).alias("marker"),
-            F.lit(None).cast("string").alias("state"), F.lit(None).cast("boolean").alias("violated"), F.lit(True).alias("told"),
+            F.greatest("commit_ts_us", "marker_ts_us").alias("told_us"), F.lit(True).alias("told"),
         )
-        both = kept.unionByName(told).groupBy("event_id").agg(
-            F.min("commit").alias("commit"), F.max("marker").alias("marker"),
-            F.max(F.when(F.col("state") == "settled", F.col("marker"))).alias("settled_by"),
-            F.max("state").alias("before"), F.max("violated").alias("was_violated"), F.max("told").alias("told"),
+        both = kept.unionByName(told, allowMissingColumns=True).groupBy("event_id").agg(
+            F.max_by("held", "version").alias("held"), F.min("commit").alias("commit"), F.max("marker").alias("marker"),
+            F.max("told_us").alias("told_us"), F.coalesce(F.max("told"), F.lit(False)).alias("told"),
         )
-        marker = F.coalesce("settled_by", "marker")
-        return both.select(
-            "event_id", "commit.*", marker["marker_lsn"].alias("marker_lsn"), marker["marker_ts_us"].alias("marker_ts_us"),
-            "before", F.coalesce("was_violated", F.lit(False)).alias("was_violated"), "told",
+        both = both.withColumn("held", F.when(F.col("held.state") != "done", F.col("held"))).filter("told OR held IS NOT NULL")
+        held_commit = F.when(F.col("held.commit_ts_us").isNotNull(), F.struct("held.lsn", "held.seq", "held.commit_ts_us"))
+        held_marker = F.when(F.col("held.marker_ts_us").isNotNull(), F.struct("held.marker_ts_us", "held.marker_lsn"))
+        settled_by = F.when(F.col("held.state") == "settled", held_marker)
+        marker = F.coalesce(settled_by, F.greatest(held_marker, "marker"))
+        return both.withColumns({"commit": F.least(held_commit, "commit"), "marker": marker}).select(
+            "event_id", "commit.*", F.col("marker.marker_lsn").alias("marker_lsn"), F.col("marker.marker_ts_us").alias("marker_ts_us"),
+            F.col("held.state").alias("before"), F.coalesce("held.violated", F.lit(False)).alias("was_violated"), "told", "told_us",
         )
 
     def _judged(self, merged: DataFrame, now: Column) -> DataFrame:
@@ -108,12 +111,15 @@ class FreshnessStore:
         if self.ledger.last() >= batch_id:
             return
         before = self._before(batch_id)
-        merged = self._merged(batch, batch_id)
-        told = batch.agg(F.max(F.greatest("commit_ts_us", "marker_ts_us"))).first()[0]
+        merged = materialized(self._merged(batch, batch_id), "merged")
+        known = merged.agg(F.max("told_us").alias("told_us"), F.count(F.lit(1)).alias("rows")).first()
+        told = known["told_us"]
         times = [t for t in (before["now_us"], told) if t is not None]
         now_us = max(times) if times else 0
         now = F.lit(now_us).cast("bigint")
-        at = materialized(self._judged(merged, now), "judged")  # read by every table below
+        # An event that is settled and not told again stays as it is; it is only forgotten some day.
+        idle = (F.col("before").eqNullSafe("settled")) & ~F.col("told")
+        at, resting = materialized(self._judged(merged.filter(~idle), now), "judged"), merged.filter(idle)  # read by every table below
 
         counted = at.agg(
             F.count(F.lit(1)).alias("rows"),
@@ -124,16 +130,20 @@ class FreshnessStore:
         reached = F.col("after") == "settled"
         if counted["oldest_open"] is not None:
             reached = reached & (F.col("lsn") < counted["oldest_open"])
-        upto = at.agg(F.max(F.when(reached, F.col("lsn")))).first()[0]
+        settled = at.select("lsn", "after").unionByName(resting.select("lsn", F.lit("settled").alias("after")))
+        upto = settled.agg(F.max(F.when(reached, F.col("lsn")))).first()[0]
         frontier = max((x for x in (before["frontier_lsn"], upto) if x is not None), default=None)
 
-        done = (F.col("after") == "done") | ((F.col("after") == "settled") & (F.col("lsn") <= (-1 if frontier is None else frontier)))
+        passed = F.col("lsn") <= (-1 if frontier is None else frontier)
+        done = (F.col("after") == "done") | ((F.col("after") == "settled") & passed)
         state = F.when(done, "done").otherwise(F.col("after"))
         violated = F.coalesce("is_violation", F.lit(False))
         changed = at.withColumns({"state": state, "violated": violated}).filter(
             F.col("told") | ~F.col("state").eqNullSafe(F.col("before")) | (F.col("violated") != F.col("was_violated"))
         )
-        self.events.append(changed, batch_id, at_most=counted["rows"])
+        gone = resting.filter(passed).withColumns({"state": F.lit("done"), "violated": F.col("was_violated")})
+        names = self.events.schema.names
+        self.events.append(changed.select(*names).unionByName(gone.select(*names)), batch_id, at_most=known["rows"])
         first_seen = F.coalesce(F.col("before") != "settled", F.lit(True))
         samples = self._newest(self.samples, at.filter(F.col("is_sample") & first_seen), "visible_ts_us", "staleness_us", batch_id)
         new = at.filter(F.col("is_violation") & ~F.col("was_violated"))
