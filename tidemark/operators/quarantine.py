@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lsn import lsn_to_long
 from tidemark.functions.presence import unreadable
-from tidemark.operators.prefix import running
+from tidemark.operators.prefix import hot_keys, running
 from tidemark.operators.sizing import DEFAULT, Sizing
 
 MAX_ATTEMPTS = 5
@@ -59,7 +60,12 @@ def delivery_attempts(deliveries: DataFrame, *, size: Sizing = DEFAULT) -> DataF
 
 def attempt_runs(deliveries: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
     """``delivery_attempts`` with ``run``, the number of the message's successes before the delivery."""
-    size = size.bounded(deliveries, "attempt_ts_us")
+    size = replace(size, at_most=size.rows(deliveries))
+    if hot_keys(deliveries, ["message_id"], size) is None:
+        # No message has more rows than a chunk, so none of its runs has: the plain window does for both.
+        size = replace(size, at_most=0)
+    else:
+        size = size.bounded(deliveries, "attempt_ts_us")
     runs = running(
         deliveries, ["message_id"], "attempt_ts_us",
         {"run": ("sum", F.col("ok").cast("bigint"))}, inclusive=False, size=size,

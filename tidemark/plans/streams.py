@@ -99,7 +99,7 @@ def stream_attempt_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_reclaimable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is pending and idle an hour after the newest delivery, from the delivery state."""
     store = _delivered(spark, sf_dir)
-    latest = store.current_attempts().agg(F.max("attempt_ts_us")).first()[0]
+    latest = store.newest_attempt()
     found = store.reclaimable(latest + 3_600_000_000, count=None)
     return found.select(F.col("message_id").cast("bigint").alias("message_id"), "delivered_ts_us")
 

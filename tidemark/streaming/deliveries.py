@@ -47,7 +47,8 @@ class DeliveryStore:
             counted = counted.withColumn("attempt", F.col("attempt") + carried).drop("run", "__before")
             self.attempts.append(counted, batch_id, at_most=at_most)
             now = F.max_by(F.struct("attempt", "ok"), "attempt_ts_us").alias("last")
-            latest = counted.groupBy("message_id").agg(now, F.max("attempt_ts_us").alias("delivered_ts_us"))
+            # Read back as written: the attempts are not counted a second time.
+            latest = self.attempts.delta(batch_id).groupBy("message_id").agg(now, F.max("attempt_ts_us").alias("delivered_ts_us"))
             state = latest.select(
                 "message_id", F.when(F.col("last.ok"), 0).otherwise(F.col("last.attempt")).cast("bigint").alias("attempts"),
                 "delivered_ts_us", F.col("last.ok").alias("acked"),
@@ -67,6 +68,10 @@ class DeliveryStore:
         """Every delivery with the number of its attempt."""
         return self.attempts.as_of(self.ledger.last())
 
+    def newest_attempt(self) -> int | None:
+        """When the newest delivery was. Its instant is part of the key, so versions need not be told apart."""
+        return self.attempts.changes(self.ledger.last()).agg(F.max("attempt_ts_us")).first()[0]
+
     def current_dead_letters(self, stream: str, *, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
         return dead_letters(self.current_attempts(), stream, max_attempts=max_attempts)
 
