@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,17 +207,20 @@ def incremental_apply(
     tie: str = "first",
     insert_mode: str = "replace",
     size: Sizing = DEFAULT,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One batch on top of stored documents: (changed documents, classified batch).
 
     Only keys with an applied change come back, so the caller appends a delta instead of
-    rewriting the snapshot. Stored rows are semi-joined to the batch's keys first.
+    rewriting the snapshot. Stored rows are semi-joined to the batch's keys first. ``judge``
+    keeps the classified batch for both results, such as by caching it.
     """
     touched = batch.select(*keys).distinct()
     stored = snapshot.join(touched, list(keys), "left_semi")
     judged = classify_events(
         batch, keys, seed=stored, tie=tie, size=size
     )
+    judged = judged if judge is None else judge(judged)
     applied = judged.filter(F.col("result") == APPLIED)
     columns = [*keys, "op", "lsn", "seq", *fields]
     base = documents_as_changes(stored).select(*columns, F.lit(False).alias("__new"))

@@ -415,7 +415,7 @@ def recovery_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = _store_after_stream(spark, sf_dir).current_markers()
+    current = _store_after_stream(spark, sf_dir).current_markers(["op", "result"])
     return current.groupBy("op", "result").agg(F.count("*").alias("markers"))
 
 

@@ -112,9 +112,8 @@ def stream_batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_expired_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers left in the store after one clean-up of at most 3000: days lose their folders, oldest first."""
     store = pipeline._store_after_stream(spark, sf_dir)
-    latest = store.current_markers().agg(F.max("commit_ts_us")).first()[0]
-    store.expire_markers(latest - 604_800_000_000, max_markers=3_000)
-    return store.current_markers().select("event_id", "commit_ts_us")
+    store.expire_markers(store.newest_commit() - 604_800_000_000, max_markers=3_000)
+    return store.current_markers(["event_id", "commit_ts_us"])
 
 
 QUERIES = {

@@ -56,25 +56,27 @@ class DocumentStore:
         kept = ("reason", F.when(F.col("reason").isNotNull(), F.col("event")).alias("event"))
         # Parsed once: the cached rows are flat, and only failed ones still carry their text.
         rows = flatten_events(judged, self.fields, kept, key_type=self.key_type).persist()
+        outcomes = None
         try:
             at_most = rows.count()
             size = Sizing(at_most=at_most)
-            batch = rows.filter(F.col("reason").isNull()).drop("reason", "event")
+            failed = rows.filter(F.col("reason").isNotNull())
+            failed = failed.select("message_id", "arrival", "event", F.col("reason").alias("error"))
+            self.failures.append(failed, batch_id, at_most=at_most)
+            batch = rows.filter(F.col("reason").isNull()).drop("message_id", "xid", "published_ts_us", "reason", "event")
             touched = batch.select("key").distinct()
             stored = self.documents.as_of(batch_id - 1, only=touched)
-            changed, outcomes = incremental_apply(stored, batch, fields=list(self.fields), size=size)
+            # Outcomes make documents and markers; classified once.
+            changed, outcomes = incremental_apply(stored, batch, fields=list(self.fields), size=size, judge=DataFrame.persist)
             self.documents.append(changed, batch_id, at_most=at_most)
             # Counted while the markers are written, not by a pass of its own.
             work = Observation()
             applied = F.count_if(F.col("result") == "applied")
-            outcomes = outcomes.observe(
+            told = outcomes.observe(
                 work, F.count(F.lit(1)).alias("processed_events"), applied.alias("document_writes"),
                 F.count(F.lit(1)).alias("marker_writes"),
             )
-            self.markers.append(marker_state(markers(outcomes)), batch_id, at_most=at_most)
-            failed = rows.filter(F.col("reason").isNotNull())
-            failed = failed.select("message_id", "arrival", "event", F.col("reason").alias("error"))
-            self.failures.append(failed, batch_id, at_most=at_most)
+            self.markers.append(marker_state(markers(told)), batch_id, at_most=at_most)
             if compact_every and batch_id and batch_id % compact_every == 0:
                 for table in (self.documents, self.markers, self.failures):
                     table.compact(batch_id)
@@ -85,13 +87,22 @@ class DocumentStore:
                     table.vacuum(batch_id)
                 self.ledger.vacuum()
         finally:
+            if outcomes is not None:
+                outcomes.unpersist()
             rows.unpersist()
 
     def current_documents(self) -> DataFrame:
         return self.documents.as_of(self.ledger.last())
 
-    def current_markers(self) -> DataFrame:
-        return self.markers.as_of(self.ledger.last())
+    def current_markers(self, columns: Sequence[str] | None = None) -> DataFrame:
+        """The newest marker of each event; of ``columns`` alone where only those are wanted."""
+        return self.markers.as_of(self.ledger.last(), columns=columns)
+
+    def newest_commit(self) -> int | None:
+        """The newest commit that a marker is held of, from the folders of its day alone."""
+        last = self.ledger.last()
+        days = self.markers.parts(last)
+        return self.markers.part_as_of(days[-1][0], last).agg(F.max("commit_ts_us")).first()[0] if days else None
 
     def current_failures(self) -> DataFrame:
         return self.failures.as_of(self.ledger.last())
