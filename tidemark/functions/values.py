@@ -25,7 +25,7 @@ def decode_value(kind: Column, oid: Column, text: Column, binary: Column) -> Col
     decoded = (
         F.when(oid.isin(*INTEGER_OIDS), integer).when(oid == BOOLEAN_OID, boolean).otherwise(text)
     )
-    return F.when(kind == KIND_TEXT, decoded).when(kind == KIND_BINARY, F.lower(F.hex(binary)))
+    return F.when(kind == KIND_TEXT, decoded).when(kind == KIND_BINARY, F.translate(F.hex(binary), "ABCDEF", "abcdef"))
 
 
 def bad_integer(cell: Column, column: Column) -> Column:
@@ -37,24 +37,23 @@ def bad_integer(cell: Column, column: Column) -> Column:
 
 def decode_row(columns: Column, cells: Column) -> Column:
     """``MAP<name, text>`` of the fields that were sent; unchanged fields have no entry."""
-    pairs = F.zip_with(
+    sent = F.zip_with(
         columns,
         cells,
-        lambda spec, cell: F.struct(
-            spec.getField("name").alias("name"),
-            decode_value(
-                cell.getField("kind"),
-                spec.getField("type_oid"),
-                cell.getField("text"),
-                cell.getField("bin"),
-            ).alias("value"),
-            cell.getField("kind").alias("kind"),
+        lambda spec, cell: F.when(
+            cell.getField("kind") != KIND_UNCHANGED,
+            F.struct(
+                spec.getField("name").alias("name"),
+                decode_value(
+                    cell.getField("kind"),
+                    spec.getField("type_oid"),
+                    cell.getField("text"),
+                    cell.getField("bin"),
+                ).alias("value"),
+            ),
         ),
     )
-    sent = F.filter(pairs, lambda p: p.getField("kind") != KIND_UNCHANGED)
-    return F.map_from_entries(
-        F.transform(sent, lambda p: F.struct(p.getField("name"), p.getField("value")))
-    )
+    return F.map_from_entries(F.array_compact(sent))
 
 
 def typed_row(row: Column, types: Mapping[str, str]) -> Column:
@@ -68,7 +67,6 @@ def typed_row(row: Column, types: Mapping[str, str]) -> Column:
 
 def key_map(columns: Column, row: Column) -> Column:
     """The entries of ``row`` that belong to key columns."""
-    names = F.transform(
-        F.filter(columns, lambda c: c.getField("is_key")), lambda c: c.getField("name")
-    )
-    return F.map_filter(row, lambda name, _: F.array_contains(names, name))
+    mine = F.filter(columns, lambda c: c.getField("is_key") & F.map_contains_key(row, c.getField("name")))
+    entries = F.transform(mine, lambda c: F.struct(c.getField("name"), row[c.getField("name")]))
+    return F.when(row.isNotNull(), F.map_from_entries(entries))

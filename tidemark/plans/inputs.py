@@ -161,7 +161,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             token(7, "C", first & (xid % 41 != 40)),
         )
     )
-    out = rows.withColumn("m", F.explode(tokens))
+    # An event's tuples are made beside its tokens, before they are told apart: tuples and messages in
+    # one projection compile to a method that is too large for the JVM to translate.
+    made = rows.select(
+        "xid", "lsn", "commit_ts_us", tokens.alias("tokens"), relation.alias("relation"),
+        F.when(F.col("op") != "d", new_tuple).alias("new"), F.when(F.col("op") == "d", key_tuple).alias("old"),
+    )
+    out = made.withColumn("m", F.explode("tokens"))
     tag = F.col("m.tag")
     is_row = tag.isin("I", "U", "D")
     return out.select(
@@ -169,14 +175,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("m.msg_seq").alias("msg_seq"),
         tag.alias("tag"),
         F.when(tag == "B", xid).alias("xid"),
-        F.when(tag == "R", F.lit(RELATION_ID).cast("bigint")).when(is_row, relation).alias("relation_id"),
+        F.when(tag == "R", F.lit(RELATION_ID).cast("bigint")).when(is_row, F.col("relation")).alias("relation_id"),
         F.when(tag == "C", F.col("lsn")).alias("commit_lsn"),
         F.when(tag == "C", F.col("commit_ts_us") - 946_684_800_000_000).alias("commit_ts_us"),
         F.when(tag == "R", SCHEMA).alias("schema"),
         F.when(tag == "R", TABLE).alias("table"),
         F.when(tag == "R", _columns(two)).alias("rel_columns"),
-        F.when(tag.isin("I", "U"), new_tuple).alias("new_tuple"),
-        F.when(tag == "D", key_tuple).alias("old_tuple"),
+        F.when(tag.isin("I", "U"), F.col("new")).alias("new_tuple"),
+        F.when(tag == "D", F.col("old")).alias("old_tuple"),
         F.when(is_row, F.col("commit_ts_us")).alias("captured_ts_us"),
     )
 
