@@ -161,10 +161,13 @@ def _row_error() -> Column:
 
 
 def decode_tuples(resolved: DataFrame) -> DataFrame:
-    """Add ``error`` (null when fine) and ``row``, the decoded fields by name."""
+    """Add ``error`` (null when fine) and ``row``, the decoded fields by name.
+
+    ``row`` is a plain column, so that nothing is decoded for a caller that does not look at it.
+    """
     checked = with_once(resolved, "error", _row_error())
     decoded = decode_row(F.col("rel.rel_columns"), _tuple())
-    return with_once(checked, "row", F.when(F.col("error").isNull(), decoded))
+    return checked.withColumn("row", F.when(F.col("error").isNull(), decoded))
 
 
 def message_errors(messages: DataFrame, *, size: Sizing = DEFAULT) -> DataFrame:
@@ -215,7 +218,7 @@ def assemble_transactions(
     identity = [F.lit(db), F.col("rel.schema"), F.col("rel.table"), lsn_text, F.col("txn_xid"), seq]
     named = event_id(*identity)
     if emit_key_change_delete:
-        placed = with_once(placed, "old", F.when(F.col("tag") == "U", decode_row(F.col("rel.rel_columns"), F.col("old_tuple"))))
+        placed = placed.withColumn("old", F.when(F.col("tag") == "U", decode_row(F.col("rel.rel_columns"), F.col("old_tuple"))))
         keys = [F.map_entries(key_map(F.col("rel.rel_columns"), F.col(c))) for c in ("old", "row")]
         moved = F.coalesce(keys[0] != keys[1], F.lit(False))
         # The update itself, and before it the deletion under the old key.
