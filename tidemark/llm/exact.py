@@ -21,6 +21,9 @@ HEAVY_SHARE = 1e-3
 TRACKED = 8192
 TOP = 2048
 _SALTS = 64
+#: Copies to be dropped up to which their ids and digests (some 100 bytes each) are broadcast, so that
+#: no text is moved; more of them are joined in the ordinary way.
+BROADCAST_COPIES = 1 << 20
 
 
 def digest(text: str) -> Column:
@@ -90,6 +93,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def at(keys: DataFrame) -> tuple[DataFrame, Column]:
         side = keys.select(F.col("doc_id").alias(other[0]), F.col("digest").alias(other[1]))
+        side = F.broadcast(side) if keys.count() <= BROADCAST_COPIES else side
         return side, F.col(own[0]).eqNullSafe(F.col(other[0])) & (F.col(own[1]) == F.col(other[1]))
 
     copies, same = at(judged.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).distinct())

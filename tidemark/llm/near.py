@@ -10,8 +10,9 @@
    the others, so there are fewer candidates than members.  Candidates are confirmed on full sets.
 4. Links a star cannot see lie in buckets that still hold several components.  Their members
    alone are brought together once more, by their rarest shingles (prefix filter), and compared
-   in blocks of bounded size inside tasks; what leaves a task is confirmed links only.  So no
-   pair of a bucket is lost, and there is no cap.
+   in blocks of bounded size inside tasks; what leaves a task is confirmed links only.  Meetings
+   that overlap are held as one where they fit a block, so that a set is sent to few of them.  So
+   no pair of a bucket is lost, and there is no cap.
 """
 
 from __future__ import annotations
@@ -188,29 +189,49 @@ def _unresolved(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
             F.max("c").alias("high"),
             F.sum(F.xxhash64("id") % (1 << 40)).alias("f1"),
             F.sum(F.xxhash64("id", F.lit(1)) % (1 << 40)).alias("f2"),
+            F.min("id").alias("anchor"),
         )
         .where("low <> high")
         .groupBy("m", "f1", "f2")  # the same members meet by many shingles: once is enough
-        .agg(F.min("shingle").alias("shingle"), F.first("weight").alias("weight"))
+        .agg(F.min("shingle").alias("shingle"), F.first("weight").alias("weight"), F.first("anchor").alias("anchor"))
         .select(
             "shingle",
+            "anchor",
             F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
         )
     )
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    placed = met.join(groups, "shingle").select("shingle", "id", F.col("c").alias("component"), block.alias("block"), "blocks")
-    paired = placed.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "shingle", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    placed = met.join(groups, "shingle").select("shingle", "id", F.col("c").alias("component"), "size", "anchor", block.alias("block"), "blocks")
+    paired = _meetings(materialized(placed, "meetings"))
     return (
         paired.join(mine.select("id", "shingles"), "id")
-        .groupBy("shingle", "i", "j")
+        .groupBy("whole", "key", "i", "j")
         .applyInPandas(_block_links(percent), "a long, b long")
     )
 
 
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Who is compared with whom: rows of one (whole, key, i, j) meet, each taking its set there.
+
+    Meetings by different shingles overlap, and a set would be sent to each of them.  Those with the
+    same smallest id are held as one wherever their members fit one block; the others stay apart,
+    cut into pairs of blocks.  So no two that met are separated, and no set is sent more often.
+    """
+    guests = placed.groupBy("anchor", "id").agg(F.first("component").alias("component"), F.first("size").alias("size"))
+    fits = guests.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    fits = fits.where((F.col("n") <= BLOCK_MEMBERS) & (F.col("shingles") <= BLOCK_SHINGLES)).select("anchor")
+    zero = F.lit(0)
+    one = guests.join(fits, "anchor", "left_semi").select(
+        F.lit(True).alias("whole"), F.col("anchor").alias("key"), "id", "component", zero.alias("block"), zero.alias("i"), zero.alias("j")
+    )
+    many = placed.join(fits, "anchor", "left_anti").withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    many = many.select(
+        F.lit(False).alias("whole"), F.col("shingle").alias("key"), "id", "component", "block",
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    )
+    return one.unionByName(many)
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, row (its `row_key`), n_shingles, component_id."""
     ship(docs.sparkSession)
